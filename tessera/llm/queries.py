@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from tessera.llm import language_id, mixing, packing
+from tessera.llm import fingerprints, language_id, language_model, line_dedup, minhash, mixing, packing, quality_rules, resampling, warc
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.query,
+    "op2_language_model": language_model.query,
+    "op3_fingerprints": fingerprints.query,
+    "op4_warc": warc.query,
     "op5_mixing": mixing.query,
     "op6_language_id": language_id.query,
     "op7_packing": packing.query,
+    "op8_minhash": minhash.query,
+    "op9_line_dedup": line_dedup.query,
+    "op10_resampling": resampling.query,
 }
 
 ORACLE_SQL = {
+    "op4_warc": warc.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op8_minhash": minhash.ORACLE,
 }
