@@ -1,0 +1 @@
+"""Equity analytics on Spark DataFrames."""
