@@ -107,10 +107,11 @@ def _has_letter(text: Text, column: pa.Array) -> np.ndarray:
     return some
 
 
-def predict(rows: DataFrame, model: dict) -> DataFrame:
-    """``rows`` (any columns, with text) plus lang_pred and score. No shuffle: each text is judged alone."""
+def predict(rows: DataFrame, model: dict, with_text: bool = False) -> DataFrame:
+    """``rows`` (any columns, with text) plus lang_pred and score; the text itself only if asked for.
+    No shuffle: each text is judged alone."""
     spark = rows.sparkSession
-    keep = [c for c in rows.columns if c not in ("text", "lang_pred", "score")]
+    keep = [c for c in rows.columns if c not in ("lang_pred", "score") and (with_text or c != "text")]
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches):
@@ -141,8 +142,8 @@ def predict(rows: DataFrame, model: dict) -> DataFrame:
                     names=[*keep, "lang_pred", "score"],
                 )
 
-    kept = rows.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
+    kept = rows.select(*keep, *[] if with_text else ["text"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
     return kept.mapInArrow(judge, f"{schema}, lang_pred string, score double" if keep else "lang_pred string, score double")
 
 

@@ -78,7 +78,7 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, k, bands): k is the hash of the set, null if it is empty."""
+    """(uid, doc_id, n_shingles, k, bands): uid is a hash of id and text, k of the set (null if it is empty)."""
 
     def run(batches):
         for batch in batches:
@@ -97,12 +97,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                     rows.append(known[k])
                 sizes = np.array([len(r) for r in rows])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
-                     list_array(signed(np.concatenate(rows)), np.concatenate([[0], np.cumsum(sizes)]))], names=["doc_id", "n_shingles", "k", "bands"],
+                    [part.column("uid"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
+                     list_array(signed(np.concatenate(rows)), np.concatenate([[0], np.cumsum(sizes)]))], names=["uid", "doc_id", "n_shingles", "k", "bands"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, k long, bands array<long>")
+    keyed = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("uid"), "doc_id", "text")
+    return keyed.mapInArrow(run, f"uid long, doc_id {kind}, n_shingles long, k long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -158,16 +159,22 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return connect(entries, ["pos", "id"], may, verify)
 
 
-def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+def _rooted(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signature table, and (k, least, first, root) of every set."""
     sig = cut(signatures(docs), "signatures")
     each = sig.select("k", F.explode("bands").alias("band"))
     met = each.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("band")
     wanted = cut(each.join(met, "band", "left_semi").select("k").distinct(), "candidates")
     sets = cut(sets_of(docs, bitmap(wanted, "k")).join(wanted, "k", "left_semi").dropDuplicates(["k"]), "sets")
     roots = link_classes(sets, percent)
-    classes = sig.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("id", "k"), "k", "left")
-    classes = cut(classes.withColumn("root", F.coalesce("root", "k")), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    classes = sig.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.min(place).alias("first")).join(roots.withColumnRenamed("id", "k"), "k", "left")
+    return sig, cut(classes.withColumn("root", F.coalesce("root", "k")), "classes")
+
+
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    sig, classes = _rooted(docs, percent)
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("k", "component_id")
     out = sig.select("doc_id", "n_shingles", "k").join(named, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -175,6 +182,17 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that with the least id. Rows without words all stay."""
+    sig, classes = _rooted(docs, percent)
+    stay = classes.groupBy("root").agg(F.min("first").alias("first")).select("first.uid")
+    stay = cut(stay.union(sig.where("k is null").select("uid")).distinct(), "stay")
+    worded = F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("uid"), worded.alias("worded"))
+    once = keyed.join(stay, "uid", "left_semi")
+    return once.where("worded").dropDuplicates(["uid"]).unionByName(once.where("not worded")).select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

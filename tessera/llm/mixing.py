@@ -74,11 +74,9 @@ def _inside(rows: DataFrame, edge: DataFrame, shift: int) -> DataFrame:
     return rows.join(e, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("h", shift) == F.shiftright("_lo", shift))).drop("_s", "_lo")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text: str = "text", size: Column | None = None) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) of every document.
-    ``size`` defaults to the words of ``text``."""
-    sized = docs.select("doc_id", "source", (F.size(split_words(F.col(text))).cast("long") if size is None else size.cast("long")).alias("size"))
-    slim = cut(sized.withColumn("h", id_hash(F.col("doc_id"))), "mix")
+def bounds(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, source_size, target, whole, top) from (source, size, h): a document is taken
+    ``whole`` times, and once more if its hash is at most ``top``."""
     per = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = global_index(per, F.col("source").asc_nulls_last(), name="place")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
@@ -98,16 +96,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         .select(F.col("source").alias("_s"), F.coalesce("top", F.col("lo") - 1).alias("top"))
     )
     # without an edge everything fits, unless nothing is left to take
-    bound = cut(
-        goal.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "place")
-        .withColumn("top", F.when(F.col("rest") <= 0, F.lit(-1)).otherwise(F.coalesce("top", F.lit((1 << 60) - 1)))), "bounds"
-    )
+    top = F.when(F.col("rest") <= 0, F.lit(-1)).otherwise(F.coalesce("top", F.lit((1 << 60) - 1)))
+    return cut(goal.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "whole", top.alias("top")), "bounds")
+
+
+def sizes(docs: DataFrame, size: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, h), as a table; ``size`` defaults to the words of the text."""
+    sized = F.size(split_words(F.col("text"))).cast("long") if size is None else size.cast("long")
+    return cut(docs.select("doc_id", "source", sized.alias("size"), id_hash(F.col("doc_id")).alias("h")), "mix")
+
+
+def with_copies(rows: DataFrame, bound: DataFrame, h: Column) -> DataFrame:
+    """``rows`` (with source) plus source_size, target and copies."""
     b = bound.withColumnRenamed("source", "_s")
-    copies = F.col("whole") + (F.col("h") <= F.col("top")).cast("long")
-    return (
-        slim.join(b, F.col("source").eqNullSafe(F.col("_s")))
-        .select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-    )
+    rows = rows.drop("source_size", "target", "copies", "whole", "top", "_s", "_h")
+    joined = rows.withColumn("_h", h).join(b, F.col("source").eqNullSafe(F.col("_s")))
+    return joined.withColumn("copies", F.col("whole") + (F.col("_h") <= F.col("top")).cast("long")).drop("_s", "_h", "whole", "top")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, size: Column | None = None) -> DataFrame:
+    """(doc_id, size, source, source_size, target, copies, taken) of every document."""
+    slim = sizes(docs, size)
+    mixed = with_copies(slim, bounds(slim, weights, share, most), F.col("h"))
+    return mixed.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
