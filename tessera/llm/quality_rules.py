@@ -75,29 +75,30 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def features(rows: DataFrame, *keep: str) -> DataFrame:
-    """One row a word: the hash buckets of the word (u) and of it with its successor (v; null after the last)."""
+    """One row a word: the feature of the word (u, below BUCKETS) and that of it with its successor
+    (v, from BUCKETS on; null after the last)."""
     pairs = bind(split_words(F.col("text")), lambda w: F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b")))
     each = rows.select(*keep, F.inline(pairs).alias("a", "b"))
-    return each.select(*keep, F.pmod(F.xxhash64("a"), F.lit(BUCKETS)).alias("u"), F.when(F.col("b").isNotNull(), F.pmod(F.xxhash64("a", "b"), F.lit(BUCKETS))).alias("v"))
+    v = F.pmod(F.xxhash64("a", "b"), F.lit(BUCKETS)) + BUCKETS
+    return each.select(*keep, F.pmod(F.xxhash64("a"), F.lit(BUCKETS)).alias("u"), F.when(F.col("b").isNotNull(), v).alias("v"))
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """(order, bucket, llr), at most 2 * BUCKETS rows; ``rows`` has text and is_target."""
-    both = F.explode(F.array(F.struct(F.lit(1).alias("o"), F.col("u").alias("b")), F.struct(F.lit(2).alias("o"), F.col("v").alias("b")))).alias("f")
+    """(f, llr), at most 2 * BUCKETS rows; ``rows`` has text and is_target."""
     counts = (
-        features(rows, "is_target").select("is_target", both).where("f.b is not null").groupBy("f.o", "f.b")
+        features(rows, "is_target").select("is_target", F.explode(F.array("u", "v")).alias("f")).where("f is not null").groupBy("f")
         .agg(F.count("*").alias("raw"), F.count_if("is_target").alias("target"))
     )
-    counts = cut(counts, "features")
+    counts = cut(counts.withColumn("o", F.col("f") >= BUCKETS), "features")
     totals = counts.groupBy("o").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     p = F.ln((F.col("target") + 1) / (F.col("all_target") + BUCKETS)) - F.ln((F.col("raw") + 1) / (F.col("all_raw") + BUCKETS))
-    return cut(counts.join(F.broadcast(totals), "o").select("o", "b", F.when(F.col("all_target") > 0, p).otherwise(0.0).alias("llr")), "ratios")
+    return cut(counts.join(F.broadcast(totals), "o").select("f", F.when(F.col("all_target") > 0, p).otherwise(0.0).alias("llr")), "ratios")
 
 
 def ratio(rows: DataFrame, model: DataFrame) -> DataFrame:
     """(uid, score): the mean log-likelihood ratio of each text with a word; ``rows`` has uid, text.
     Rows of equal uid must have equal texts (the mean is then the same)."""
-    uni, bi = (model.where(F.col("o") == o).select(F.col("b").alias(c), F.col("llr").alias(f"llr_{c}")) for o, c in ((1, "u"), (2, "v")))
+    uni, bi = (model.where(side).select(F.col("f").alias(c), F.col("llr").alias(f"llr_{c}")) for side, c in ((F.col("f") < BUCKETS, "u"), (F.col("f") >= BUCKETS, "v")))
     each = features(rows, "uid").join(F.broadcast(uni), "u", "left").join(F.broadcast(bi), "v", "left")
     total, n = F.coalesce("llr_u", F.lit(0.0)) + F.coalesce("llr_v", F.lit(0.0)), F.count("*") + F.count("v")
     return each.groupBy("uid").agg((F.sum(total) / n).alias("score"))

@@ -30,7 +30,7 @@ def corpus():
     """Clean documents of one vocabulary, junk of another, and labels for some."""
     rng = np.random.default_rng(0)
     clean, junk = (np.array([f"{p}{i}" for i in range(300)]) for p in ("w", "zz"))
-    docs = [(i, " ".join((clean if i % 4 else junk)[rng.zipf(1.3, 120) % 300])) for i in range(200)]
+    docs = [(i, " ".join((clean if i % 4 else junk)[rng.integers(0, 300, 120)])) for i in range(200)]
     return docs, [(i, int(i % 4 > 0), 0) for i in range(100)]
 
 
