@@ -1,7 +1,8 @@
 """Quality rules: simple counts, and a log-likelihood ratio between two n-gram models.
 
 Words and word pairs are hashed into ``BUCKETS`` features. One multinomial is fitted to
-trusted target documents and one to the raw corpus (add-one smoothing). A document's
+trusted target documents and one to the raw corpus; the target's counts are smoothed by
+BUCKETS draws from the raw model, so that few labels pull no score down. A document's
 score is the mean over its features of log(p_target / p_raw), and every document is
 judged by the same threshold. All of it is built-in expressions: one explode with an
 aggregate to fit, one with two broadcast joins against tables of BUCKETS rows to score.
@@ -91,7 +92,8 @@ def fit(rows: DataFrame) -> DataFrame:
     )
     counts = cut(counts.withColumn("o", F.col("f") >= BUCKETS), "features")
     totals = counts.groupBy("o").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
-    p = F.ln((F.col("target") + 1) / (F.col("all_target") + BUCKETS)) - F.ln((F.col("raw") + 1) / (F.col("all_raw") + BUCKETS))
+    raw = F.col("raw") / F.col("all_raw")
+    p = F.ln((F.col("target") + BUCKETS * raw) / (F.col("all_target") + BUCKETS) / raw)
     return cut(counts.join(F.broadcast(totals), "o").select("f", F.when(F.col("all_target") > 0, p).otherwise(0.0).alias("llr")), "ratios")
 
 

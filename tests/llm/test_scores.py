@@ -54,7 +54,8 @@ def test_ratio_equals_plain_python(spark, documents):
     seen = [(r["i"], r["o"], r["x"]) for r in hashes.select("i", "o", bucket.alias("x")).collect()]
     raw, good = Counter((o, x) for _, o, x in seen), Counter((o, x) for i, o, x in seen if i in ids)
     total = {o: (sum(v for (p, _), v in raw.items() if p == o), sum(v for (p, _), v in good.items() if p == o)) for o in (1, 2)}
-    llr = lambda o, x: math.log((good[o, x] + 1) / (total[o][1] + quality_rules.BUCKETS)) - math.log((raw[o, x] + 1) / (total[o][0] + quality_rules.BUCKETS))
+    p = lambda o, x: raw[o, x] / total[o][0]
+    llr = lambda o, x: math.log((good[o, x] + quality_rules.BUCKETS * p(o, x)) / (total[o][1] + quality_rules.BUCKETS) / p(o, x))
     for i, _ in docs[:10]:
         own = [llr(o, x) for j, o, x in seen if j == i]
         assert math.isclose(judged[i], sum(own) / len(own), rel_tol=1e-9)
