@@ -37,8 +37,8 @@ def key_ratios(company: DataFrame, statements: DataFrame) -> DataFrame:
 
 def pivot(statements: DataFrame, ticker: str, stmt: str, periods: list[str], freq: str = "annual") -> DataFrame:
     """row_label and one column a period (a date), newest first as given."""
-    rows = scan(statements, stmt, freq).where(F.col("ticker") == ticker)
-    wide = rows.groupBy("row_label").pivot(F.col("period").cast("string"), periods).agg(F.max("value"))
+    rows = scan(statements, stmt, freq).where(F.col("ticker") == ticker).withColumn("period", F.col("period").cast("string"))
+    wide = rows.groupBy("row_label").pivot("period", periods).agg(F.max("value"))
     return wide.toDF("row_label", *[f"p{p.replace('-', '_')}" for p in periods])
 
 

@@ -312,7 +312,7 @@ add(
 
 def _blended(s: SparkSession, d: str):
     bars = S.px_daily(s, d)
-    cov = risk.ledoit_wolf(bars)
+    cov = risk.ledoit_wolf(bars).persist()  # read for the matrix and for the prior
     return risk.black_litterman(cov, _prior(s, d, cov), forecast.forecast(bars, "LIGHTWEIGHT"))
 
 
