@@ -54,16 +54,26 @@ class Lines(Text):
         self.off = upto[np.concatenate([begin, self.off[-1:]])]
         self.n = len(begin)
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(lines with a word, the hash of their words, their SimHash)."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(lines with a word, the hash of their words)."""
+        return self._hashed()[:2]
+
+    def _hashed(self):
         h, first = self.word_hashes()
         count = np.diff(first)
         lines = np.flatnonzero(count)
         if not len(lines):
-            return lines, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return lines, np.zeros(0, np.uint64), h, lines, lines
         begin, count = first[:-1][lines], count[lines]
         place = np.arange(first[-1], dtype=np.uint64) - np.repeat(begin, count).astype(np.uint64)
         key = mix64(np.add.reduceat(mix64(h + place * np.uint64(0x9E3779B97F4A7C15)), begin) + count.astype(np.uint64))
+        return lines, key, h, begin, count
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lines with a word, the hash of their words, their SimHash)."""
+        lines, key, h, begin, count = self._hashed()
+        if not len(lines):
+            return lines, key, key
         # byte-wise counters hold up to 255 words; longer lines are summed in segments
         segments = (count + 254) // 255
         at = np.repeat(begin, segments) + (np.arange(segments.sum()) - np.repeat(np.cumsum(segments) - segments, segments)) * 255
@@ -100,7 +110,7 @@ def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 lines = Lines(part.column("text"))
-                at, h, _ = lines.hashes()
+                at, h = lines.keys()
                 hit = in_bitmap(wanted, h)
                 raw = lines.bytes.tobytes()
                 ids, forms = [], []
@@ -115,6 +125,50 @@ def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "id long, line string")
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the Levenshtein distance is at most ``most``: what both share at either end is
+    taken off, and a column of the table is one number, bit by bit."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    k = _common(a, b)
+    a, b = a[k:], b[k:]
+    k = _common(a[::-1], b[::-1])
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0  # where the column rises, where it falls
+    for j, c in enumerate(b):
+        eq = at.get(c, 0)
+        x = eq | down
+        y = (((eq & up) + up) ^ up) | eq
+        more, less = down | ~(y | up) & full, up & y
+        if more & last:
+            score += 1
+        elif less & last:
+            score -= 1
+        if score - (len(b) - 1 - j) > most:
+            return False
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(x | more)) & full, more & x & full
+    return score <= most
+
+
 def block_keys(sim: Column, distance: int = DISTANCE, blocks: int = BLOCKS) -> Column:
     """One key for each choice of blocks - distance blocks of a 64-bit hash."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
@@ -136,9 +190,14 @@ def link_lines(docs: DataFrame, classes: DataFrame, distance: int = DISTANCE, bl
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-        longer = "greatest(length(x), length(y))"
-        most = f"cast(floor({1 - similarity:.6f}D * {longer}) as int)"
-        return both.where(f"abs(length(x) - length(y)) <= {most} and levenshtein(x, y, {most}) between 0 and {most}").select("a", "b")
+
+        def run(batches):
+            for batch in batches:
+                x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+                near = [within(p, q, int((1 - similarity) * max(len(p), len(q)) + 1e-9)) for p, q in zip(x, y)]
+                yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
     return connect(entries, ["id"], may, verify)
 
