@@ -80,7 +80,7 @@ def global_index(df: DataFrame, *order: Column, name: str = "index") -> DataFram
 # --- word hashing over Arrow buffers ---------------------------------------------------------
 
 #: Bytes of text handled at once inside a task; a single longer text is handled alone, whole.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _P = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
