@@ -33,6 +33,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{app}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that Spark hands to a Python task at once: whole texts are long, and Spark's default of 10,000 fills an executor.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written to the shared folder and read back: later stages start from the
     files, so a lost executor costs no more than its own tasks."""

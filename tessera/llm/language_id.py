@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Text, chunks, cut, id_text
+from tessera.llm.common import Text, chunks, cut, id_text, small_batches
 
 NGRAM = 4
 HASHES = 2
@@ -78,6 +78,7 @@ def fit(rows: DataFrame, slots_log2: int = SLOTS_LOG2, share: float = SHARE) ->
                         table += np.bincount(slot, minlength=len(table))
         yield from flush()
 
+    small_batches(rows)
     used = rows.where("text is not null and lang is not null").select("text", "lang")
     counts = used.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     counts = cut(counts, "langid")
@@ -110,6 +111,7 @@ def _has_letter(text: Text, column: pa.Array) -> np.ndarray:
 def predict(rows: DataFrame, model: dict, with_text: bool = False) -> DataFrame:
     """``rows`` (any columns, with text) plus lang_pred and score; the text itself only if asked for.
     No shuffle: each text is judged alone."""
+    small_batches(rows)
     spark = rows.sparkSession
     keep = [c for c in rows.columns if c not in ("lang_pred", "score") and (with_text or c != "text")]
     shared = spark.sparkContext.broadcast(model)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Text, chunks, cut, id_text, signed
+from tessera.llm.common import Text, chunks, cut, id_text, signed, small_batches
 
 CLASSES, DIM = 1024, 32
 COUNTED = 1 << 17
@@ -299,6 +299,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, params: dict[str, np.ndarray]
 
 def fit(texts: DataFrame) -> tuple[Vocabulary, dict[str, np.ndarray], DataFrame]:
     """The vocabulary, the parameters and the table of all counts (h, c)."""
+    small_batches(texts)
     counts = cut(word_counts(texts), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(COUNTED).toArrow().sort_by([("c", "descending"), ("h", "ascending")])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Text, bitmap, chunks, cut, in_bitmap, list_array, mix64, signed, windows
+from tessera.llm.common import Text, bitmap, chunks, cut, in_bitmap, list_array, mix64, signed, small_batches, windows
 from tessera.llm.linking import connect
 
 SHINGLE = 5
@@ -161,6 +161,7 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _rooted(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The signature table, and (k, least, first, root) of every set."""
+    small_batches(docs)
     sig = cut(signatures(docs), "signatures")
     each = sig.select("k", F.explode("bands").alias("band"))
     met = each.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("band")

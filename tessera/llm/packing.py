@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import chunks
+from tessera.llm.common import chunks, small_batches
 
 SEQUENCE = 2048
 END_ID = 1
@@ -199,6 +199,7 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents
     (doc_id, text). Each partition is packed by itself: no shuffle."""
+    small_batches(docs)
     tail = np.array([end_id], "<u4").tobytes()
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
