@@ -26,7 +26,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occur before; a document that loses all its lines goes."""
-    done = line_dedup.dedup(docs.select(*COLUMNS))
+    done = line_dedup.dedup(docs.select(*COLUMNS), windows=line_dedup.WINDOWS)
     left = done.where((F.col("n_left") > 0) | (F.col("n_dropped") == 0))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -4,7 +4,11 @@ A line's normal form is its words, A-Z in lower case and ASCII punctuation remov
 normal forms are one class. Every class has a 64-bit SimHash of its words; two classes
 are close if their hashes differ in at most ``DISTANCE`` bits, so of ``BLOCKS`` blocks at
 least BLOCKS - DISTANCE agree (pigeonhole), and classes meet on each such choice of
-blocks. Close classes are linked if the edit similarity of their normal forms, 1 -
+blocks. One changed word moves more bits than that in most lines, so with ``windows``
+classes also meet on windows of their characters: on the ``windows`` windows with the
+least hashes, and on all windows of lines of less than ``ALL`` bytes; what bounds on
+lengths and character counts rule out goes, and nothing else. The query and the pipeline
+set it. Close classes are linked if the edit similarity of their normal forms, 1 -
 levenshtein / longer length, is at least ``SIMILARITY``. Of each connected group of lines
 the first occurrence (by document id, then line) stays in its document; all other lines
 of the group go.
@@ -21,14 +25,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Text, bitmap, chunks, cut, in_bitmap, mix64, signed, small_batches
+from tessera.llm.common import _SPACE, Text, bitmap, chunks, cut, in_bitmap, mix64, signed, small_batches
 from tessera.llm.linking import connect
 
 DISTANCE, BLOCKS = 3, 5
 SIMILARITY = 0.9
+#: Windows of a line that it can meet others on, with the lengths that windows have from a line's length on.
+WINDOWS, LEVELS = 16, ((9, 5), (24, 7), (48, 13))
+#: Lines of fewer bytes meet on all their windows.
+ALL = 48
+_GROUP = np.where((np.arange(256) >= 97) & (np.arange(256) <= 122), (np.arange(256) - 97) % 13, 13 + np.arange(256) % 3)
 _DROP = np.zeros(256, bool)
 _DROP[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _SPREAD = np.array([int.from_bytes(bytes((x >> j) & 1 for j in range(8)), "little") for x in range(256)], np.uint64)
@@ -83,9 +92,64 @@ class Lines(Text):
         bits = 2 * votes > count[:, None]
         return lines, key, np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
+    def forms(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all normal forms, and where each begins (n + 1)."""
+        solid = ~_SPACE[self.bytes]
+        keep = solid.copy()
+        keep[1:] |= solid[:-1]  # the first blank after a word
+        at = self.off[:-1][self.off[:-1] < self.off[1:]]
+        keep[at] = solid[at]
+        # and not the blank after a line's last word
+        s, e, first = self.words()
+        last = e[first[1:][np.diff(first) > 0] - 1]
+        line_end = self.off[1:][np.diff(first) > 0]
+        keep[last[last < line_end]] = False
+        upto = np.zeros(len(keep) + 1, np.int64)
+        np.cumsum(keep, out=upto[1:])
+        return np.where(solid, self.bytes, np.uint8(32))[keep], upto[self.off]
+
+    def sketches(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lines ``at``: characters of the normal form, and how many are of each of 16 groups
+        (255 at most), eight counts a number."""
+        b, off = self.forms()
+        line = np.repeat(np.arange(self.n), np.diff(off))
+        whole = (b & 0xC0) != 0x80
+        counts = np.bincount(line[whole] * 16 + _GROUP[b[whole]], minlength=16 * self.n).reshape(-1, 16)[at]
+        packed = np.ascontiguousarray(np.minimum(counts, 255).astype(np.uint8)).view(np.int64)
+        return counts.sum(1), packed[:, 0], packed[:, 1]
+
+    def window_keys(self, lines: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index into ``lines``, key) of the windows that these lines meet on."""
+        b, off = self.forms()
+        begin, n = off[:-1][lines], np.diff(off)[lines]
+        index, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for level, (least, q) in enumerate(LEVELS):
+            # a line can have a partner of the level below it: in bytes up to four times as many edits show
+            above = LEVELS[level + 1][0] * 3 // 2 if level + 1 < len(LEVELS) else np.iinfo(np.int64).max
+            some = np.flatnonzero((n >= least) & (n < above))
+            if not len(some):
+                continue
+            h = np.zeros(len(b) - q + 1, np.uint64)
+            for j in range(q):
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h += b[j : len(b) - q + 1 + j]
+                h += np.uint64(1)
+            h = mix64(h + np.uint64(q)) >> np.uint64(21)
+            count = n[some] - q + 1
+            place = np.arange(count.sum()) + np.repeat(begin[some] - np.cumsum(count) + count, count)
+            packed = np.repeat(np.arange(len(some), dtype=np.uint64) << np.uint64(43), count) | h[place]
+            packed.sort()
+            packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
+            line = (packed >> np.uint64(43)).astype(np.int64)
+            rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(some)))[line]
+            keep = (rank < most) | (n[some][line] < ALL)
+            index.append(some[line[keep]])
+            keys.append(mix64((packed[keep] & np.uint64((1 << 43) - 1)) * np.uint64(len(LEVELS)) + np.uint64(level)))
+        return np.concatenate(index), np.concatenate(keys)
+
 
 def occurrences(keyed: DataFrame) -> DataFrame:
-    """(uid, doc_id, no, h, sim) of every line with a word; ``keyed`` has uid, doc_id, text."""
+    """(uid, doc_id, no, h, sim, n, c0, c1) of every line with a word; ``keyed`` has uid, doc_id, text."""
 
     def run(batches):
         for batch in batches:
@@ -94,12 +158,12 @@ def occurrences(keyed: DataFrame) -> DataFrame:
                 at, h, sim = lines.hashes()
                 doc = pa.array(lines.doc[at])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("uid").take(doc), part.column("doc_id").take(doc), pa.array(lines.no[at]), pa.array(signed(h)), pa.array(signed(sim))],
-                    names=["uid", "doc_id", "no", "h", "sim"],
+                    [part.column("uid").take(doc), part.column("doc_id").take(doc), pa.array(lines.no[at]), pa.array(signed(h)), pa.array(signed(sim)), *map(pa.array, lines.sketches(at))],
+                    names=["uid", "doc_id", "no", "h", "sim", "n", "c0", "c1"],
                 )
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.select("uid", "doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, no long, h long, sim long")
+    return keyed.select("uid", "doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, no long, h long, sim long, n long, c0 long, c1 long")
 
 
 def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -125,6 +189,23 @@ def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "id long, line string")
 
 
+def meeting_keys(docs: DataFrame, windows: int) -> DataFrame:
+    """(key, id) of the windows that each line meets others on; once a task for equal lines."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                lines = Lines(part.column("text"))
+                at, h = lines.keys()
+                h = signed(h)
+                new = [i for i, k in enumerate(h.tolist()) if not (k in seen or seen.add(k))]
+                line, key = lines.window_keys(at[new], windows)
+                yield pa.RecordBatch.from_pydict({"key": signed(key), "id": h[new][line]})
+
+    return docs.select("text").mapInArrow(run, "key long, id long")
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common prefix."""
     low, high = 0, min(len(a), len(b))
@@ -169,6 +250,19 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+def alike(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
+    """False for pairs that differ in more two-character windows than ``most`` edits can change (four for each edit)."""
+    counts = []
+    for side in (x, y):
+        size = np.array([len(t) for t in side], np.int64)
+        c = np.frombuffer("".join(side).encode("utf-32-le"), np.uint32)
+        row = np.repeat(np.arange(len(side)), size)
+        gram = (c[:-1] * np.uint32(0x9E3779B1) ^ c[1:] * np.uint32(0x85EBCA77)) * np.uint32(0x2C1B3C6D) >> np.uint32(24)
+        inside = row[1:] == row[:-1]
+        counts.append(np.bincount(row[:-1][inside] * 256 + gram[inside], minlength=256 * len(side)).reshape(-1, 256))
+    return np.abs(counts[0] - counts[1]).sum(1) <= 4 * most
+
+
 def block_keys(sim: Column, distance: int = DISTANCE, blocks: int = BLOCKS) -> Column:
     """One key for each choice of blocks - distance blocks of a 64-bit hash."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
@@ -176,25 +270,37 @@ def block_keys(sim: Column, distance: int = DISTANCE, blocks: int = BLOCKS) -> C
     return F.array(*[F.xxhash64(F.lit(i), *[part[j] for j in pick]) for i, pick in enumerate(combinations(range(blocks), blocks - distance))])
 
 
-def link_lines(docs: DataFrame, classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) of the line classes (h, sim) that links join."""
+def link_lines(docs: DataFrame, classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, similarity: float = SIMILARITY, windows: int = 0) -> DataFrame:
+    """(id, root) of the line classes (h, sim, n, c0, c1) that links join."""
     each = classes.select(F.explode(block_keys(F.col("sim"), distance, blocks)).alias("key"), F.col("h").alias("id"), "sim")
 
     def may(a: str, b: str) -> str:
-        return f"bit_count({a}.sim ^ {b}.sim) <= {distance}"
-
-    close = each.alias("l").join(each.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.id") != F.col("r.id")) & F.expr(may("l", "r")), "left_semi")
-    entries = cut(close, "close")
-    wanted = cut(entries.select("id").distinct(), "wanted")
-    lines = cut(normal_forms(docs, bitmap(wanted, "id")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "lines")
+        if not windows:
+            return f"bit_count({a}.sim ^ {b}.sim) <= {distance}"
+        # an edit changes the length by one at most, and two counts by one each, or one if the length changes
+        most = f"floor({1 - similarity} * greatest({a}.n, {b}.n) + 1e-9)"
+        apart = [f"abs((shiftrightunsigned({a}.{c}, {i}) & 255) - (shiftrightunsigned({b}.{c}, {i}) & 255))" for c in ("c0", "c1") for i in range(0, 64, 8)]
+        return f"abs({a}.n - {b}.n) <= {most} and abs({a}.n - {b}.n) + {' + '.join(apart)} <= 2 * {most}"
+
+    if windows:
+        met = Window.partitionBy("key")
+        both = each.select("key", "id").union(meeting_keys(docs, windows)).withColumn("lo", F.min("id").over(met)).withColumn("hi", F.max("id").over(met))
+        forms = classes.select(F.col("h").alias("id"), "n", "c0", "c1")
+        entries = cut(both.where("lo < hi").select("key", "id").distinct().join(forms, "id"), "close")
+    else:
+        close = each.alias("l").join(each.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.id") != F.col("r.id")) & F.expr(may("l", "r")), "left_semi")
+        entries = cut(close, "close")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        lines = cut(normal_forms(docs, bitmap(wanted, "id")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "lines")
         both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
 
         def run(batches):
             for batch in batches:
                 x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-                near = [within(p, q, int((1 - similarity) * max(len(p), len(q)) + 1e-9)) for p, q in zip(x, y)]
+                most = [int((1 - similarity) * max(len(p), len(q)) + 1e-9) for p, q in zip(x, y)]
+                near = [bool(ok) and within(p, q, k) for p, q, k, ok in zip(x, y, most, alike(x, y, np.array(most)))]
                 yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -202,15 +308,15 @@ def link_lines(docs: DataFrame, classes: DataFrame, distance: int = DISTANCE, bl
     return connect(entries, ["id"], may, verify)
 
 
-def dedup(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+def dedup(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, similarity: float = SIMILARITY, windows: int = 0) -> DataFrame:
     """``docs`` with deduplicated text, and n_lines, n_dropped, n_left (lines with a word that stay)."""
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("uid"))
     slim = keyed.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     small_batches(docs)
     occ = cut(occurrences(slim), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "no")
-    classes = cut(occ.groupBy("h").agg(F.min("sim").alias("sim"), F.min(place).alias("first"), F.max(place).alias("end")), "classes")
-    roots = link_lines(slim, classes.select("h", "sim"), distance, blocks, similarity)
+    classes = cut(occ.groupBy("h").agg(*[F.min(c).alias(c) for c in ("sim", "n", "c0", "c1")], F.min(place).alias("first"), F.max(place).alias("end")), "classes")
+    roots = link_lines(slim, classes.select("h", "sim", "n", "c0", "c1"), distance, blocks, similarity, windows)
     joined = classes.select("h", "first", "end").join(roots.withColumnRenamed("id", "h"), "h", "left")
     linked = cut(joined.where("root is not null or first <> end").withColumn("root", F.coalesce("root", "h")), "linked")
     stays = linked.groupBy("root").agg(F.min("first").alias("stay"))
@@ -232,4 +338,4 @@ def dedup(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, simil
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), windows=WINDOWS)

@@ -154,6 +154,41 @@ def test_lines_equal_brute_force(documents):
     assert got == want
 
 
+def test_lines_with_windows_equal_brute_force_by_edit_similarity(documents):
+    rng = random.Random(9)
+    forms = set()
+    for n in (2, 3, 4, 6, 8, 10, 15, 20, 30, 60, 100):
+        for s in range(3):
+            line = words(n, 100 * n + s)
+            forms.add(" ".join(line))
+            for _ in range(4):
+                changed = list(line)
+                at = rng.randrange(n)
+                changed[at] = rng.choice([changed[at] + "x", changed[at][1:] or "é", "".join(rng.sample(changed[at], len(changed[at])))])
+                forms.add(" ".join(changed))
+    forms = sorted({normal(f) for f in forms})
+    links = [(a, b) for a, b in combinations(forms, 2) if line_dedup.within(a, b, int(0.1 * max(len(a), len(b)) + 1e-9))]
+    sim = simhashes(forms)
+    assert sum(bin(sim[a] ^ sim[b]).count("1") > 3 for a, b in links) > len(links) / 2
+    rng.shuffle(forms)
+    docs = list(enumerate(forms))
+    root = groups(forms, links)
+    first = {}
+    for f in forms:
+        first.setdefault(root[f], f)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(documents(docs), windows=line_dedup.WINDOWS).collect()}
+    assert got == {i: f if first[root[f]] == f else "" for i, f in docs}
+
+
+def test_forms_and_sketches():
+    texts = ["  Ab, c  d \n\n x", "", None, "é é\n--\nlast word \n", "\t\t\n a"]
+    x = line_dedup.Lines(pa.array(texts))
+    b, off = x.forms()
+    want = [normal(line) for t in texts for line in (t or "").split("\n")]
+    assert [b[i:j].tobytes().decode() for i, j in zip(off, off[1:])] == want
+    assert x.sketches(np.arange(x.n))[0].tolist() == [len(w) for w in want]
+
+
 def test_line_edges(documents, edge_rows):
     df = documents(edge_rows)
     got = line_dedup.dedup(df)
