@@ -15,6 +15,8 @@ from tessera.llm.common import cut
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if its language is told with at least this share of the n-grams.
 LEAST_SCORE = 0.25
+#: Documents are near-duplicates from this share of common shingles on, in percent.
+PERCENT = 80
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return minhash.dedup(docs.select(*COLUMNS)).select(*COLUMNS)
+    return minhash.dedup(docs.select(*COLUMNS), PERCENT).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ similar must share one of the first n - ceil(n * t) + 1 in any common order), wi
 bounds on sizes and positions that the similarity implies, and each meeting pair is
 confirmed by the exact intersection and union of the full sets.
 
-Two classes as similar as 0.85 miss each other in all 25 bands of five coordinates with
-a chance below 1e-6. Classes are told apart by a 64-bit hash of the whole set.
+The number of bands of five coordinates follows the threshold: two classes just as similar
+miss each other in all bands with a chance below ``MISS``. Classes are told apart by a 64-bit hash of the whole set.
 
 Cases: a text of fewer than five words is one shingle, the whole sequence; one without
 words, or null, has the empty set and is linked with nothing. A null id can be linked
@@ -21,6 +21,7 @@ row is kept. Rows with the same id and text are one document. Other columns are
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from tessera.llm.linking import connect
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
+#: Chance that a pair at the threshold shares no band.
+MISS = 1e-6
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 85
 _STEP = np.uint32(0x9E3779B1)
@@ -53,6 +56,12 @@ def set_key(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def band_count(percent: int) -> int:
+    """Bands of ROWS coordinates with which a pair at the threshold is missed by less than MISS; BANDS at least."""
+    shared = (percent / 100) ** ROWS
+    return BANDS if shared >= 1 else max(BANDS, math.floor(math.log(MISS) / math.log1p(-shared)) + 1)
+
+
 def signature(values: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """Coordinate k is the least pi(sigma(x) + k * step mod 2**32) over the set."""
     scattered = (values >> np.uint64(32)).astype(np.uint32)
@@ -77,9 +86,11 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return acc
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(uid, doc_id, n_shingles, k, bands): uid is a hash of id and text, k of the set (null if it is empty)."""
 
+    size = band_count(percent) * ROWS
+
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -93,7 +104,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                         continue
                     keys.append(k := set_key(s))
                     if k not in known:
-                        known[k] = bands(signature(s))
+                        known[k] = bands(signature(s, size))
                     rows.append(known[k])
                 sizes = np.array([len(r) for r in rows])
                 yield pa.RecordBatch.from_arrays(
@@ -162,7 +173,7 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _rooted(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The signature table, and (k, least, first, root) of every set."""
     small_batches(docs)
-    sig = cut(signatures(docs), "signatures")
+    sig = cut(signatures(docs, percent), "signatures")
     each = sig.select("k", F.explode("bands").alias("band"))
     met = each.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("band")
     wanted = cut(each.join(met, "band", "left_semi").select("k").distinct(), "candidates")

@@ -86,6 +86,22 @@ def test_dedup_keeps_one_of_each(documents, edge_rows):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 8, 10, 11, 12] and ids.count(None) == 2
 
 
+def test_pipeline_drops_a_copy_of_similarity_082(spark, documents):
+    import corpus_pipeline
+
+    base = words(219, 5)
+    texts = [" ".join(base), " ".join(base[:-21] + words(21, 6))]
+    a, b = map(shingles, texts)
+    assert 0.80 <= len(a & b) / len(a | b) < 0.83
+    assert [r["doc_id"] for r in corpus_pipeline.drop_copies(spark, documents(list(enumerate(texts)), extra=False), "").collect()] == [0]
+
+
+@pytest.mark.parametrize("percent", [30, 50, 70, 80, 85, 95, 100])
+def test_bands_follow_the_threshold(percent):
+    assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.band_count(percent) < 1e-6
+    assert percent < 85 or minhash.band_count(percent) == 25
+
+
 def test_signature_estimates_jaccard():
     a, b = (minhash.shingle_sets(Text(pa.array([t]), True))[0] for t in (sentence(400, 1), sentence(300, 1) + " " + sentence(100, 2)))
     j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
