@@ -13,7 +13,7 @@ Tasks write under a name of their own and rename the finished file, so a repeate
 replaces equal content. Files are reached through pyarrow's file systems, in the shared
 folder of spark.checkpoint.dir.
 
-Cases: null html is the empty payload; a null url gets the page's URN as URL; pages with
+Cases: null html is the empty payload; control characters of a URL are percent-encoded; a null url gets the page's URN as URL; pages with
 equal id and payload are all responses; a null id never names a response unless all
 pages of that payload have none. Empty tables give an empty index. Other columns are
 ignored.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import zlib
 from bisect import bisect_left, bisect_right
@@ -41,11 +42,17 @@ DATE = "2026-01-01T00:00:00Z"
 BLOCK, ROLL = 512, 1 << 30
 #: Least payload bytes for which equal payloads become revisits.
 LEAST = 0
+_CONTROL = [*range(32), 127]
 
 
 def url_key(url: Column) -> Column:
-    """The URL with its scheme, port and user dropped and its host reversed: com,example)/path."""
-    low = F.lower(F.coalesce(url, F.lit("")))
+    """The URL with its scheme, port and user dropped and its host reversed: com,example)/path.
+    Control characters are percent-encoded."""
+    plain = F.coalesce(url, F.lit(""))
+    coded = plain
+    for c in _CONTROL:
+        coded = F.replace(coded, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    low = F.lower(F.when(plain.rlike(r"[\x00-\x1F\x7F]"), coded).otherwise(plain))
     rest = F.regexp_replace(low, r"^[a-z][a-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_extract(rest, r"^(?:[^/?#@]*@)?([^/?#]*)", 1), r":\d+$", "")
     path = F.regexp_replace(F.regexp_replace(rest, r"^[^/?#]*", ""), r"#.*$", "")
@@ -99,6 +106,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
+def _uri(url: str) -> str:
+    """A URL that fits in a header line."""
+    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
 def _urn(page_id) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 
@@ -127,7 +139,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
                     out.add(_member(record("warcinfo", {"WARC-Record-ID": f"<urn:archive:{out.name}>", "WARC-Date": DATE, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")))
                 payload = html.encode()
                 sha = base64.b32encode(bytes.fromhex(digest)).decode()
-                fields = {"WARC-Record-ID": _urn(page_id), "WARC-Date": DATE, "WARC-Target-URI": url if url is not None else _urn(page_id)[1:-1]}
+                fields = {"WARC-Record-ID": _urn(page_id), "WARC-Date": DATE, "WARC-Target-URI": _uri(url) if url is not None else _urn(page_id)[1:-1]}
                 fields |= {"WARC-Payload-Digest": f"sha1:{sha}", "Content-Type": "application/http;msgtype=response"}
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 if refers_to is None:

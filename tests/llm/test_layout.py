@@ -104,6 +104,14 @@ def test_archives_round_trip(spark, pages, tmp_path, monkeypatch):
     assert warc.lookup(spark.createDataFrame([("com,nowhere)/",), ("",)], "key string"), top, folder).count() == 0
 
 
+def test_urls_with_control_characters(spark, tmp_path):
+    urls = ["http://a.b/x\ty", "http://a.b/x\ny", "http://a.b/x\r\n\r\ny", "http://a.b/x\x01y", "http://a.b/\x00", "http://a.b/#f\nz", "http://a.b/x", "\n", "http://a\t.b/x\x7f"]
+    df = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(2)
+    top = warc.index(warc.write(df, str(tmp_path)), str(tmp_path))
+    got = warc.read(warc.lookup(df.select(warc.url_key(F.col("url")).alias("key")), top, str(tmp_path)), str(tmp_path)).collect()
+    assert {r["page_id"]: (r["url"], r["payload"]) for r in got} == {i: (warc._uri(u), f"<p>{i}</p>") for i, u in enumerate(urls)} and len(got) == len(urls)
+
+
 def test_url_keys(spark):
     urls = ["https://user@WWW.Example.com:8080/A/b?q#f", "http://example.com", "example.com/x", None, ""]
     got = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").orderBy("i").select(warc.url_key(F.col("url"))).collect()]
