@@ -13,14 +13,15 @@ from tessera.llm import language_id, line_dedup, minhash, mixing, packing
 from tessera.llm.common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document stays if its language is told with at least this share of the n-grams.
+#: A document stays if its language has at least this share of what all languages' n-grams found.
 LEAST_SCORE = 0.25
 #: Documents are near-duplicates from this share of common shingles on, in percent.
 PERCENT = 80
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without letters, or of no clear language, go."""
+    """Documents with a language; those without letters, or without a known n-gram, go. The score is the best
+    language's share, so up to four languages LEAST_SCORE rejects no more than that: text as likely in all stays."""
     docs = docs.select(*COLUMNS)
     told = language_id.predict(docs, language_id.split_and_fit(docs), with_text=True)
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
