@@ -3,7 +3,7 @@
 Every byte n-gram of a training text adds to ``HASHES`` slots of a counting table,
 one count a language. A slot keeps the bits of those languages whose rate in it is
 at least ``share`` of the highest, which gives a bit-sliced Bloom filter: the AND of
-an n-gram's slots is the set of all languages that hold it. A text goes to the
+an n-gram's slots is the set of all languages that hold it often enough. A text goes to the
 language with the most n-grams, after the hits that chance alone would give
 (``fill ** HASHES`` of all n-grams) are taken off.
 
