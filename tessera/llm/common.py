@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +34,43 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{app}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows that Spark hands to a Python task at once: whole texts are long, and Spark's default of 10,000 fills an executor.
-BATCH_ROWS = 1000
+#: Rows and bytes that Spark hands to a Python task at once: whole texts are long, and Spark's defaults fill an executor.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
-def small_batches(df: DataFrame) -> None:
-    """Hold the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, Arrow batches hold at most BATCH_ROWS rows and about BATCH_BYTES bytes;
+    afterwards the session's own settings are back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, most in wanted.items():
+            spark.conf.set(k, str(most))
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` written to the shared folder and read back: later stages start from the
-    files, so a lost executor costs no more than its own tasks."""
+    """``df`` written to the shared folder, in small batches, and read back: later stages start
+    from the files, so a lost executor costs no more than its own tasks."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def to_arrow(df: DataFrame) -> pa.Table:
+    """A result of bounded size on the driver, made in small batches."""
+    with small_batches(df.sparkSession):
+        return df.toArrow()
+
+
 def own_columns(docs: DataFrame, **wanted: Column) -> DataFrame:
     """Only the named columns. Reading input columns first keeps any extra columns, whatever
     they are called, out of the operators."""
@@ -177,6 +196,54 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     yield batch.slice(begin)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about ``size`` bytes of text: what a task works out once
+    for each distinct word pays over more of it."""
+    waiting, total = [], 0
+    for batch in batches:
+        for part in chunks(batch, column):
+            waiting.append(part)
+            total += part.column(column).nbytes
+            if total >= size:
+                yield pa.concat_batches(waiting)
+                waiting, total = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+class Tally:
+    """Counts of 64-bit keys inside a task, in bounded memory: what outgrows ``most`` distinct keys is
+    handed on, to be summed by Spark."""
+
+    def __init__(self, most: int = 1 << 21) -> None:
+        self.most, self.keys, self.sums = most, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.waiting.append(keys)
+        self.n += len(keys)
+        if self.n > 1 << 20:
+            self._merge()
+            if len(self.keys) > self.most:
+                yield from self.rest()
+
+    def _merge(self) -> None:
+        if self.n:
+            new, c = np.unique(np.concatenate(self.waiting), return_counts=True)
+            both, at = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+            self.sums = np.bincount(at, np.concatenate([self.sums, c]), len(both)).astype(np.int64)
+            self.keys, self.n = both, 0
+            self.waiting.clear()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All that is left, in parts; the tally is empty afterwards."""
+        self._merge()
+        keys, sums, self.keys, self.sums = self.keys, self.sums, self.keys[:0], self.sums[:0]
+        for i in range(0, len(keys), 1 << 17):
+            yield keys[i : i + (1 << 17)], sums[i : i + (1 << 17)]
+
+
 def windows(h: np.ndarray, first: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word windows that lie in one text, and the index of each text's first (n + 1)."""
     counts = np.maximum(np.diff(first) - (k - 1), 0)

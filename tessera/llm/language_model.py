@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Text, chunks, cut, id_text, signed, small_batches
+from tessera.llm.common import Tally, Text, chunks, cut, id_text, signed, to_arrow
 
 CLASSES, DIM = 1024, 32
 COUNTED = 1 << 17
@@ -47,33 +47,16 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(h, c): the words of all training texts, by hash."""
 
     def run(batches):
-        keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        waiting, n = [], 0
+        tally = Tally()
 
-        def merge():
-            nonlocal keys, sums, n
-            new, c = np.unique(np.concatenate(waiting), return_counts=True)
-            both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            sums = np.bincount(at, np.concatenate([sums, c]), len(both)).astype(np.int64)
-            keys, n = both, 0
-            waiting.clear()
-
-        def out():
-            for i in range(0, len(keys), 1 << 17):
-                yield pa.RecordBatch.from_pydict({"h": signed(keys[i : i + (1 << 17)]), "n": sums[i : i + (1 << 17)]})
+        def out(parts):
+            for keys, n in parts:
+                yield pa.RecordBatch.from_pydict({"h": signed(keys), "n": n})
 
         for batch in batches:
             for part in chunks(batch, "text"):
-                waiting.append(Text(part.column("text"), lower=True).word_hashes()[0])
-                n += len(waiting[-1])
-                if n > 1 << 20:
-                    merge()
-                    if len(keys) > 1 << 21:
-                        yield from out()
-                        keys, sums = keys[:0], sums[:0]
-        if waiting:
-            merge()
-        yield from out()
+                yield from out(tally.add(Text(part.column("text"), lower=True).word_hashes()[0]))
+        yield from out(tally.rest())
 
     return train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
@@ -199,7 +182,8 @@ def descend(texts: DataFrame, vocabulary: Vocabulary, begin: dict[str, np.ndarra
             flat = np.concatenate([trainer.p[k].ravel() for k in sorted(params)]).astype(np.float64)
             yield pa.RecordBatch.from_pydict({"i": np.arange(len(flat)), "s": flat * once, "w": np.full(len(flat), float(once))})
 
-    got = texts.select("text").mapInArrow(run, "i long, s double, w double").groupBy("i").agg((F.sum("s") / F.sum("w")).alias("v")).toArrow().sort_by("i")
+    got = texts.select("text").mapInArrow(run, "i long, s double, w double").groupBy("i").agg((F.sum("s") / F.sum("w")).alias("v"))
+    got = to_arrow(got).sort_by("i")
     if not got.num_rows:
         return begin
     flat, out, at = np.asarray(got.column("v").combine_chunks()), {}, 0
@@ -299,7 +283,6 @@ def score(docs: DataFrame, vocabulary: Vocabulary, params: dict[str, np.ndarray]
 
 def fit(texts: DataFrame) -> tuple[Vocabulary, dict[str, np.ndarray], DataFrame]:
     """The vocabulary, the parameters and the table of all counts (h, c)."""
-    small_batches(texts)
     counts = cut(word_counts(texts), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(COUNTED).toArrow().sort_by([("c", "descending"), ("h", "ascending")])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _SPACE, Text, bitmap, chunks, cut, in_bitmap, mix64, signed, small_batches
+from tessera.llm.common import _SPACE, Text, bitmap, chunks, cut, in_bitmap, mix64, signed
 from tessera.llm.linking import connect
 
 DISTANCE, BLOCKS = 3, 5
@@ -312,7 +312,6 @@ def dedup(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, simil
     """``docs`` with deduplicated text, and n_lines, n_dropped, n_left (lines with a word that stay)."""
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("uid"))
     slim = keyed.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    small_batches(docs)
     occ = cut(occurrences(slim), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "no")
     classes = cut(occ.groupBy("h").agg(*[F.min(c).alias(c) for c in ("sim", "n", "c0", "c1")], F.min(place).alias("first"), F.max(place).alias("end")), "classes")

@@ -26,27 +26,45 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import chunks, small_batches
+from tessera.llm.common import Text, cut, gathered
 
 SEQUENCE = 2048
 END_ID = 1
 #: Tokens of padding that a cut at a sentence end, or inside a sentence, is worth.
 SENTENCE_CUT, FORCED_CUT = 4, 256
 #: Largest gap between cut candidates; tokens solved at once; pieces a worker remembers.
-GAP, BLOCK, REMEMBER = 1024, 1 << 19, 500_000
+GAP, BLOCK, REMEMBER = 1024, 1 << 19, 1 << 20
+#: Bytes of text encoded at once, and pieces that the tokenizer gets as one string.
+CHUNK, TOGETHER = 8 << 20, 1 << 15
 
-_tools: dict[str, tuple] = {}
-_safe = re.compile(r"(?<=\S) (?=\S)")
-_double = re.compile(r"\s\s")
+_tools: dict[str, Encoder] = {}
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[*range(9, 14), *range(28, 33)]] = True
+
+
+def _after_space(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place is white space, in ASCII or not."""
+    before = b[at - 1]
+    out = _ASCII_SPACE[before]
+    far = np.flatnonzero((before >= 0x80) & (at >= 2))
+    c2, c1 = b[at[far] - 2], before[far]
+    out[far] |= (c2 == 0xC2) & ((c1 == 0x85) | (c1 == 0xA0))
+    far = far[at[far] >= 3]
+    c3, c2, c1 = b[at[far] - 3], b[at[far] - 2], before[far]
+    two = (c2 == 0x80) & ((c1 <= 0x8A) | (c1 == 0xA8) | (c1 == 0xA9) | (c1 == 0xAF)) | (c2 == 0x81) & (c1 == 0x9F)
+    out[far] |= (c3 == 0xE1) & (c2 == 0x9A) & (c1 == 0x80) | (c3 == 0xE2) & two | (c3 == 0xE3) & (c2 == 0x80) & (c1 == 0x80)
+    return out
 
 
 class Encoder:
-    """Token ids as little-endian bytes. Byte-level BPE never merges over the boundary between
-    a non-space and a space that a non-space follows, nor over such a line end, so texts are
-    encoded piece by piece and the pieces are remembered (at most REMEMBER of them)."""
+    """Token ids as little-endian bytes. Byte-level BPE never merges over the boundary before a
+    space or line end that follows a non-space, so texts are encoded piece by piece: each
+    distinct piece once, and at most about REMEMBER of them are remembered. The ids of added
+    tokens never occur: their strings are ordinary text."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,35 +72,78 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.newline = self._ids(["\n"])[0]
         size = self.tok.get_vocab_size()
-        ends = [bool(re.search(r"[.!?\n]\W*$", self.tok.decode([i]))) for i in range(size)]
-        self.sentence_end = np.array(ends + [True] * 16)
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    @staticmethod
-    def _parts(text: str) -> list[list[str]]:
-        """Lines of pieces; all but a line's first piece have lost the space before them."""
-        if not text:
-            return []
-        if _double.search(text) or text[0].isspace() or text[-1].isspace():
-            return [_safe.split(text)]
-        return [line.split(" ") for line in text.split("\n")]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._parts(t or "") for t in texts]
-        if len(self.bare) + len(self.spaced) > REMEMBER:
-            self.bare.clear()
-            self.spaced.clear()
-        for known, wanted, space in ((self.bare, (line[0] for x in split for line in x), ""), (self.spaced, (w for x in split for line in x for w in line[1:]), " ")):
-            new = list(set(wanted).difference(known))
-            known.update(zip(new, self._ids([space + w for w in new])))
-        bare, spaced, newline = self.bare, self.spaced, self.newline
-        return [newline.join([bare[line[0]] + b"".join(map(spaced.__getitem__, line[1:])) for line in x]) for x in split]
+        self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)], np.int64)  # a byte is one character there
+        self.sentence_end = np.array([bool(re.search(r"[.!?\n]\W*$", self.tok.decode([i]))) for i in range(size)] + [True] * 16)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.first = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, new: pa.StringArray) -> None:
+        """Remember the ids of new pieces. Pieces between spaces on both sides go to the tokenizer
+        as one string, and the widths of its tokens tell where each piece's ids begin."""
+        off = np.frombuffer(new.buffers()[1], np.int32)[new.offset : new.offset + len(new) + 1].astype(np.int64)
+        raw = new.buffers()[2].to_pybytes()
+        b = np.frombuffer(raw, np.uint8)
+        alone = ~_ASCII_SPACE[b[off[:-1]]] | _after_space(b, off[1:])
+        parts: list[tuple[np.ndarray, np.ndarray]] = [None] * len(new)
+        for i, e in zip(np.flatnonzero(alone), self.tok.encode_batch_fast(new.filter(pa.array(alone)).to_pylist(), add_special_tokens=False)):
+            parts[i] = np.array(e.ids, np.uint32)
+        runs = np.flatnonzero(~alone)
+        for k in range(0, len(runs), TOGETHER):
+            some = runs[k : k + TOGETHER]
+            text = b"".join([raw[a:z] for a, z in zip(off[some].tolist(), off[some + 1].tolist())]).decode()
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(self.width[ids])
+            upto = np.cumsum(off[some + 1] - off[some])
+            at = np.searchsorted(ends, upto) + 1
+            if not np.array_equal(ends[at - 1], upto):
+                raise ValueError("a token reaches over a space")
+            for i, x in zip(some, np.split(ids, at[:-1])):
+                parts[i] = x
+        self.known = pa.concat_arrays([self.known, new])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in parts])])
+        self.ids = np.concatenate([self.ids, *parts])
+
+    def _pieces(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces of a buffer, one after the other, and how many each piece has."""
+        pieces = pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer((off - off[0]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(b[off[0] : off[-1]])))
+        told = pieces.dictionary_encode()
+        words = told.dictionary
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(at.is_null())
+        if len(new):
+            if len(self.known) > REMEMBER:
+                self._forget()
+                new = words
+            self._learn(new)
+            at = pc.index_in(words, value_set=self.known)
+        place = np.asarray(at).astype(np.int64)[np.asarray(told.indices)]
+        n = np.diff(self.first)[place]
+        begin = np.repeat(self.first[:-1][place] - np.cumsum(n) + n, n)
+        return self.ids[begin + np.arange(len(begin))], n
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        text = Text(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), lower=False)
+        b, size = text.bytes, np.zeros(len(text.bytes) + 1, bool)
+        at = np.flatnonzero((b == 32) | (b == 10))
+        at = at[at > 0]
+        size[at[~_after_space(b, at)]] = True
+        size[text.off[:-1]] = True
+        off = np.flatnonzero(size[:-1])
+        out, upto = [], np.zeros(len(off) + 1, np.int64)
+        # by groups of about CHUNK bytes, also inside a text
+        group = np.searchsorted(off, np.arange(0, len(b), CHUNK)) if len(b) else []
+        for i, j in zip(group, [*group[1:], len(off)]):
+            if i < j:
+                ids, n = self._pieces(b, np.append(off[i:j], off[j] if j < len(off) else len(b)))
+                out.append(ids)
+                upto[i + 1 : j + 1] = n
+        np.cumsum(upto, out=upto)
+        ids = np.concatenate(out).astype("<u4") if out else np.zeros(0, "<u4")
+        at = upto[np.searchsorted(off, text.off)]
+        return [ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
 
 
 def encoder(path: str) -> Encoder:
@@ -199,7 +260,6 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents
     (doc_id, text). Each partition is packed by itself: no shuffle."""
-    small_batches(docs)
     tail = np.array([end_id], "<u4").tobytes()
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -212,20 +272,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
         enc = encoder(tokenizer)
         packer = Packer(enc.sentence_end)
         schema = None
-        for batch in batches:
+        for part in gathered(batches, "text", CHUNK):
             if schema is None:
-                schema = pa.schema([("doc_id", batch.schema.field("doc_id").type)] + [(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-            for part in chunks(batch, "text"):
-                ids = part.column("doc_id").to_pylist()
-                for doc_id, x in zip(ids, enc.encode(part.column("text").to_pylist())):
-                    packer.add(doc_id, x + tail)
-                yield from rows_of(packer, schema)
+                schema = pa.schema([("doc_id", part.schema.field("doc_id").type)] + [(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+            for doc_id, x in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text"))):
+                packer.add(doc_id, x + tail)
+            yield from rows_of(packer, schema)
         if schema is not None:
             packer.solve(True)
             yield from rows_of(packer, schema)
 
     out = f"doc_id {doc_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return cut(docs.select("doc_id", "text").mapInArrow(run, out), "pieces")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

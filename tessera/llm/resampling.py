@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Text, chunks, cut, id_text, mix64, small_batches, windows
+from tessera.llm.common import Text, chunks, cut, id_text, mix64, to_arrow, windows
 
 BUCKETS_LOG2 = 16
 LABELLED = 20_000
@@ -59,7 +59,7 @@ def fit(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"b": at, "raw": raw[at], "target": target[at]})
 
-    sums = rows.select("text", "is_target").mapInArrow(run, "b long, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    sums = to_arrow(rows.select("text", "is_target").mapInArrow(run, "b long, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     raw, target = (np.ones(1 << BUCKETS_LOG2) for _ in range(2))
     if sums.num_rows:
         b = np.asarray(sums.column("b").combine_chunks())
@@ -113,7 +113,6 @@ def resample(docs: DataFrame, ids: DataFrame, keep: float = KEEP) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept) of every document. ``ids`` (doc_id): the target, of
     bounded size."""
     flagged = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("_t", F.lit(True))), "doc_id", "left")
-    small_batches(docs)
     ratio = fit(flagged.select("text", F.coalesce("_t", F.lit(False)).alias("is_target")))
     scored = cut(weigh(docs.select("doc_id", "text", F.xxhash64(id_text(F.col("doc_id"))).alias("_seed")), ratio), "weights")
     n = scored.count()
