@@ -8,6 +8,7 @@ on bytes and on characters.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,6 +72,16 @@ def to_arrow(df: DataFrame) -> pa.Table:
         return df.toArrow()
 
 
+def join_on(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key) where some keys may hold a large share of the
+    ``total`` rows: ``weight`` is the number of rows with the table's key. The keys that hold more
+    than a thousandth each, fewer than 1,000 by arithmetic, are broadcast; the others are shuffled."""
+    heavy = F.col(weight) * 1000 > total
+    hot = table.where(heavy).drop(weight)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~heavy).drop(weight), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def own_columns(docs: DataFrame, **wanted: Column) -> DataFrame:
     """Only the named columns. Reading input columns first keeps any extra columns, whatever
     they are called, out of the operators."""
@@ -112,23 +123,13 @@ def global_index(df: DataFrame, *order: Column, name: str = "index") -> DataFram
 #: Bytes of text handled at once inside a task; a single longer text is handled alone, whole.
 CHUNK = 2 << 20
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-_P = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK)
-        inverse = pow(_P, -1, 1 << 64)
-        for k, base in enumerate((_P, inverse)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+#: Longer words are hashed by a digest.
+DIGEST = 64
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -176,10 +177,28 @@ class Text:
     def word_hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """A 64-bit hash of each word, and for each text the index of its first word (n + 1)."""
         s, e, first = self.words()
-        power, inverse = _power_tables(len(self.bytes) + 1)
-        sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[: len(self.bytes)], out=sums[1:])
-        return mix64((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)), first
+        return self.hash_runs(s, e), first
+
+    def hash_runs(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each run of bytes from s to e: eight bytes after eight are mixed in, the
+        few very long runs by a digest of the whole."""
+        n = e - s
+        h = mix64(n.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        if not len(s):
+            return h
+        padded = np.concatenate([self.bytes, np.zeros(8, np.uint8)])
+        lanes = np.ndarray(len(self.bytes) + 1, "<u8", padded, strides=(1,))
+        some = slice(None)
+        for k in range(0, DIGEST, 8):
+            left = n[some] - k
+            x = lanes[s[some] + k] & _LANE[np.minimum(left, 8)]
+            h[some] = mix64((h[some] ^ x) * np.uint64(0xD6E8FEB86659FD93))
+            some = np.flatnonzero(n > k + 8)
+            if not len(some):
+                return h
+        for i in some.tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.bytes[s[i] : e[i]], digest_size=8).digest(), "little")
+        return h
 
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

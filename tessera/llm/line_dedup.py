@@ -1,46 +1,57 @@
 """Fuzzy line deduplication with SimHash.
 
 A line's normal form is its words, A-Z in lower case and ASCII punctuation removed. Equal
-normal forms are one class. Every class has a 64-bit SimHash of its words; two classes
-are close if their hashes differ in at most ``DISTANCE`` bits, so of ``BLOCKS`` blocks at
-least BLOCKS - DISTANCE agree (pigeonhole), and classes meet on each such choice of
-blocks. One changed word moves more bits than that in most lines, so with ``windows``
-classes also meet on windows of their characters: on the ``windows`` windows with the
-least hashes, and on all windows of lines of less than ``ALL`` bytes; what bounds on
-lengths and character counts rule out goes, and nothing else. The query and the pipeline
-set it. Close classes are linked if the edit similarity of their normal forms, 1 -
-levenshtein / longer length, is at least ``SIMILARITY``. Of each connected group of lines
-the first occurrence (by document id, then line) stays in its document; all other lines
-of the group go.
+normal forms are one class. The SimHash of a class consists of blocks of 64 bits: every
+word is dealt to one block by its hash, and a block's bits are the majority vote of its own
+words. So one changed word touches two blocks at most, wherever in the line it is and
+however words shift; d changed words leave a block untouched as long as 2 d is less than the
+number of blocks (pigeonhole), and by chance often beyond. ``LEVELS`` gives the blocks by
+the number of words; classes meet on equal blocks (short lines: on equal pairs of blocks)
+that at least ``LEAST`` words voted in. Lines with fewer words than the first level meet on
+their words less one or two, and very short ones on their characters less one. Scripts
+without spaces count each character as a word, words over ``LONG`` bytes are taken in pieces.
+
+Classes that meet are linked if the edit similarity of their normal forms, 1 - levenshtein
+/ longer length, is at least ``SIMILARITY``. Of each connected group of lines the first
+occurrence (by document id, then line) stays in its document; all other lines of the group
+go.
 
 Cases: lines without a word (after normalising) always stay; null text stays null with
 0 lines; null ids come last in the order of occurrences. Rows with the same id and
 text are one document: they get the same result. Lines are told apart by a 64-bit hash of
-the normal form. Other columns, whatever their names, pass through ``dedup`` unread.
+the normal form. Other columns, whatever their names, pass through ``dedup`` unread. An
+empty table gives an empty one. Pairs whose changes touch every block are missed: README.md
+has the measured recall.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _SPACE, Text, bitmap, chunks, cut, in_bitmap, mix64, signed
+from tessera.llm.common import _SPACE, Text, bitmap, chunks, cut, in_bitmap, join_on, mix64, signed
 from tessera.llm.linking import connect
 
-DISTANCE, BLOCKS = 3, 5
 SIMILARITY = 0.9
-#: Windows of a line that it can meet others on, with the lengths that windows have from a line's length on.
-WINDOWS, LEVELS = 16, ((9, 5), (24, 7), (48, 13))
-#: Lines of fewer bytes meet on all their windows.
-ALL = 48
-_GROUP = np.where((np.arange(256) >= 97) & (np.arange(256) <= 122), (np.arange(256) - 97) % 13, 13 + np.arange(256) % 3)
+#: From so many words on, so many blocks, and how many of them a key takes.
+LEVELS = ((8, 6, 2), (24, 7, 1), (48, 12, 1), (96, 16, 1))
+#: A line can have a partner of the level below it: up to this many times a level's first words it has keys of both.
+OVERLAP = 1.08
+#: Words that a key needs; bytes from which a word is taken in pieces of eight bytes; lines of so many characters meet on theirs less one.
+LEAST, LONG, TINY = 3, 32, (9, 20)
+#: Lines that a task remembers having handled; beyond, it begins anew (repeated rows fall together later).
+SEEN = 1 << 20
 _DROP = np.zeros(256, bool)
 _DROP[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _SPREAD = np.array([int.from_bytes(bytes((x >> j) & 1 for j in range(8)), "little") for x in range(256)], np.uint64)
+#: First bytes of characters of scripts that mostly don't put spaces between words.
+_UNSPACED = np.zeros(256, bool)
+_UNSPACED[[0xE0, *range(0xE3, 0xF8)]] = True
 
 
 class Lines(Text):
@@ -51,7 +62,6 @@ class Lines(Text):
         newline = np.flatnonzero(self.bytes == 10) + 1
         begin = np.sort(np.concatenate([self.off[:-1], newline]))  # an empty text is one empty line
         # a newline that ends a text begins an empty last line there, before the next text's first line
-        self.doc = np.searchsorted(self.off[:-1], begin, side="right") - 1
         counts = np.ones(self.n, np.int64)
         np.add.at(counts, np.searchsorted(self.off, newline - 1, side="right") - 1, 1)
         self.doc = np.repeat(np.arange(self.n), counts)
@@ -62,112 +72,140 @@ class Lines(Text):
         self.bytes = self.bytes[keep]
         self.off = upto[np.concatenate([begin, self.off[-1:]])]
         self.n = len(begin)
+        self.starts, self.ends, self.first = self.words()
+        self.hashed = self.hash_runs(self.starts, self.ends)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(lines with a word, the hash of their words)."""
-        return self._hashed()[:2]
-
-    def _hashed(self):
-        h, first = self.word_hashes()
-        count = np.diff(first)
+        count = np.diff(self.first)
         lines = np.flatnonzero(count)
         if not len(lines):
-            return lines, np.zeros(0, np.uint64), h, lines, lines
-        begin, count = first[:-1][lines], count[lines]
-        place = np.arange(first[-1], dtype=np.uint64) - np.repeat(begin, count).astype(np.uint64)
-        key = mix64(np.add.reduceat(mix64(h + place * np.uint64(0x9E3779B97F4A7C15)), begin) + count.astype(np.uint64))
-        return lines, key, h, begin, count
-
-    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(lines with a word, the hash of their words, their SimHash)."""
-        lines, key, h, begin, count = self._hashed()
-        if not len(lines):
-            return lines, key, key
-        # byte-wise counters hold up to 255 words; longer lines are summed in segments
-        segments = (count + 254) // 255
-        at = np.repeat(begin, segments) + (np.arange(segments.sum()) - np.repeat(np.cumsum(segments) - segments, segments)) * 255
-        octets = h.view(np.uint8).reshape(-1, 8)
-        votes = np.stack([np.add.reduceat(_SPREAD[octets[:, j]], at) for j in range(8)], 1).view(np.uint8).reshape(-1, 64)
-        votes = np.add.reduceat(votes.astype(np.int32), np.cumsum(segments) - segments, axis=0)
-        bits = 2 * votes > count[:, None]
-        return lines, key, np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-
-    def forms(self) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all normal forms, and where each begins (n + 1)."""
-        solid = ~_SPACE[self.bytes]
-        keep = solid.copy()
-        keep[1:] |= solid[:-1]  # the first blank after a word
-        at = self.off[:-1][self.off[:-1] < self.off[1:]]
-        keep[at] = solid[at]
-        # and not the blank after a line's last word
-        s, e, first = self.words()
-        last = e[first[1:][np.diff(first) > 0] - 1]
-        line_end = self.off[1:][np.diff(first) > 0]
-        keep[last[last < line_end]] = False
-        upto = np.zeros(len(keep) + 1, np.int64)
-        np.cumsum(keep, out=upto[1:])
-        return np.where(solid, self.bytes, np.uint8(32))[keep], upto[self.off]
-
-    def sketches(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the lines ``at``: characters of the normal form, and how many are of each of 16 groups
-        (255 at most), eight counts a number."""
-        b, off = self.forms()
-        line = np.repeat(np.arange(self.n), np.diff(off))
-        whole = (b & 0xC0) != 0x80
-        counts = np.bincount(line[whole] * 16 + _GROUP[b[whole]], minlength=16 * self.n).reshape(-1, 16)[at]
-        packed = np.ascontiguousarray(np.minimum(counts, 255).astype(np.uint8)).view(np.int64)
-        return counts.sum(1), packed[:, 0], packed[:, 1]
-
-    def window_keys(self, lines: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index into ``lines``, key) of the windows that these lines meet on."""
-        b, off = self.forms()
-        begin, n = off[:-1][lines], np.diff(off)[lines]
+            return lines, np.zeros(0, np.uint64)
+        begin, count = self.first[:-1][lines], count[lines]
+        place = np.arange(self.first[-1], dtype=np.uint64) - np.repeat(begin, count).astype(np.uint64)
+        return lines, mix64(np.add.reduceat(mix64(self.hashed + place * np.uint64(0x9E3779B97F4A7C15)), begin) + count.astype(np.uint64))
+
+    def form(self, i: int) -> bytes:
+        """The normal form of a line."""
+        return b" ".join(self.bytes[self.off[i] : self.off[i + 1]].tobytes().split())
+
+    def sizes(self) -> np.ndarray:
+        """Characters of each normal form."""
+        whole = ((self.bytes & 0xC0) != 0x80) & ~_SPACE[self.bytes]
+        return self.per_text(whole) + np.maximum(np.diff(self.first) - 1, 0)
+
+    def units(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of what counts as a word when lines meet, and each line's first (n + 1)."""
+        s, e, b = self.starts, self.ends, self.bytes
+        lead = np.flatnonzero(_UNSPACED[b])
+        taken = e - s > LONG
+        far = np.flatnonzero(taken)
+        taken[np.searchsorted(s, lead, side="right") - 1] = True
+        if not taken.any():
+            return self.hashed, self.first
+        # such a character is a word of its own, so what follows it begins anew
+        begin = np.unique(np.concatenate([s[taken], lead, lead + np.where(b[lead] >= 0xF0, 4, 3), *[np.arange(s[i], e[i], 8) for i in far]]))
+        word = np.searchsorted(s, begin, side="right") - 1
+        begin, word = (x[taken[word] & (begin < e[word])] for x in (begin, word))
+        h = self.hash_runs(begin, np.minimum(np.append(begin[1:], len(b)), e[word]))
+        every = np.concatenate([s[~taken], begin])
+        order = np.argsort(every)
+        return np.concatenate([self.hashed[~taken], h])[order], np.searchsorted(every[order], self.off)
+
+    def meeting(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into ``lines``, key) of what these lines meet others on."""
+        h, first = self.units()
+        begin, n = first[:-1][lines], np.diff(first)[lines]
         index, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for level, (least, q) in enumerate(LEVELS):
-            # a line can have a partner of the level below it: in bytes up to four times as many edits show
-            above = LEVELS[level + 1][0] * 3 // 2 if level + 1 < len(LEVELS) else np.iinfo(np.int64).max
+        for k, (least, blocks, take) in enumerate(LEVELS):
+            above = LEVELS[k + 1][0] * OVERLAP if k + 1 < len(LEVELS) else np.inf
             some = np.flatnonzero((n >= least) & (n < above))
-            if not len(some):
-                continue
-            h = np.zeros(len(b) - q + 1, np.uint64)
-            for j in range(q):
-                h *= np.uint64(0x9E3779B97F4A7C15)
-                h += b[j : len(b) - q + 1 + j]
-                h += np.uint64(1)
-            h = mix64(h + np.uint64(q)) >> np.uint64(21)
-            count = n[some] - q + 1
-            place = np.arange(count.sum()) + np.repeat(begin[some] - np.cumsum(count) + count, count)
-            packed = np.repeat(np.arange(len(some), dtype=np.uint64) << np.uint64(43), count) | h[place]
-            packed.sort()
-            packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
-            line = (packed >> np.uint64(43)).astype(np.int64)
-            rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(some)))[line]
-            keep = (rank < most) | (n[some][line] < ALL)
-            index.append(some[line[keep]])
-            keys.append(mix64((packed[keep] & np.uint64((1 << 43) - 1)) * np.uint64(len(LEVELS)) + np.uint64(level)))
+            if len(some):
+                sim, votes = simhash(h, begin[some], n[some], blocks)
+                for pick in combinations(range(blocks), take):
+                    key = np.full(len(some), np.uint64(k * 4096))
+                    for j in pick:
+                        key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + sim[:, j] + np.uint64(j))
+                    good = votes[:, list(pick)].sum(1) >= LEAST
+                    index.append(some[good])
+                    keys.append(key[good])
+        few = np.flatnonzero(n < LEVELS[0][0] * OVERLAP)
+        size = self.sizes()[lines[few]]
+        tiny = (size <= TINY[1]) | (n[few] == 1) & (size <= LONG)
+        for i in few[tiny & (size >= TINY[0])].tolist():
+            mine = less_one(self.form(lines[i]).decode())
+            index.append(np.full(len(mine), i))
+            keys.append(mix64(np.array(mine, np.uint64)))
+        few = few[~tiny | (size >= TINY[1] - 1) & (n[few] > 1)]  # a line of 21 characters can have a partner of 19
+        for m in np.unique(n[few]).tolist():
+            some = few[n[few] == m]
+            words = h[begin[some][:, None] + np.arange(m)]
+            total = words.sum(1)
+            left = [total, *((total - words[:, i]) for i in range(m if m > 1 else 0))]
+            if m >= 5:
+                left += [total - words[:, i] - words[:, j] for i, j in combinations(range(m), 2)]
+            for x in left:
+                index.append(some)
+                keys.append(mix64(x ^ np.uint64(0x5851F42D4C957F2D)))
         return np.concatenate(index), np.concatenate(keys)
 
 
+def simhash(h: np.ndarray, begin: np.ndarray, n: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """For lines of ``n`` words each, whose hashes begin at ``begin`` in ``h``: the blocks of their
+    SimHash, and how many words voted in each."""
+    words = h[np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)]
+    place = np.repeat(np.arange(len(n)), n) * blocks + ((words >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(place)
+    place = place[order]
+    votes = np.bincount(place, minlength=len(n) * blocks)
+    some = np.flatnonzero(votes)
+    count = votes[some]
+    at = np.cumsum(count) - count
+    # byte-wise counters hold up to 255 words; larger blocks are summed in segments
+    parts = (count + 254) // 255
+    cuts = np.cumsum(parts) - parts
+    starts = np.repeat(at, parts) + (np.arange(parts.sum()) - np.repeat(cuts, parts)) * 255
+    octets = mix64(words[order]).view(np.uint8).reshape(-1, 8)
+    sums = np.stack([np.add.reduceat(_SPREAD[octets[:, j]], starts) for j in range(8)], 1).view(np.uint8).reshape(-1, 64)
+    if len(starts) > len(some):
+        sums = np.add.reduceat(sums.astype(np.int32), cuts, axis=0)
+        bits = 2 * sums > count[:, None]
+    else:
+        bits = sums > (count // 2).astype(np.uint8)[:, None]
+    out = np.zeros(len(n) * blocks, np.uint64)
+    out[some] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out.reshape(-1, blocks), votes.reshape(-1, blocks)
+
+
+def less_one(form: str) -> list[int]:
+    """Hashes of a short text, and of it less each character."""
+    texts = {form, *(form[:i] + form[i + 1 :] for i in range(len(form)))}
+    return [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in texts]
+
+
 def occurrences(keyed: DataFrame) -> DataFrame:
-    """(uid, doc_id, no, h, sim, n, c0, c1) of every line with a word; ``keyed`` has uid, doc_id, text."""
+    """(uid, doc_id, no, h) of every line with a word; ``keyed`` has uid, doc_id, text."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
                 lines = Lines(part.column("text"))
-                at, h, sim = lines.hashes()
+                at, h = lines.keys()
                 doc = pa.array(lines.doc[at])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("uid").take(doc), part.column("doc_id").take(doc), pa.array(lines.no[at]), pa.array(signed(h)), pa.array(signed(sim)), *map(pa.array, lines.sketches(at))],
-                    names=["uid", "doc_id", "no", "h", "sim", "n", "c0", "c1"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("uid").take(doc), part.column("doc_id").take(doc), pa.array(lines.no[at]), pa.array(signed(h))], names=["uid", "doc_id", "no", "h"])
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.select("uid", "doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, no long, h long, sim long, n long, c0 long, c1 long")
+    return keyed.select("uid", "doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, no long, h long")
 
 
-def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(id, line) of the lines whose hash is in the filter; once a task for equal lines."""
+def _new(seen: set[int], h: list[int]) -> list[int]:
+    if len(seen) > SEEN:
+        seen.clear()
+    return [i for i, k in enumerate(h) if not (k in seen or seen.add(k))]
+
+
+def meeting_keys(docs: DataFrame) -> DataFrame:
+    """(key, id) of what each line meets others on; once a task for equal lines."""
 
     def run(batches):
         seen: set[int] = set()
@@ -175,22 +213,16 @@ def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
             for part in chunks(batch, "text"):
                 lines = Lines(part.column("text"))
                 at, h = lines.keys()
-                hit = in_bitmap(wanted, h)
-                raw = lines.bytes.tobytes()
-                ids, forms = [], []
-                for i, k in zip(at[hit].tolist(), signed(h[hit]).tolist()):
-                    if k not in seen:
-                        seen.add(k)
-                        ids.append(k)
-                        forms.append(b" ".join(raw[lines.off[i] : lines.off[i + 1]].split()).decode())
-                if ids:
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "line": pa.array(forms, pa.string())})
+                h = signed(h)
+                new = np.array(_new(seen, h.tolist()), np.int64)
+                line, key = lines.meeting(at[new])
+                yield pa.RecordBatch.from_pydict({"key": signed(key), "id": h[new][line]})
 
-    return docs.select("text").mapInArrow(run, "id long, line string")
+    return docs.select("text").mapInArrow(run, "key long, id long")
 
 
-def meeting_keys(docs: DataFrame, windows: int) -> DataFrame:
-    """(key, id) of the windows that each line meets others on; once a task for equal lines."""
+def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(id, line) of the lines whose hash is in the filter; once a task for equal lines."""
 
     def run(batches):
         seen: set[int] = set()
@@ -198,12 +230,13 @@ def meeting_keys(docs: DataFrame, windows: int) -> DataFrame:
             for part in chunks(batch, "text"):
                 lines = Lines(part.column("text"))
                 at, h = lines.keys()
-                h = signed(h)
-                new = [i for i, k in enumerate(h.tolist()) if not (k in seen or seen.add(k))]
-                line, key = lines.window_keys(at[new], windows)
-                yield pa.RecordBatch.from_pydict({"key": signed(key), "id": h[new][line]})
+                hit = in_bitmap(wanted, h)
+                at, h = at[hit], signed(h[hit])
+                new = _new(seen, h.tolist())
+                if new:
+                    yield pa.RecordBatch.from_pydict({"id": h[new], "line": pa.array([lines.form(i).decode() for i in at[new]], pa.string())})
 
-    return docs.select("text").mapInArrow(run, "key long, id long")
+    return docs.select("text").mapInArrow(run, "id long, line string")
 
 
 def _common(a: str, b: str) -> int:
@@ -263,37 +296,19 @@ def alike(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
     return np.abs(counts[0] - counts[1]).sum(1) <= 4 * most
 
 
-def block_keys(sim: Column, distance: int = DISTANCE, blocks: int = BLOCKS) -> Column:
-    """One key for each choice of blocks - distance blocks of a 64-bit hash."""
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned(sim, a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
-    return F.array(*[F.xxhash64(F.lit(i), *[part[j] for j in pick]) for i, pick in enumerate(combinations(range(blocks), blocks - distance))])
-
-
-def link_lines(docs: DataFrame, classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, similarity: float = SIMILARITY, windows: int = 0) -> DataFrame:
-    """(id, root) of the line classes (h, sim, n, c0, c1) that links join."""
-    each = classes.select(F.explode(block_keys(F.col("sim"), distance, blocks)).alias("key"), F.col("h").alias("id"), "sim")
+def link_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, root) of the line classes of ``docs`` that links join."""
+    met = Window.partitionBy("key")
+    keyed = meeting_keys(docs).withColumn("lo", F.min("id").over(met)).withColumn("hi", F.max("id").over(met))
+    met = cut(keyed.where("lo < hi").select("key", "id").distinct(), "meeting")
+    wanted = cut(met.select("id").distinct(), "wanted")
+    lines = cut(normal_forms(docs, bitmap(wanted, "id")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "forms")
+    entries = cut(met.join(lines.select("id", F.length("line").alias("n")), "id"), "entries")
 
     def may(a: str, b: str) -> str:
-        if not windows:
-            return f"bit_count({a}.sim ^ {b}.sim) <= {distance}"
-        # an edit changes the length by one at most, and two counts by one each, or one if the length changes
-        most = f"floor({1 - similarity} * greatest({a}.n, {b}.n) + 1e-9)"
-        apart = [f"abs((shiftrightunsigned({a}.{c}, {i}) & 255) - (shiftrightunsigned({b}.{c}, {i}) & 255))" for c in ("c0", "c1") for i in range(0, 64, 8)]
-        return f"abs({a}.n - {b}.n) <= {most} and abs({a}.n - {b}.n) + {' + '.join(apart)} <= 2 * {most}"
-
-    if windows:
-        met = Window.partitionBy("key")
-        both = each.select("key", "id").union(meeting_keys(docs, windows)).withColumn("lo", F.min("id").over(met)).withColumn("hi", F.max("id").over(met))
-        forms = classes.select(F.col("h").alias("id"), "n", "c0", "c1")
-        entries = cut(both.where("lo < hi").select("key", "id").distinct().join(forms, "id"), "close")
-    else:
-        close = each.alias("l").join(each.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.id") != F.col("r.id")) & F.expr(may("l", "r")), "left_semi")
-        entries = cut(close, "close")
+        return f"abs({a}.n - {b}.n) <= floor({1 - similarity} * greatest({a}.n, {b}.n) + 1e-9)"
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        lines = cut(normal_forms(docs, bitmap(wanted, "id")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "lines")
         both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
 
         def run(batches):
@@ -308,33 +323,34 @@ def link_lines(docs: DataFrame, classes: DataFrame, distance: int = DISTANCE, bl
     return connect(entries, ["id"], may, verify)
 
 
-def dedup(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, similarity: float = SIMILARITY, windows: int = 0) -> DataFrame:
+def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with deduplicated text, and n_lines, n_dropped, n_left (lines with a word that stay)."""
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("uid"))
     slim = keyed.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     occ = cut(occurrences(slim), "lines")
+    total = occ.count()
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "no")
-    classes = cut(occ.groupBy("h").agg(*[F.min(c).alias(c) for c in ("sim", "n", "c0", "c1")], F.min(place).alias("first"), F.max(place).alias("end")), "classes")
-    roots = link_lines(slim, classes.select("h", "sim", "n", "c0", "c1"), distance, blocks, similarity, windows)
-    joined = classes.select("h", "first", "end").join(roots.withColumnRenamed("id", "h"), "h", "left")
-    linked = cut(joined.where("root is not null or first <> end").withColumn("root", F.coalesce("root", "h")), "linked")
-    stays = linked.groupBy("root").agg(F.min("first").alias("stay"))
-    groups = linked.join(stays, "root").select("h", F.col("stay.uid").alias("stay_uid"), F.col("stay.no").alias("stay_no"))
-    drops = occ.join(groups, "h").where("uid <> stay_uid or no <> stay_no").groupBy("uid").agg(F.collect_set("no").alias("drops"))
-    counts = occ.groupBy("uid").agg(F.countDistinct("no").alias("worded"))
-    marks = counts.join(drops, "uid", "left")
-    lines = F.split(F.col("row.text"), "\n")
+    classes = occ.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times"))
+    roots = link_lines(slim, similarity)
+    joined = classes.join(roots.withColumnRenamed("id", "h"), "h", "left")
+    linked = cut(joined.where("root is not null or times > 1").select("h", "first", "times", F.coalesce("root", "h").alias("root")), "linked")
+    stays = linked.groupBy("root").agg(F.min("first").alias("stay"), F.count("*").alias("members"))
+    groups = join_on(linked.select("h", "times", "root"), stays, "root", "members", total).select("h", "times", F.col("stay.uid").alias("stay_uid"), F.col("stay.no").alias("stay_no"))
+    marks = join_on(occ.select("uid", "no", "h"), cut(groups, "groups"), "h", "times", total).where("uid <> stay_uid or no <> stay_no")
+    drops = marks.groupBy("uid").agg(F.collect_set("no").alias("drops"))
     none = F.array().cast("array<long>")
-    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.coalesce("drops", none))
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_lines").cast("long") - 1), F.coalesce("drops", none))
     text = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i.cast("int"))), "\n")
-    out = keyed.join(marks, "uid", "left").withColumn("_lines", lines)
+    out = keyed.join(drops, "uid", "left").withColumn("_lines", F.split(F.col("row.text"), "\n"))
     dropped = F.coalesce(F.size(F.coalesce("drops", none)), F.lit(0)).cast("long")
     n_lines = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long")
+    # a character that is neither white space nor ASCII punctuation makes a word
+    worded = F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]"))), F.lit(0)).cast("long")
     return out.select(
         *[F.when(F.col("drops").isNull(), F.col("row.text")).otherwise(text).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
-        n_lines.alias("n_lines"), dropped.alias("n_dropped"), (F.coalesce("worded", F.lit(0)).cast("long") - dropped).alias("n_left"),
+        n_lines.alias("n_lines"), dropped.alias("n_dropped"), (F.greatest(worded, F.lit(0).cast("long")) - dropped).alias("n_left"),
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), windows=WINDOWS)
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

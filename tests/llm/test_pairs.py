@@ -133,13 +133,11 @@ def distance(a, b):
     return row[-1]
 
 
-def simhashes(lines):
-    x = line_dedup.Lines(pa.array(lines))
-    at, h, sim = x.hashes()
-    return dict(zip([lines[i] for i in at.tolist()], [int(s) for s in sim]))
+def alike(a, b):
+    return distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9)
 
 
-def test_lines_equal_brute_force(documents):
+def test_lines_equal_brute_force_by_edit_similarity(documents):
     rng = random.Random(4)
     pool = [sentence(40, s) for s in range(12)]
     docs = []
@@ -154,8 +152,7 @@ def test_lines_equal_brute_force(documents):
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(documents(docs)).collect()}
     places = [(i, n, normal(x)) for i, t in docs for n, x in enumerate(t.split("\n"))]
     forms = sorted({f for _, _, f in places if f})
-    sim = simhashes(forms)
-    links = [(a, b) for a, b in combinations(forms, 2) if bin(sim[a] ^ sim[b]).count("1") <= 3 and distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9)]
+    links = [(a, b) for a, b in combinations(forms, 2) if abs(len(a) - len(b)) < 30 and alike(a, b)]
     assert links
     root, seen, want = groups(forms, links), set(), {}
     for i, t in docs:
@@ -170,7 +167,7 @@ def test_lines_equal_brute_force(documents):
     assert got == want
 
 
-def test_lines_with_windows_equal_brute_force_by_edit_similarity(documents):
+def test_lines_of_all_lengths_equal_brute_force(documents):
     rng = random.Random(9)
     forms = set()
     for n in (2, 3, 4, 6, 8, 10, 15, 20, 30, 60, 100):
@@ -184,25 +181,78 @@ def test_lines_with_windows_equal_brute_force_by_edit_similarity(documents):
                 forms.add(" ".join(changed))
     forms = sorted({normal(f) for f in forms})
     links = [(a, b) for a, b in combinations(forms, 2) if line_dedup.within(a, b, int(0.1 * max(len(a), len(b)) + 1e-9))]
-    sim = simhashes(forms)
-    assert sum(bin(sim[a] ^ sim[b]).count("1") > 3 for a, b in links) > len(links) / 2
     rng.shuffle(forms)
     docs = list(enumerate(forms))
     root = groups(forms, links)
     first = {}
     for f in forms:
         first.setdefault(root[f], f)
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(documents(docs), windows=line_dedup.WINDOWS).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(documents(docs)).collect()}
     assert got == {i: f if first[root[f]] == f else "" for i, f in docs}
 
 
-def test_forms_and_sketches():
+def meeting_pairs(forms):
+    """Pairs of different lines that share a key."""
+    x = line_dedup.Lines(pa.array(forms))
+    at, _ = x.keys()
+    line, key = x.meeting(at)
+    met = {}
+    for i, k in zip(at[line].tolist(), key.tolist()):
+        met.setdefault(k, set()).add(i)
+    return {p for ids in met.values() for p in combinations(sorted(ids), 2)}
+
+
+def test_recall_on_real_lines(spark, sf_dir):
+    """All pairs of sf0.001's lines by edit similarity alone, against the pairs that meet."""
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    forms = sorted({normal(x) for t in texts for x in (t or "").split("\n")} - {""})
+    letters = sorted({c for f in forms for c in f})
+    count = np.array([[f.count(c) for c in letters] for f in forms])
+    n = count.sum(1)
+    true = set()
+    for i in range(len(forms)):
+        most = (0.1 * np.maximum(n[i], n[i + 1 :]) + 1e-9).astype(int)
+        # an edit changes the length by one and the counts of letters by two at most
+        may = (np.abs(n[i] - n[i + 1 :]) <= most) & (np.abs(count[i] - count[i + 1 :]).sum(1) <= 2 * most)
+        true |= {(i, j) for j in (np.flatnonzero(may) + i + 1).tolist() if alike(forms[i], forms[j])}
+    assert len(true) >= 30
+    assert len(true & meeting_pairs(forms)) >= 0.9 * len(true)
+
+
+CHANGES = {
+    "a letter": lambda rng, w: w | {(i := rng.randrange(len(w))): w[i][:-1] + "z"},
+    "a word": lambda rng, w: w | {rng.randrange(len(w)): "q" * 4},
+    "a word more": lambda rng, w: w | {(i := rng.randrange(len(w))): w[i] + " nu"},
+    "a word less": lambda rng, w: w | {rng.randrange(len(w)): ""},
+    "two letters": lambda rng, w: w | {(i := rng.randrange(len(w))): w[i][:-1] + "z"} | {(j := rng.randrange(len(w))): "y" + w[j][1:]},
+}
+
+
+@pytest.mark.parametrize("change", sorted(CHANGES))
+@pytest.mark.parametrize("n", [10, 20, 30, 50, 100, 200])
+def test_recall_on_changed_lines(change, n):
+    rng = random.Random(n)
+    true = found = 0
+    for s in range(120):
+        w = dict(enumerate(words(n, 1000 * n + s)))
+        a, b = (" ".join(" ".join(x.values()).split()) for x in (w, CHANGES[change](rng, w)))
+        if a != b and alike(a, b):
+            true += 1
+            found += len(meeting_pairs([a, b]))
+    assert true >= 30 and found >= 0.9 * true
+
+
+def test_lines_without_spaces_meet():
+    a = "".join(chr(0x4E00 + 37 * i % 2000) for i in range(60))
+    assert meeting_pairs([a, a[:20] + "一一" + a[21:]]) and meeting_pairs(["x" * 30 + "abcd" * 20, "x" * 30 + "abcd" * 18 + "abxdabcd"])
+
+
+def test_forms_and_sizes():
     texts = ["  Ab, c  d \n\n x", "", None, "é é\n--\nlast word \n", "\t\t\n a"]
     x = line_dedup.Lines(pa.array(texts))
-    b, off = x.forms()
     want = [normal(line) for t in texts for line in (t or "").split("\n")]
-    assert [b[i:j].tobytes().decode() for i, j in zip(off, off[1:])] == want
-    assert x.sketches(np.arange(x.n))[0].tolist() == [len(w) for w in want]
+    assert [x.form(i).decode() for i in range(x.n)] == want
+    assert x.sizes().tolist() == [len(w) for w in want]
 
 
 def test_line_edges(documents, edge_rows):
