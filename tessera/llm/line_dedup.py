@@ -3,11 +3,12 @@
 A line's normal form is its words, A-Z in lower case and ASCII punctuation removed. Equal
 normal forms are one class. The SimHash of a class consists of blocks of 64 bits: every
 word is dealt to one block by its hash, and a block's bits are the majority vote of its own
-words. So one changed word touches two blocks at most, wherever in the line it is and
+distinct words. So one changed word touches two blocks at most, wherever in the line it is and
 however words shift; d changed words leave a block untouched as long as 2 d is less than the
 number of blocks (pigeonhole), and by chance often beyond. ``LEVELS`` gives the blocks by
 the number of words; classes meet on equal blocks (short lines: on equal pairs of blocks)
-that at least ``LEAST`` words voted in. Lines with fewer words than the first level meet on
+in which two words or more voted, of weight ``LEAST`` or more together (a word weighs its
+bytes less two, eight at most), so that common short words alone bring nothing together. Lines with fewer words than the first level meet on
 their words less one or two, and very short ones on their characters less one. Scripts
 without spaces count each character as a word, words over ``LONG`` bytes are taken in pieces.
 
@@ -42,10 +43,12 @@ SIMILARITY = 0.9
 LEVELS = ((8, 6, 2), (24, 7, 1), (48, 12, 1), (96, 16, 1))
 #: A line can have a partner of the level below it: up to this many times a level's first words it has keys of both.
 OVERLAP = 1.08
-#: Words that a key needs; bytes from which a word is taken in pieces of eight bytes; lines of so many characters meet on theirs less one.
-LEAST, LONG, TINY = 3, 32, (9, 20)
+#: Weight of the words that a key needs; bytes from which a word is taken in pieces of eight bytes; lines of so many characters meet on theirs less one.
+LEAST, LONG, TINY = 6, 32, (9, 20)
 #: Lines that a task remembers having handled; beyond, it begins anew (repeated rows fall together later).
 SEEN = 1 << 20
+#: Places for the blocks of the lines handled at once.
+PLACES = 1 << 22
 _DROP = np.zeros(256, bool)
 _DROP[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _SPREAD = np.array([int.from_bytes(bytes((x >> j) & 1 for j in range(8)), "little") for x in range(256)], np.uint64)
@@ -94,40 +97,40 @@ class Lines(Text):
         whole = ((self.bytes & 0xC0) != 0x80) & ~_SPACE[self.bytes]
         return self.per_text(whole) + np.maximum(np.diff(self.first) - 1, 0)
 
-    def units(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of what counts as a word when lines meet, and each line's first (n + 1)."""
+    def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and weights of what counts as a word when lines meet, and each line's first (n + 1)."""
         s, e, b = self.starts, self.ends, self.bytes
         lead = np.flatnonzero(_UNSPACED[b])
         taken = e - s > LONG
         far = np.flatnonzero(taken)
         taken[np.searchsorted(s, lead, side="right") - 1] = True
         if not taken.any():
-            return self.hashed, self.first
+            return self.hashed, np.clip(e - s - 2, 0, 8), self.first
         # such a character is a word of its own, so what follows it begins anew
         begin = np.unique(np.concatenate([s[taken], lead, lead + np.where(b[lead] >= 0xF0, 4, 3), *[np.arange(s[i], e[i], 8) for i in far]]))
         word = np.searchsorted(s, begin, side="right") - 1
         begin, word = (x[taken[word] & (begin < e[word])] for x in (begin, word))
-        h = self.hash_runs(begin, np.minimum(np.append(begin[1:], len(b)), e[word]))
-        every = np.concatenate([s[~taken], begin])
+        end = np.minimum(np.append(begin[1:], len(b)), e[word])
+        every, upto = np.concatenate([s[~taken], begin]), np.concatenate([e[~taken], end])
         order = np.argsort(every)
-        return np.concatenate([self.hashed[~taken], h])[order], np.searchsorted(every[order], self.off)
+        return np.concatenate([self.hashed[~taken], self.hash_runs(begin, end)])[order], np.clip(upto - every - 2, 0, 8)[order], np.searchsorted(every[order], self.off)
 
     def meeting(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into ``lines``, key) of what these lines meet others on."""
-        h, first = self.units()
+        h, weight, first = self.units()
         begin, n = first[:-1][lines], np.diff(first)[lines]
         index, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for k, (least, blocks, take) in enumerate(LEVELS):
             above = LEVELS[k + 1][0] * OVERLAP if k + 1 < len(LEVELS) else np.inf
             some = np.flatnonzero((n >= least) & (n < above))
-            if len(some):
-                sim, votes = simhash(h, begin[some], n[some], blocks)
+            for part in np.split(some, range(PLACES // blocks, len(some), PLACES // blocks)) if len(some) else []:
+                sim, words, weights = simhash(h, weight, begin[part], n[part], blocks)
                 for pick in combinations(range(blocks), take):
-                    key = np.full(len(some), np.uint64(k * 4096))
+                    key = np.full(len(part), np.uint64(k * 4096))
                     for j in pick:
                         key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + sim[:, j] + np.uint64(j))
-                    good = votes[:, list(pick)].sum(1) >= LEAST
-                    index.append(some[good])
+                    good = (words[:, pick].sum(1) >= 2) & (weights[:, pick].sum(1) >= LEAST)
+                    index.append(part[good])
                     keys.append(key[good])
         few = np.flatnonzero(n < LEVELS[0][0] * OVERLAP)
         size = self.sizes()[lines[few]]
@@ -139,25 +142,28 @@ class Lines(Text):
         few = few[~tiny | (size >= TINY[1] - 1) & (n[few] > 1)]  # a line of 21 characters can have a partner of 19
         for m in np.unique(n[few]).tolist():
             some = few[n[few] == m]
-            words = h[begin[some][:, None] + np.arange(m)]
-            total = words.sum(1)
-            left = [total, *((total - words[:, i]) for i in range(m if m > 1 else 0))]
-            if m >= 5:
-                left += [total - words[:, i] - words[:, j] for i, j in combinations(range(m), 2)]
-            for x in left:
-                index.append(some)
-                keys.append(mix64(x ^ np.uint64(0x5851F42D4C957F2D)))
+            at = begin[some][:, None] + np.arange(m)
+            words, weights = h[at], weight[at]
+            for out in [(), *combinations(range(m), 1), *(combinations(range(m), 2) if m >= 5 else ())]:
+                good = weights.sum(1) - weights[:, out].sum(1) >= (LEAST if out else 0)
+                index.append(some[good])
+                keys.append(mix64(words.sum(1) - words[:, out].sum(1) ^ np.uint64(0x5851F42D4C957F2D))[good])
         return np.concatenate(index), np.concatenate(keys)
 
 
-def simhash(h: np.ndarray, begin: np.ndarray, n: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+def simhash(h: np.ndarray, weight: np.ndarray, begin: np.ndarray, n: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For lines of ``n`` words each, whose hashes begin at ``begin`` in ``h``: the blocks of their
-    SimHash, and how many words voted in each."""
-    words = h[np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)]
+    SimHash, and how many distinct words of which weight voted in each."""
+    at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+    words = h[at]
     place = np.repeat(np.arange(len(n)), n) * blocks + ((words >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(place)
-    place = place[order]
+    # a number has the place, 36 bits of the word and its weight; sorted, equal words are neighbours
+    packed = place.astype(np.uint64) << np.uint64(40) | mix64(words) >> np.uint64(28) << np.uint64(4) | weight[at].astype(np.uint64)
+    packed.sort()
+    packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
+    place = (packed >> np.uint64(40)).astype(np.int64)
     votes = np.bincount(place, minlength=len(n) * blocks)
+    weights = np.bincount(place, (packed & np.uint64(15)).astype(np.float64), len(n) * blocks)
     some = np.flatnonzero(votes)
     count = votes[some]
     at = np.cumsum(count) - count
@@ -165,7 +171,7 @@ def simhash(h: np.ndarray, begin: np.ndarray, n: np.ndarray, blocks: int) -> tup
     parts = (count + 254) // 255
     cuts = np.cumsum(parts) - parts
     starts = np.repeat(at, parts) + (np.arange(parts.sum()) - np.repeat(cuts, parts)) * 255
-    octets = mix64(words[order]).view(np.uint8).reshape(-1, 8)
+    octets = mix64(packed & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)
     sums = np.stack([np.add.reduceat(_SPREAD[octets[:, j]], starts) for j in range(8)], 1).view(np.uint8).reshape(-1, 64)
     if len(starts) > len(some):
         sums = np.add.reduceat(sums.astype(np.int32), cuts, axis=0)
@@ -174,7 +180,7 @@ def simhash(h: np.ndarray, begin: np.ndarray, n: np.ndarray, blocks: int) -> tup
         bits = sums > (count // 2).astype(np.uint8)[:, None]
     out = np.zeros(len(n) * blocks, np.uint64)
     out[some] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out.reshape(-1, blocks), votes.reshape(-1, blocks)
+    return out.reshape(-1, blocks), votes.reshape(-1, blocks), weights.reshape(-1, blocks)
 
 
 def less_one(form: str) -> list[int]:
