@@ -118,6 +118,16 @@ def global_index(df: DataFrame, *order: Column, name: str = "index") -> DataFram
     return ranged.withColumn(name, (place + start).cast("long")).drop("_pid")
 
 
+#: Documents that the target of a quality model has at most: a bounded sample of labelled rows.
+LABELLED = 20_000
+
+
+def target_ids(labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """The ids of at most ``most`` documents of quality 1, those with the least hash of the id."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 # --- word hashing over Arrow buffers ---------------------------------------------------------
 
 #: Bytes of text handled at once inside a task; a single longer text is handled alone, whole.

@@ -7,10 +7,11 @@ distinct words. So one changed word touches two blocks at most, wherever in the
 however words shift; d changed words leave a block untouched as long as 2 d is less than the
 number of blocks (pigeonhole), and by chance often beyond. ``LEVELS`` gives the blocks by
 the number of words; classes meet on equal blocks (short lines: on equal pairs of blocks)
-in which two words or more voted, of weight ``LEAST`` or more together (a word weighs its
-bytes less two, eight at most), so that common short words alone bring nothing together. Lines with fewer words than the first level meet on
-their words less one or two, and very short ones on their characters less one. Scripts
-without spaces count each character as a word, words over ``LONG`` bytes are taken in pieces.
+in which two words or more voted, of some weight together (a word weighs its bytes less
+two, eight at most), so that common short words alone bring nothing together. Lines with
+fewer words than the first level meet on their words less one or two, and very short ones
+on their characters less one. Scripts without spaces count each character as a word of
+weight three, words over ``LONG`` bytes are taken in pieces.
 
 Classes that meet are linked if the edit similarity of their normal forms, 1 - levenshtein
 / longer length, is at least ``SIMILARITY``. Of each connected group of lines the first
@@ -39,11 +40,11 @@ from tessera.llm.common import _SPACE, Text, bitmap, chunks, cut, in_bitmap, joi
 from tessera.llm.linking import connect
 
 SIMILARITY = 0.9
-#: From so many words on, so many blocks, and how many of them a key takes.
-LEVELS = ((8, 6, 2), (24, 7, 1), (48, 12, 1), (96, 16, 1))
+#: From so many words on, so many blocks, how many of them a key takes, and the weight of the words that it needs.
+LEVELS = ((8, 6, 2, 6), (24, 7, 1, 10), (48, 12, 1, 12), (96, 16, 1, 12))
 #: A line can have a partner of the level below it: up to this many times a level's first words it has keys of both.
 OVERLAP = 1.08
-#: Weight of the words that a key needs; bytes from which a word is taken in pieces of eight bytes; lines of so many characters meet on theirs less one.
+#: Weight of the words that a key of shorter lines needs; bytes from which a word is taken in pieces of eight bytes; lines of so many characters meet on theirs less one.
 LEAST, LONG, TINY = 6, 32, (9, 20)
 #: Lines that a task remembers having handled; beyond, it begins anew (repeated rows fall together later).
 SEEN = 1 << 20
@@ -113,14 +114,15 @@ class Lines(Text):
         end = np.minimum(np.append(begin[1:], len(b)), e[word])
         every, upto = np.concatenate([s[~taken], begin]), np.concatenate([e[~taken], end])
         order = np.argsort(every)
-        return np.concatenate([self.hashed[~taken], self.hash_runs(begin, end)])[order], np.clip(upto - every - 2, 0, 8)[order], np.searchsorted(every[order], self.off)
+        weight = np.where(_UNSPACED[b[every]], 3, np.clip(upto - every - 2, 0, 8))
+        return np.concatenate([self.hashed[~taken], self.hash_runs(begin, end)])[order], weight[order], np.searchsorted(every[order], self.off)
 
     def meeting(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into ``lines``, key) of what these lines meet others on."""
         h, weight, first = self.units()
         begin, n = first[:-1][lines], np.diff(first)[lines]
         index, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for k, (least, blocks, take) in enumerate(LEVELS):
+        for k, (least, blocks, take, weighty) in enumerate(LEVELS):
             above = LEVELS[k + 1][0] * OVERLAP if k + 1 < len(LEVELS) else np.inf
             some = np.flatnonzero((n >= least) & (n < above))
             for part in np.split(some, range(PLACES // blocks, len(some), PLACES // blocks)) if len(some) else []:
@@ -129,7 +131,7 @@ class Lines(Text):
                     key = np.full(len(part), np.uint64(k * 4096))
                     for j in pick:
                         key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + sim[:, j] + np.uint64(j))
-                    good = (words[:, pick].sum(1) >= 2) & (weights[:, pick].sum(1) >= LEAST)
+                    good = (words[:, pick].sum(1) >= 2) & (weights[:, pick].sum(1) >= weighty)
                     index.append(part[good])
                     keys.append(key[good])
         few = np.flatnonzero(n < LEVELS[0][0] * OVERLAP)
@@ -266,8 +268,11 @@ def within(a: str, b: str, most: int) -> bool:
     a, b = a[k:], b[k:]
     k = _common(a[::-1], b[::-1])
     a, b = a[: len(a) - k], b[: len(b) - k]
-    if not a or not b:
+    if max(len(a), len(b)) <= most or not a or not b:
         return max(len(a), len(b)) <= most
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= most:
+        return True  # word for word it takes no more
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i

@@ -30,30 +30,48 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small.distinct(), "edges")
 
 
+#: All pairs of different components are compared once they are at most so many for each entry, or after so many rounds.
+FEW, ROUNDS = 0.5, 12
+
+
 def connect(entries: DataFrame, order: list[str], may: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, root) of the ids in ``entries`` (key, id, and columns that ``may`` needs; one row a
     key and id) that links join. A link is a pair that shares a key, for which ``may`` (a SQL
     condition on two aliases) holds, and that ``verify`` (pairs (a, b) to linked pairs) confirms.
 
-    First every member of a key is held against the key's first member by ``order``, which is
-    linear in the group and links most of it; then only pairs that these links leave in
-    different components are compared. No pair that could join two components is left out."""
+    Every round holds the members of a key against one of them, which is linear in the group: in
+    the first round against the first by ``order``, later against the first that isn't in the
+    component of the least root. Once few pairs of different components are left, those are
+    compared, each pair once. No pair that could join two components is left out."""
     extra = [c for c in entries.columns if c not in ("key", "id")]
-    first = entries.groupBy("key").agg(F.min(F.struct(*order, *[c for c in ("id", *extra) if c not in order])).alias("p"))
-    star = (
-        entries.alias("l").join(first.select("key", "p.*").alias("r"), "key").where("l.id <> r.id").where(may("l", "r"))
-        .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    )
-    star = cut(star, "star")
-    links = cut(verify(star), "links")
-    roots = components(links)
-    labelled = cut(entries.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(mixed, "key", "left_semi")
+    first = F.min(F.struct(*order, *[c for c in ("id", "root", *extra) if c not in order])).alias("p")
+    labelled = entries.withColumn("root", F.col("id"))
+    compared, roots = None, None
+    for turn in range(ROUNDS):
+        low = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        mixed = labelled if turn == 0 else labelled.join(low.select("key", "lo"), "key")
+        centre = mixed.where(F.lit(True) if turn == 0 else F.expr("root <> lo")).groupBy("key").agg(first).select("key", "p.*")
+        star = (
+            mixed.alias("l").join(centre.alias("r"), "key").where("l.root <> r.root").where(may("l", "r"))
+            .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+        )
+        star = cut(star if compared is None else star.join(compared, ["a", "b"], "left_anti"), "star")
+        links = cut(verify(star), "links")
+        compared = star if compared is None else compared.union(star)
+        roots = components(links if roots is None else links.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+        labelled = cut(entries.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "labelled")
+        parts = labelled.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q"))
+        left, n = parts.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if left <= FEW * n:
+            break
+    if not left:
+        return roots
+    low = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rest = labelled.join(low, "key", "left_semi")
     across = (
         rest.alias("l").join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root")) & F.expr(may("l", "r")))
         .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-        .join(star, ["a", "b"], "left_anti")
+        .join(compared, ["a", "b"], "left_anti")
     )
     more = cut(verify(cut(across, "across")), "links")
     return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))

@@ -10,7 +10,8 @@ bounds on sizes and positions that the similarity implies, and each meeting pair
 confirmed by the exact intersection and union of the full sets.
 
 The number of bands of five coordinates follows the threshold: two classes just as similar
-miss each other in all bands with a chance below ``MISS``. Classes are told apart by a 64-bit hash of the whole set.
+miss each other in all bands with a chance below ``MISS``. Sets are told apart by a 128-bit hash of all their shingles; two that
+agree in half of it only are an error.
 
 Cases: a text of fewer than five words is one shingle, the whole sequence; one without
 words, or null, has the empty set and is linked with nothing. A null id can be linked
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Text, bitmap, chunks, cut, in_bitmap, list_array, mix64, signed, windows
+from tessera.llm.common import Text, bitmap, chunks, cut, in_bitmap, join_on, list_array, mix64, signed, windows
 from tessera.llm.linking import connect
 
 SHINGLE = 5
@@ -52,8 +53,10 @@ def shingle_sets(text: Text) -> list[np.ndarray]:
     return out
 
 
-def set_key(values: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_keys(values: np.ndarray) -> tuple[int, int]:
+    """A name of 64 bits for a set, and 64 more that tell whether two sets share the name."""
+    digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def band_count(percent: int) -> int:
@@ -87,7 +90,7 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(uid, doc_id, n_shingles, k, bands): uid is a hash of id and text, k of the set (null if it is empty)."""
+    """(uid, doc_id, n_shingles, k, k2, bands): uid is a hash of id and text, k and k2 of the set (null if it is empty)."""
 
     size = band_count(percent) * ROWS
 
@@ -96,25 +99,26 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for part in chunks(batch, "text"):
                 sets = shingle_sets(Text(part.column("text"), lower=True))
                 keys, rows = [], []
-                known: dict[int, np.ndarray] = {}
+                known: dict[tuple[int, int], np.ndarray] = {}
                 for s in sets:
                     if not len(s):
-                        keys.append(None)
+                        keys.append((None, None))
                         rows.append(np.zeros(0, np.uint64))
                         continue
-                    keys.append(k := set_key(s))
+                    keys.append(k := set_keys(s))
                     if k not in known:
                         known[k] = bands(signature(s, size))
                     rows.append(known[k])
+                k1, k2 = zip(*keys)
                 sizes = np.array([len(r) for r in rows])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("uid"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
-                     list_array(signed(np.concatenate(rows)), np.concatenate([[0], np.cumsum(sizes)]))], names=["uid", "doc_id", "n_shingles", "k", "bands"],
+                    [part.column("uid"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                     list_array(signed(np.concatenate(rows)), np.concatenate([[0], np.cumsum(sizes)]))], names=["uid", "doc_id", "n_shingles", "k", "k2", "bands"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("uid"), "doc_id", "text")
-    return keyed.mapInArrow(run, f"uid long, doc_id {kind}, n_shingles long, k long, bands array<long>")
+    return keyed.mapInArrow(run, f"uid long, doc_id {kind}, n_shingles long, k long, k2 long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -126,7 +130,7 @@ def sets_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
             for part in chunks(batch, "text"):
                 keys, rows = [], []
                 for s in shingle_sets(Text(part.column("text"), lower=True)):
-                    if len(s) and (k := set_key(s)) not in seen and in_bitmap(wanted, np.array([k]).view(np.uint64))[0]:
+                    if len(s) and (k := set_keys(s)[0]) not in seen and in_bitmap(wanted, np.array([k]).view(np.uint64))[0]:
                         seen.add(k)
                         keys.append(k)
                         rows.append(s)
@@ -179,17 +183,22 @@ def _rooted(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     sets = cut(sets_of(docs, bitmap(wanted, "k")).join(wanted, "k", "left_semi").dropDuplicates(["k"]), "sets")
     roots = link_classes(sets, percent)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    classes = sig.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.min(place).alias("first")).join(roots.withColumnRenamed("id", "k"), "k", "left")
+    # documents are of one class only if 128 bits of their sets agree
+    one = F.when(F.min("k2") == F.max("k2"), F.count("*")).otherwise(F.raise_error(F.lit("two different shingle sets share a 64-bit name")).cast("long"))
+    classes = sig.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.min(place).alias("first"), one.alias("rows"))
+    classes = classes.join(roots.withColumnRenamed("id", "k"), "k", "left")
     return sig, cut(classes.withColumn("root", F.coalesce("root", "k")), "classes")
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     sig, classes = _rooted(docs, percent)
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("k", "component_id")
-    out = sig.select("doc_id", "n_shingles", "k").join(named, "k", "left")
-    component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    total = sig.count()
+    roots = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = cut(join_on(classes.select("k", "rows", "root"), roots, "root", "members", total).select("k", "rows", "component_id"), "named")
+    out = join_on(sig.where("k is not null").select("doc_id", "n_shingles", "k"), named, "k", "rows", total).select("doc_id", "n_shingles", "component_id")
+    # without a set a document is on its own
+    out = out.unionByName(sig.where("k is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -245,7 +245,9 @@ def test_recall_on_changed_lines(change, n):
 
 def test_lines_without_spaces_meet():
     a = "".join(chr(0x4E00 + 37 * i % 2000) for i in range(60))
-    assert meeting_pairs([a, a[:20] + "一一" + a[21:]]) and meeting_pairs(["x" * 30 + "abcd" * 20, "x" * 30 + "abcd" * 18 + "abxdabcd"])
+    assert meeting_pairs([a, a[:20] + "一一" + a[21:]])
+    b = "".join(words(30, 1))  # one long word
+    assert meeting_pairs([b, b[:-9] + "z" + b[-8:]])
 
 
 def test_forms_and_sizes():
