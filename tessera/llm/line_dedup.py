@@ -102,9 +102,10 @@ class Lines(Text):
         """Hashes and weights of what counts as a word when lines meet, and each line's first (n + 1)."""
         s, e, b = self.starts, self.ends, self.bytes
         lead = np.flatnonzero(_UNSPACED[b])
-        taken = e - s > LONG
-        far = np.flatnonzero(taken)
-        taken[np.searchsorted(s, lead, side="right") - 1] = True
+        unspaced = np.zeros(len(s), bool)
+        unspaced[np.searchsorted(s, lead, side="right") - 1] = True
+        far = np.flatnonzero((e - s > LONG) & ~unspaced)
+        taken = unspaced | (e - s > LONG)
         if not taken.any():
             return self.hashed, np.clip(e - s - 2, 0, 8), self.first
         # such a character is a word of its own, so what follows it begins anew

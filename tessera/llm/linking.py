@@ -3,6 +3,7 @@ group, link or label list on the driver."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -30,8 +31,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small.distinct(), "edges")
 
 
-#: All pairs of different components are compared once they are at most so many for each entry, or after so many rounds.
-FEW, ROUNDS = 0.5, 12
+#: All pairs of different components are compared once they are at most so many for each entry, or once a round
+#: leaves more than this share of them.
+FEW, LITTLE = 2, 0.7
 
 
 def connect(entries: DataFrame, order: list[str], may: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -41,13 +43,13 @@ def connect(entries: DataFrame, order: list[str], may: Callable[[str, str], str]
 
     Every round holds the members of a key against one of them, which is linear in the group: in
     the first round against the first by ``order``, later against the first that isn't in the
-    component of the least root. Once few pairs of different components are left, those are
-    compared, each pair once. No pair that could join two components is left out."""
+    component of the least root. Once few pairs of different components are left, or rounds
+    take few of them away, those are compared, each pair once. No pair that could join two components is left out."""
     extra = [c for c in entries.columns if c not in ("key", "id")]
     first = F.min(F.struct(*order, *[c for c in ("id", "root", *extra) if c not in order])).alias("p")
     labelled = entries.withColumn("root", F.col("id"))
-    compared, roots = None, None
-    for turn in range(ROUNDS):
+    compared, roots, before, turn = None, None, math.inf, 0
+    while True:
         low = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         mixed = labelled if turn == 0 else labelled.join(low.select("key", "lo"), "key")
         centre = mixed.where(F.lit(True) if turn == 0 else F.expr("root <> lo")).groupBy("key").agg(first).select("key", "p.*")
@@ -62,8 +64,9 @@ def connect(entries: DataFrame, order: list[str], may: Callable[[str, str], str]
         labelled = cut(entries.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "labelled")
         parts = labelled.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q"))
         left, n = parts.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if left <= FEW * n:
+        if left <= FEW * n or left > LITTLE * before:
             break
+        before, turn = left, turn + 1
     if not left:
         return roots
     low = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
