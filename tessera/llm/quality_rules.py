@@ -3,16 +3,20 @@
 Words and word pairs are hashed into ``BUCKETS`` features. One multinomial is fitted to
 trusted target documents and one to the raw corpus; the target's counts are smoothed by
 BUCKETS draws from the raw model, so that few labels pull no score down. A document's
-score is the mean over its features of log(p_target / p_raw), and every document is
-judged by the same threshold. All of it is built-in expressions: one explode with an
-aggregate to fit, one with two broadcast joins against tables of BUCKETS rows to score.
+score is the mean over its features of log(p_target / p_raw). A document of the target is
+scored without its own counts (leave one out), like any document that the target doesn't
+hold. Every document is judged by one threshold: ``SPREAD`` standard deviations below the
+mean of the target documents' own scores. All of it is built-in expressions: one explode
+with an aggregate to fit, one with two broadcast joins against tables of BUCKETS rows to
+score, and the target's documents again for their own scores.
 
 The target are documents labelled with quality 1: at most ``LABELLED`` of them, those with
 the least hash of their id. The raw model covers all documents.
 
 Cases: null, empty and blank texts have no words, fail the base rules and have score 0;
 without labels all scores are 0; a null id counts as one. Repeated rows are judged each.
-Repeated 3-word windows are found by a 64-bit hash. Other columns are ignored.
+Repeated 3-word windows are found by a 64-bit hash; a text may have up to 2**PLACE words.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,17 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bind, cut, split_words
+from tessera.llm.common import bind, cut, split_words, target_ids
 
 BUCKETS = 1 << 16
-LABELLED = 20_000
-#: A document is kept if its mean log-likelihood ratio is at least this.
-THRESHOLD = -0.06
+#: A document is kept if its score is at most so many standard deviations below the mean of the target's.
+SPREAD = 2.5
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50
-
-
-PLACE = 26
+#: Bits that hold a word's place.
+PLACE = 30
 
 
 def repeated_words(h: Column, sorted_: Column) -> Column:
@@ -84,41 +86,56 @@ def features(rows: DataFrame, *keep: str) -> DataFrame:
     return each.select(*keep, F.pmod(F.xxhash64("a"), F.lit(BUCKETS)).alias("u"), F.when(F.col("b").isNotNull(), v).alias("v"))
 
 
-def fit(rows: DataFrame) -> DataFrame:
-    """(f, llr), at most 2 * BUCKETS rows; ``rows`` has text and is_target."""
-    counts = (
+def counts(rows: DataFrame) -> DataFrame:
+    """(f, raw, target, all_raw, all_target) of every feature, at most 2 * BUCKETS rows; ``rows`` has
+    text and is_target. Totals are those of the feature's order, words or pairs."""
+    each = (
         features(rows, "is_target").select("is_target", F.explode(F.array("u", "v")).alias("f")).where("f is not null").groupBy("f")
         .agg(F.count("*").alias("raw"), F.count_if("is_target").alias("target"))
     )
-    counts = cut(counts.withColumn("o", F.col("f") >= BUCKETS), "features")
-    totals = counts.groupBy("o").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
+    each = cut(each.withColumn("o", F.col("f") >= BUCKETS), "features")
+    totals = each.groupBy("o").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
+    return cut(each.join(F.broadcast(totals), "o").drop("o"), "counts")
+
+
+def log_ratio(own: Column | int = 0, all_own: Column | int = 0) -> Column:
+    """log(p_target / p_raw) of a row of counts, less a document's own counts in the target; 0 without a target."""
     raw = F.col("raw") / F.col("all_raw")
-    p = F.ln((F.col("target") + BUCKETS * raw) / (F.col("all_target") + BUCKETS) / raw)
-    return cut(counts.join(F.broadcast(totals), "o").select("f", F.when(F.col("all_target") > 0, p).otherwise(0.0).alias("llr")), "ratios")
+    p = F.ln((F.col("target") - own + BUCKETS * raw) / (F.col("all_target") - all_own + BUCKETS) / raw)
+    return F.when(F.col("all_target") > 0, p).otherwise(0.0)
 
 
 def ratio(rows: DataFrame, model: DataFrame) -> DataFrame:
     """(uid, score): the mean log-likelihood ratio of each text with a word; ``rows`` has uid, text.
     Rows of equal uid must have equal texts (the mean is then the same)."""
+    model = model.select("f", log_ratio().alias("llr"))
     uni, bi = (model.where(side).select(F.col("f").alias(c), F.col("llr").alias(f"llr_{c}")) for side, c in ((F.col("f") < BUCKETS, "u"), (F.col("f") >= BUCKETS, "v")))
     each = features(rows, "uid").join(F.broadcast(uni), "u", "left").join(F.broadcast(bi), "v", "left")
     total, n = F.coalesce("llr_u", F.lit(0.0)) + F.coalesce("llr_v", F.lit(0.0)), F.count("*") + F.count("v")
     return each.groupBy("uid").agg((F.sum(total) / n).alias("score"))
 
 
-def target_ids(labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """The ids of at most ``most`` documents of quality 1."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def left_out(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """(uid, own_score) of the target's own documents, each without its own counts in the target."""
+    each = features(rows, "uid").select("uid", F.explode(F.array("u", "v")).alias("f")).where("f is not null")
+    own = each.groupBy("uid", "f").agg(F.count("*").alias("m")).withColumn("o", F.col("f") >= BUCKETS)
+    all_own = own.groupBy("uid", "o").agg(F.sum("m").alias("all_m"))
+    joined = own.join(all_own, ["uid", "o"]).join(F.broadcast(model), "f")
+    return joined.groupBy("uid").agg((F.sum(F.col("m") * log_ratio(F.col("m"), F.col("all_m"))) / F.sum("m")).alias("own_score"))
 
 
-def judge(docs: DataFrame, ids: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, the base counts, base_failed, score, kept) of every document."""
+def judge(docs: DataFrame, ids: DataFrame, spread: float = SPREAD) -> DataFrame:
+    """(doc_id, the base counts, base_failed, score, threshold, kept) of every document."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
-    flagged = keyed.join(F.broadcast(ids.withColumn("_t", F.lit(True))), "doc_id", "left")
-    model = fit(flagged.select("text", F.coalesce("_t", F.lit(False)).alias("is_target")))
-    scored = base(keyed).join(ratio(keyed, model), "uid", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("uid")
+    flagged = keyed.join(F.broadcast(ids.withColumn("_t", F.lit(True))), "doc_id", "left").withColumn("is_target", F.coalesce("_t", F.lit(False)))
+    model = counts(flagged.select("text", "is_target"))
+    own = cut(left_out(flagged.where("is_target").select("uid", "text"), model), "own")
+    least = own.agg(F.coalesce(F.avg("own_score") - spread * F.stddev_pop("own_score"), F.lit(0.0)).alias("threshold"))
+    scored = base(keyed).join(ratio(keyed, model), "uid", "left").join(own, "uid", "left").join(F.broadcast(least))
+    scored = scored.withColumn("score", F.coalesce("own_score", "score", F.lit(0.0)))
+    judged = scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.col("threshold"))).drop("uid", "own_score")
+    # written, since a filter on these columns would be pushed down and work the arrays out again for each mention
+    return cut(judged, "judged")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Words and word pairs, lower-cased, are hashed into ``BUCKETS`` features. One multinomial
 is fitted to the target texts and one to all texts (add-one smoothing); a document's log
-importance weight is the sum over its features of log(p_target / p_raw). The sample is
+importance weight is the sum over its features of log(p_target / p_raw). A document of the
+target is weighed without its own counts in the target (leave one out). The sample is
 the top k by weight plus Gumbel noise, which draws without replacement in proportion
 to the weights. The noise comes from the document's id, so reruns agree. The k-th largest
 value is found by counting values by their leading bits, 16 bits a round; only the round's
@@ -23,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Text, chunks, cut, id_text, mix64, to_arrow, windows
+from tessera.llm.common import Text, chunks, cut, id_text, mix64, target_ids, to_arrow, windows
 
 BUCKETS_LOG2 = 16
-LABELLED = 20_000
 #: Share of the documents that is kept.
 KEEP = 0.85
 
@@ -39,14 +39,8 @@ def _features(text: Text) -> list[tuple[np.ndarray, np.ndarray]]:
     return [((mix64(h + np.uint64(1)) >> cut_).astype(np.int64), first), ((pairs >> cut_).astype(np.int64), starts)]
 
 
-def target_ids(labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """The ids of at most ``most`` documents of quality 1."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-
-def fit(rows: DataFrame) -> np.ndarray:
-    """log(p_target / p_raw) of every feature; ``rows`` has text and is_target."""
+def fit(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Counts of every feature in all texts (raw) and in the target; ``rows`` has text and is_target."""
 
     def run(batches):
         raw, target = (np.zeros(1 << BUCKETS_LOG2, np.int64) for _ in range(2))
@@ -60,28 +54,45 @@ def fit(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"b": at, "raw": raw[at], "target": target[at]})
 
     sums = to_arrow(rows.select("text", "is_target").mapInArrow(run, "b long, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
-    raw, target = (np.ones(1 << BUCKETS_LOG2) for _ in range(2))
+    raw, target = (np.zeros(1 << BUCKETS_LOG2) for _ in range(2))
     if sums.num_rows:
         b = np.asarray(sums.column("b").combine_chunks())
-        raw[b] += np.asarray(sums.column("raw").combine_chunks())
-        target[b] += np.asarray(sums.column("target").combine_chunks())
-    if target.sum() == len(target):
-        return np.zeros(len(raw))
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+        raw[b] = np.asarray(sums.column("raw").combine_chunks())
+        target[b] = np.asarray(sums.column("target").combine_chunks())
+    return {"raw": raw, "target": target}
+
+
+def log_ratio(model: dict[str, np.ndarray]) -> np.ndarray:
+    """log(p_target / p_raw) of every feature, both smoothed by one; 0 without a target."""
+    raw, target = model["raw"] + 1, model["target"] + 1
+    return np.log(target / target.sum()) - np.log(raw / raw.sum()) if model["target"].any() else np.zeros(len(raw))
 
 
-def weigh(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``rows`` without text, plus log_weight, gumbel_key and its order-preserving bits."""
-    keep = [c for c in rows.columns if c not in ("text", "_seed")]
-    shared = rows.sparkSession.sparkContext.broadcast(ratio)
+def left_out(model: dict[str, np.ndarray], f: np.ndarray) -> float:
+    """The log weight of a target document with the features ``f``, without its own counts in the target."""
+    seen, m = np.unique(f, return_counts=True)
+    raw, size = model["raw"] + 1, len(model["raw"])
+    own = np.log((model["target"][seen] - m + 1) / (model["target"].sum() - len(f) + size)) - np.log(raw[seen] / raw.sum())
+    return float((m * own).sum())
+
+
+def weigh(rows: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """``rows`` without text, plus log_weight, gumbel_key and its order-preserving bits; ``rows`` has
+    text, is_target and _seed."""
+    own = ("text", "_seed", "is_target")
+    keep = [c for c in rows.columns if c not in own]
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        table = shared.value
+        table = log_ratio(shared.value)
         for batch in batches:
             for part in chunks(batch, "text"):
-                weight = np.zeros(part.num_rows)
-                for f, starts in _features(Text(part.column("text"), lower=True)):
-                    weight += np.bincount(np.repeat(np.arange(part.num_rows), np.diff(starts)), table[f], part.num_rows)
+                both = _features(Text(part.column("text"), lower=True))
+                f, starts = np.concatenate([x for x, _ in both]), [s for _, s in both]
+                shift = len(both[0][0])
+                weight = sum(np.bincount(np.repeat(np.arange(part.num_rows), np.diff(s)), table[x], part.num_rows) for x, s in both)
+                for i in np.flatnonzero(np.asarray(part.column("is_target").cast(pa.int8()))):
+                    weight[i] = left_out(shared.value, np.concatenate([f[starts[0][i] : starts[0][i + 1]], f[shift + starts[1][i] : shift + starts[1][i + 1]]]))
                 u = ((mix64(np.asarray(part.column("_seed")).view(np.uint64)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
                 key = weight - np.log(-np.log(u)) + 0.0
                 bits = key.view(np.int64)
@@ -89,7 +100,7 @@ def weigh(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(weight), pa.array(key), pa.array(bits)], names=[*keep, "log_weight", "gumbel_key", "bits"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keep)
-    return rows.select(*keep, "text", "_seed").mapInArrow(run, kinds + "log_weight double, gumbel_key double, bits long")
+    return rows.select(*keep, *own).mapInArrow(run, kinds + "log_weight double, gumbel_key double, bits long")
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
@@ -112,9 +123,9 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
 def resample(docs: DataFrame, ids: DataFrame, keep: float = KEEP) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept) of every document. ``ids`` (doc_id): the target, of
     bounded size."""
-    flagged = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("_t", F.lit(True))), "doc_id", "left")
-    ratio = fit(flagged.select("text", F.coalesce("_t", F.lit(False)).alias("is_target")))
-    scored = cut(weigh(docs.select("doc_id", "text", F.xxhash64(id_text(F.col("doc_id"))).alias("_seed")), ratio), "weights")
+    flagged = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("_t", F.lit(True))), "doc_id", "left").select("doc_id", "text", F.coalesce("_t", F.lit(False)).alias("is_target"))
+    model = fit(flagged.select("text", "is_target"))
+    scored = cut(weigh(flagged.withColumn("_seed", F.xxhash64(id_text(F.col("doc_id")))), model), "weights")
     n = scored.count()
     least = kth_largest(scored, "bits", round(keep * n)) if round(keep * n) > 0 else None
     chosen = F.lit(keep > 0) if least is None else F.col("bits") >= least
