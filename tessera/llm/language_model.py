@@ -1,20 +1,22 @@
 """Scoring text with a log-bilinear neural language model.
 
-The model's vocabulary has ``CLASSES`` entries: the end of a text, the tail (every word
-not among the most frequent ones) and the most frequent words. The vector of the next
-entry is predicted from the vectors r of the last two by one matrix a place,
-q = r[w-1] C1 + r[w-2] C2, and entry w scores q . r[w] + b[w]. It is trained with
-noise-contrastive estimation against the unigram distribution. A warm start comes from a
-bounded sample (about ``WARM_DOCS`` training documents, chosen by the hash of the text, in
-one task); from it each task makes one pass over all its training tokens, and the
-parameters are averaged, weighted by tokens. For scoring, batched matrix products give the scores of all entries
-after each context that occurs, and so normalised log-probabilities. A tail word has the
-tail's probability times its own add-one share of the tail's counts, so the whole is a
-distribution over all words and "unseen".
+The model predicts classes, of which there are ``CLASSES``: the end of a text, the most
+frequent words, one each, and ``TAILS`` classes of all other words by their last two bytes.
+A word's probability is that of its class in its context times its add-one share of the
+counts of its class (a class-factored softmax), so every word of the corpus has a place,
+however many there are, and the whole is a distribution over all words and one "unseen" a
+tail class. The vector of the next class is predicted from the vectors r of the last two by
+one matrix a place, q = r[w-1] C1 + r[w-2] C2, and class w scores q . r[w] + b[w]. It is
+trained with noise-contrastive estimation against the unigram distribution. A warm start
+comes from a bounded sample (about ``WARM_DOCS`` different training texts, chosen by the
+hash of the text, in one task); from it each task makes one pass over all its training
+tokens, and the parameters are averaged, weighted by tokens: other file splits give slightly
+other parameters, the same splits the same. For scoring, batched matrix products give the
+scores of all classes after each context that occurs, and so normalised log-probabilities.
 
 Counts cover all training documents. The ``COUNTED`` most frequent words travel to the
 tasks as a table of fixed size; the counts of rarer ones are joined, one row for each
-distinct word of a document. Words are told apart by 64-bit hashes.
+distinct word of a document. Words are told apart by 56 bits of hash and their ending's 8.
 
 Cases: null text is the empty text: one end token. Without training documents N and V
 are 0 and every word is unseen. A null id counts as the empty text. Repeated rows are
@@ -31,16 +33,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Tally, Text, chunks, cut, id_text, signed, to_arrow
+from tessera.llm.common import Tally, Text, chunks, cut, id_text, mix64, signed, to_arrow
 
-CLASSES, DIM = 1024, 32
+CLASSES, TAILS, DIM = 1536, 256, 32
 COUNTED = 1 << 17
 BATCH, NOISE = 2048, 64
 #: AdaGrad's rate and the squares it starts from, for the warm start and for the pass over everything.
 WARM, FULL = (0.1, 1e-7), (0.05, 1e-5)
 #: Documents of the warm start, and tokens that it sees, going over a smaller sample again (8 times at most).
 WARM_DOCS, WARM_TOKENS = 3000, 1_000_000
-TAIL, END = 0, 1
+#: Classes 0 to TAILS - 1 are tails; then the end, then the frequent words.
+END = TAILS
+HEAD = CLASSES - TAILS - 1
+
+
+def hashed(text: Text) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word whose low byte is its tail class, and each text's first word (n + 1)."""
+    s, e, first = text.words()
+    last = text.bytes[e - 1].astype(np.uint64)
+    before = np.where(e - s > 1, text.bytes[np.maximum(e - 2, 0)], 0).astype(np.uint64)
+    ending = mix64(last << np.uint64(8) | before) & np.uint64(TAILS - 1)
+    return text.hash_runs(s, e) & ~np.uint64(TAILS - 1) | ending, first
+
+
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -55,36 +70,40 @@ def word_counts(train: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in chunks(batch, "text"):
-                yield from out(tally.add(Text(part.column("text"), lower=True).word_hashes()[0]))
+                yield from out(tally.add(hashed(Text(part.column("text"), lower=True))[0]))
         yield from out(tally.rest())
 
     return train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
 
 class Vocabulary:
-    """Class ids and counts of the frequent words, by hash."""
+    """Classes and counts of the frequent words, by hash, and the totals of the tails."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, total: int, distinct: int) -> None:
-        """``hashes``, ``counts``: the frequent words, most frequent first; total and distinct: of all words."""
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, all_n: np.ndarray, all_v: np.ndarray) -> None:
+        """``hashes``, ``counts``: the frequent words, most frequent first; ``all_n`` and ``all_v``: tokens
+        and distinct words of each ending, of all words."""
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        self.classes = np.where(order < CLASSES - 2, order + 2, TAIL)
-        self.ends, self.n, self.v = ends, total + ends, distinct + (ends > 0)
-        head = counts[: CLASSES - 2]
-        self.tail_n, self.tail_v = total - int(head.sum()), distinct - len(head)
+        self.classes = np.where(order < HEAD, order + END + 1, (self.hashes & np.uint64(TAILS - 1)).astype(np.int64))
+        self.ends, self.n, self.v = ends, int(all_n.sum()) + ends, int(all_v.sum()) + (ends > 0)
+        head, ending = counts[:HEAD], (hashes[:HEAD] & np.uint64(TAILS - 1)).astype(np.int64)
+        tail_n = all_n - np.bincount(ending, head, TAILS).astype(np.int64)
+        #: What a tail word's count is held against: the tokens and words of its class, and the unseen one.
+        self.tail = tail_n + all_v - np.bincount(ending, minlength=TAILS) + 1
         per_class = np.zeros(CLASSES)
-        per_class[2 : 2 + len(head)] = head
-        per_class[TAIL], per_class[END] = self.tail_n + 1, ends + 1
+        per_class[END + 1 : END + 1 + len(head)] = head
+        per_class[:TAILS], per_class[END] = tail_n + 1, ends + 1
         self.live = per_class > 0
         self.noise = per_class / per_class.sum()
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and count of each word; count -1 where the table has none."""
+        tails = (h & np.uint64(TAILS - 1)).astype(np.int64)
         if not len(self.hashes):
-            return np.zeros(len(h), np.int64), np.full(len(h), -1)
+            return tails, np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         hit = self.hashes[at] == h
-        return np.where(hit, self.classes[at], TAIL), np.where(hit, self.counts[at], -1)
+        return np.where(hit, self.classes[at], tails), np.where(hit, self.counts[at], -1)
 
     def base(self, c):
         return np.log10((c + 1) / (self.n + self.v + 1))
@@ -170,7 +189,7 @@ def descend(texts: DataFrame, vocabulary: Vocabulary, begin: dict[str, np.ndarra
 
         for batch in batches:
             for part in chunks(batch, "text"):
-                h, first = Text(part.column("text"), lower=True).word_hashes()
+                h, first = hashed(Text(part.column("text"), lower=True))
                 x = sequences(v.look(h)[0], first)
                 tokens += learn(x)
                 if least:
@@ -196,7 +215,9 @@ def descend(texts: DataFrame, vocabulary: Vocabulary, begin: dict[str, np.ndarra
 def train(texts: DataFrame, vocabulary: Vocabulary, n: int) -> dict[str, np.ndarray]:
     """The parameters after the warm start and the pass over all ``n`` texts."""
     share = min(1.0, WARM_DOCS / max(n, 1))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < round(share * (1 << 30)))
+    # each text once: copies of a chosen text, and texts that are null, would crowd the one task
+    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < round(share * (1 << 30))
+    sample = texts.where("text is not null").where(chosen).dropDuplicates(["text"])
     warm = descend(sample.repartition(1), vocabulary, start(vocabulary), *WARM, least=WARM_TOKENS)
     return descend(texts, vocabulary, warm, *FULL)
 
@@ -241,13 +262,13 @@ def score(docs: DataFrame, vocabulary: Vocabulary, params: dict[str, np.ndarray]
         scorer = _scorers[token]
         for batch in batches:
             for part in chunks(batch, "text"):
-                h, first = Text(part.column("text"), lower=True).word_hashes()
+                h, first = hashed(Text(part.column("text"), lower=True))
                 n = np.diff(first)
                 classes, c = v.look(h)
                 doc = np.repeat(np.arange(len(n)), n)
                 total = np.bincount(np.repeat(np.arange(len(n)), n + 1), scorer(*sequences(classes, first)), len(n)) / np.log(10)
                 counted = c >= 0
-                own = np.where(counted & (classes == TAIL), np.log10((c + 1) / (v.tail_n + v.tail_v + 1)), 0)
+                own = np.where(counted & (classes < TAILS), np.log10((np.maximum(c, 0) + 1) / v.tail[np.minimum(classes, TAILS - 1)]), 0)
                 total += np.bincount(doc, own, len(n))
                 base = np.bincount(doc, np.where(counted, v.base(np.maximum(c, 0)), 0), len(n)) + v.base(v.ends)
                 known = np.bincount(doc, counted, len(n)).astype(np.int64) + (v.ends > 0)
@@ -269,27 +290,31 @@ def score(docs: DataFrame, vocabulary: Vocabulary, params: dict[str, np.ndarray]
     v = vocabulary
     scored = docs.withColumn("_uid", F.monotonically_increasing_id()).mapInArrow(run, f"{kinds}, _uid long, h long, m long, n_tokens long, known long, base double, score double")
     c = F.coalesce("c", F.lit(0))
-    return (
+    tail = F.element_at(F.array(*[F.lit(float(x)) for x in v.tail]), (F.col("h").bitwiseAND(TAILS - 1) + 1).cast("int"))
+    out = (
         scored.join(counts, "h", "left").groupBy("_uid")
         .agg(
             *[F.max(k).alias(k) for k in keep], F.max("n_tokens").alias("n_tokens"),
             F.sum(F.coalesce("known", F.when(c > 0, F.col("m")).otherwise(0))).cast("long").alias("n_known"),
             F.sum(F.coalesce("base", F.col("m") * F.log10((c + 1) / F.lit(float(v.n + v.v + 1))))).alias("base_score"),
-            F.sum(F.coalesce("score", F.col("m") * F.log10((c + 1) / F.lit(float(v.tail_n + v.tail_v + 1))))).alias("score"),
+            F.sum(F.coalesce("score", F.col("m") * F.log10((c + 1) / tail))).alias("score"),
         )
         .select(*keep, "n_tokens", "n_known", F.lit(v.n).cast("long").alias("train_tokens"), "base_score", "score")
     )
+    return cut(out, "scores")
 
 
 def fit(texts: DataFrame) -> tuple[Vocabulary, dict[str, np.ndarray], DataFrame]:
     """The vocabulary, the parameters and the table of all counts (h, c)."""
     counts = cut(word_counts(texts), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    all_n, all_v = np.zeros((2, TAILS), np.int64)
+    for r in counts.groupBy(F.col("h").bitwiseAND(TAILS - 1).alias("t")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        all_n[r["t"]], all_v[r["t"]] = r["n"], r["v"]
     top = counts.orderBy(F.desc("c"), "h").limit(COUNTED).toArrow().sort_by([("c", "descending"), ("h", "ascending")])
     hashes = np.asarray(top.column("h").combine_chunks()).view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
     freq = np.asarray(top.column("c").combine_chunks()) if top.num_rows else np.zeros(0, np.int64)
     n = texts.count()
-    vocabulary = Vocabulary(hashes, freq, n, int(total), int(distinct))
+    vocabulary = Vocabulary(hashes, freq, n, all_n, all_v)
     return vocabulary, train(texts, vocabulary, n), counts
 
 
