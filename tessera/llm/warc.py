@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, scratch
 
 DATE = "2026-01-01T00:00:00Z"
-#: Captures in an index block, and bytes after which a task begins a new archive.
-BLOCK, ROLL = 512, 1 << 30
+#: Captures in an index block, bytes after which a task begins a new archive, and bytes of archives that a reading task gets.
+BLOCK, ROLL, READ = 512, 1 << 30, 64 << 20
+#: Rows found that a task hands on at once, however many captures a key has.
+FOUND = 10_000
 #: Least payload bytes for which equal payloads become revisits.
 LEAST = 0
 _CONTROL = [*range(32), 127]
@@ -248,23 +250,32 @@ def lookup(keys: DataFrame, top: list[tuple[str, str]], folder: str) -> DataFram
             yield pa.RecordBatch.from_pydict({"key": pa.array(ks, pa.string()), "name": pa.array(ns, pa.string())})
 
     def search(batches):
-        name, opened = None, None
+        name, opened, found = None, None, []
+
+        def out():
+            files, offsets, lengths = zip(*found)
+            found.clear()
+            return pa.RecordBatch.from_pydict({"file": pa.array(files, pa.string()), "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64())})
+
         for batch in batches:
-            found = []
             for key, n in zip(batch.column("key").to_pylist(), batch.column("name").to_pylist()):
                 if n != name:
                     name, opened = n, IndexFile(folder, n)
-                found += opened.find(key)
-            files, offsets, lengths = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"file": pa.array(files, pa.string()), "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64())})
+                for place in opened.find(key):
+                    found.append(place)
+                    if len(found) == FOUND:
+                        yield out()
+        if found:
+            yield out()
 
     routed = keys.select("key").distinct().mapInArrow(route, "key string, name string")
     return routed.repartition("name").sortWithinPartitions("name", "key").mapInArrow(search, "file string, offset long, length long")
 
 
-def read(places: DataFrame, folder: str) -> DataFrame:
+def read(places: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The captures at ``places`` (file, offset, length), each read by its byte range and checked
-    against its digest: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
+    against its digest: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
+    Without ``with_payload`` the payload is checked but not handed on."""
 
     def run(batches):
         files, path = _open(folder)
@@ -283,7 +294,7 @@ def read(places: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{file} at {offset}: the payload doesn't fit its digest")
                 size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                 refers = fields.get("WARC-Refers-To")
-                rows.append((_page_id(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], payload.decode() if kind == "response" else None, size, digest, kind, _page_id(refers) if refers else None))
+                rows.append((_page_id(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], payload.decode() if kind == "response" and with_payload else None, size, digest, kind, _page_id(refers) if refers else None))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
             names = ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=list(names))
@@ -298,8 +309,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     captures = write(pages, folder)
     top = index(captures, folder)
     found = lookup(pages.select(url_key(F.col("url")).alias("key")), top, folder)
-    # near in an archive, near in a task: ranges of places, so that one archive is no one task's work
-    return read(found.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset"), folder).drop("url", "payload")
+    size, n = captures.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    # near in an archive, near in a task: ranges of places, so many that none reads more than about READ bytes
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // READ))
+    out = cut(read(found.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset"), folder, with_payload=False).drop("url", "payload"), "read")
+    if (back := out.count()) != n:
+        raise RuntimeError(f"{n} captures were written and {back} were read back")
+    return out
 
 
 ORACLE = """

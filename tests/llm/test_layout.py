@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -59,6 +60,58 @@ def test_likeness_follows_edits(documents):
     assert like(4) < like(1)  # equal sets of k-mers but for one, in another order
 
 
+def plain_fingerprint(text: str) -> list[int]:
+    """Order MinHash by its definition."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def h(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x, seed=seed)
+        return signed(seed)
+
+    long, short = (lambda x: struct.pack("<q", x)), (lambda x: struct.pack("<i", x))
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    kmers = [h(*w[i : i + 2]) for i in range(max(len(w) - 1, min(len(w), 1)))]
+    keep = (1 << 40) - 1
+    top = lambda x: signed((x & keep) << 24) >> 24
+    first: dict[int, int] = {}
+    own = []
+    for place, x in enumerate(kmers):
+        n = first.get(top(x), 0)
+        first[top(x)] = n + 1
+        own.append((top(h(long(top(x)), short(n))), place))
+    if not own:
+        return [0] * 64
+    own.sort()
+    out = []
+    for j in range(64):
+        at = sum(signed((v & keep) << 24) + p < (j - 32) << 58 for v, p in own)
+        a, b = sorted((own[at % len(own)], own[(at + 1) % len(own)]), key=lambda x: x[1])
+        out.append(h(long(a[0]), long(b[0])) & 0xFFFF)
+    return out
+
+
+def test_fingerprints_equal_the_definition(documents, edge_rows):
+    rows = [(i, t) for i, (_, t) in enumerate(edge_rows) if t is None or len(t) < 5000] + [(50, "a b " * 40), (51, sentence(300, 8)), (52, "x")]
+    texts = dict(rows)
+    docs = documents(rows)
+    for r in docs.select("doc_id", fingerprints.coordinates(F.col("text")).alias("c")).collect():
+        assert r["c"] == plain_fingerprint(texts[r["doc_id"]] or "")
+    order = sorted(texts, reverse=True)
+    for r in fingerprints.fingerprints(docs).collect():
+        own, after = (texts[i] or "" for i in (r["doc_id"], order[(order.index(r["doc_id"]) + 1) % len(order)]))
+        half = len(own) // 2
+        a, b, c = (plain_fingerprint(t) for t in (own, own[: len(own) - half] + after[:half], after))
+        like = lambda x, y: sum(p == q for p, q in zip(x, y)) / 64
+        assert r["fingerprint"] == "".join(f"{x:04x}" for x in a) and r["edited_fingerprint"] == "".join(f"{x:04x}" for x in b)
+        assert r["near_edited"] == like(a, b) and r["near_next"] == like(a, c)
+
+
 def test_occurrences_are_numbered(documents):
     docs = documents([(0, "a b " * 30), (1, "a b " * 60), (2, "a b " * 30)])
     c = {r["doc_id"]: tuple(r["c"]) for r in docs.select("doc_id", fingerprints.coordinates(F.col("text")).alias("c")).collect()}
