@@ -4,28 +4,38 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function, by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return min(max(x, 0.0), 1.0)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
-    c, d, out = 1.0, 0.0, 1.0
+def incomplete_beta(a, b, x) -> np.ndarray:
+    """The regularised incomplete beta function of arrays, by its continued fraction."""
+    a, b, x = (v.astype(float) for v in np.broadcast_arrays(a, b, x))
+    inside = (x > 0) & (x < 1)
+    far = inside & (x > (a + 1) / (a + b + 2))  # the other tail's fraction converges faster
+    p, q, z = np.where(far, b, a), np.where(far, a, b), np.where(inside, np.where(far, 1 - x, x), 0.5)
+    log_beta = np.array([math.lgamma(u + v) - math.lgamma(u) - math.lgamma(v) for u, v in zip(p.ravel(), q.ravel())]).reshape(p.shape)
+    front = np.exp(p * np.log(z) + q * np.log1p(-z) + log_beta) / p
+    c, d, out = np.ones(p.shape), np.zeros(p.shape), np.ones(p.shape)
     for i in range(400):
         m = i // 2
-        term = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + term * d or 1e-300)
-        c = 1 + term / c or 1e-300
-        out *= c * d
-        if abs(c * d - 1) < 1e-15:
+        if i == 0:
+            term = np.ones(p.shape)
+        elif i % 2 == 0:
+            term = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+        else:
+            term = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        d = 1 + term * d
+        d = 1 / np.where(d == 0, 1e-300, d)
+        c = 1 + term / c
+        c = np.where(c == 0, 1e-300, c)
+        out = out * c * d
+        if np.all(np.abs(c * d - 1) < 1e-15):
             break
-    return front * (out - 1)
+    value = front * (out - 1)
+    return np.where(inside, np.where(far, 1 - value, value), np.clip(x, 0, 1))
 
 
 def pearson_p(r: Column, n: Column) -> Column:
@@ -33,11 +43,10 @@ def pearson_p(r: Column, n: Column) -> Column:
 
     @F.pandas_udf("double")
     def p(r: pd.Series, n: pd.Series) -> pd.Series:
-        def one(r, n):
-            if r is None or math.isnan(r) or n < 3:
-                return None
-            return incomplete_beta((n - 2) / 2, 0.5, max(0.0, 1 - r * r))
-
-        return pd.Series([one(a, b) for a, b in zip(r, n)], dtype="float64")
+        r, n = r.to_numpy(dtype=float), n.to_numpy(dtype=float)
+        some = ~np.isnan(r) & (n >= 3)
+        out = np.full(len(r), np.nan)
+        out[some] = incomplete_beta((n[some] - 2) / 2, 0.5, np.maximum(0.0, 1 - r[some] ** 2))
+        return pd.Series(out).astype("Float64").where(some, pd.NA)
 
     return p(r, n)

@@ -3,6 +3,7 @@ window is full, which Spark's own frames don't do."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, Window, WindowSpec
@@ -54,10 +55,13 @@ def rsi(change: Column, n: int = 14) -> Column:
     return 100 - 100 / (1 + gain / (loss + 1e-10))
 
 
-def ema(x: str = "close", alpha: float = 0.3, reach: int = 120) -> Column:
-    """s = alpha x + (1 - alpha) s'. The weight left after ``reach`` rows is below the precision
-    of a double at alpha = 0.3, so a bounded frame gives the whole recursion."""
-    seen = F.collect_list(x).over(by_ticker().rowsBetween(-(reach - 1), 0))
+def ema(x: str = "close", alpha: float = 0.3) -> Column:
+    """s = alpha x + (1 - alpha) s'. The frame reaches back to where the weight left is below a
+    double's precision, whatever alpha is, so it gives the whole recursion."""
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
+    reach = 1 if alpha == 1 else math.ceil(math.log(1e-17) / math.log1p(-alpha))
+    seen = F.collect_list(x).over(by_ticker().rowsBetween(-reach, 0))
     return F.aggregate(F.slice(seen, F.lit(2), F.greatest(F.size(seen) - 1, F.lit(0))), F.element_at(seen, 1), lambda s, v: (1 - alpha) * s + alpha * v)
 
 

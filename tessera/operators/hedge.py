@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import windows as W
 from tessera.functions.pvalue import pearson_p
 from tessera.functions.scalars import correlation, strength
+from tessera.operators import pairs
 
 HEDGE_BELOW = -0.5
 
@@ -30,11 +31,10 @@ def pair(bars: DataFrame, one: str, two: str) -> DataFrame:
 
 
 def matrix(bars: DataFrame) -> DataFrame:
-    """(i, j, r, n) of every pair i < j that shares a date. Returns meet on their date: one
-    exchange of slim rows, and partial sums before the second."""
-    r = returns(bars)
-    a, b = r.select("dt", F.col("ticker").alias("i"), F.col("r").alias("x")), r.select("dt", F.col("ticker").alias("j"), F.col("r").alias("y"))
-    return a.join(b, "dt").where("i < j").groupBy("i", "j").agg(correlation("x", "y").alias("r"), F.count("*").alias("n"))
+    """(i, j, r, n) of every pair i < j that shares a date, from matrix products by blocks of tickers."""
+    m = pairs.moments(pairs.pair_sums(returns(bars).withColumnRenamed("r", "x"))).where("i < j")
+    r = F.col("c") / F.nullif(F.sqrt("vx") * F.sqrt("vy"), F.lit(0.0))
+    return m.select("i", "j", r.alias("r"), "n")
 
 
 def pvalues(bars: DataFrame) -> DataFrame:

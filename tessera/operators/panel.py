@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import windows as W
@@ -28,8 +28,9 @@ def scrub(bars: DataFrame, cap: float = CAP) -> DataFrame:
     ever exceeds the cap, is dropped."""
     clean = bars.withColumn("close", F.nullif(finite(F.col("close")), F.lit(0.0)))
     filled = densify(clean).withColumn("close", W.forward_fill()).withColumn("close", W.backward_fill())
-    bad = filled.groupBy("ticker").agg(F.count_if(F.col("close").isNull()).alias("gaps"), F.max("close").alias("top")).where((F.col("gaps") > 0) | (F.col("top") > cap))
-    return filled.join(bad, "ticker", "left_anti")
+    whole = Window.partitionBy("ticker")  # the partitioning that the fills have already
+    judged = filled.withColumn("_gaps", F.count_if(F.col("close").isNull()).over(whole)).withColumn("_top", F.max("close").over(whole))
+    return judged.where((F.col("_gaps") == 0) & (F.col("_top") <= cap)).drop("_gaps", "_top")
 
 
 def liveness(bars: DataFrame, end: str | None = None, days: int = STALE_DAYS, strict: bool = True) -> DataFrame:

@@ -5,11 +5,11 @@ because the allocation itself is over N tickers."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import windows as W
-from tessera.operators import panel
+from tessera.operators import pairs, panel
 
 YEAR = 252
 TAU = 0.05
@@ -19,9 +19,8 @@ LEAST_UNCERTAINTY, DEFAULT_UNCERTAINTY = 1e-4, 0.05
 
 def covariance(bars: DataFrame) -> DataFrame:
     """(i, j, c), i <= j: population covariance of simple returns on the dates both have."""
-    r = bars.withColumn("r", W.simple_return()).where("r is not null")
-    a, b = r.select("dt", F.col("ticker").alias("i"), F.col("r").alias("x")), r.select("dt", F.col("ticker").alias("j"), F.col("r").alias("y"))
-    return a.join(b, "dt").where("i <= j").groupBy("i", "j").agg(F.covar_pop("x", "y").alias("c"))
+    r = bars.withColumn("x", W.simple_return()).where("x is not null")
+    return pairs.moments(pairs.pair_sums(r)).select("i", "j", "c")
 
 
 def centred_returns(bars: DataFrame) -> DataFrame:
@@ -29,28 +28,25 @@ def centred_returns(bars: DataFrame) -> DataFrame:
     r = panel.fetch(bars).withColumn("r", W.simple_return()).where("r is not null").select("ticker", "dt", "r")
     grid = r.select("ticker").distinct().crossJoin(F.broadcast(r.select("dt").distinct()))
     full = grid.join(r, ["ticker", "dt"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-    means = full.groupBy("ticker").agg(F.avg("r").alias("m"))
-    return full.join(means, "ticker").select("ticker", "dt", (F.col("r") - F.col("m")).alias("x"))
+    return full.select("ticker", "dt", (F.col("r") - F.avg("r").over(Window.partitionBy("ticker"))).alias("x"))
 
 
 def ledoit_wolf(bars: DataFrame) -> DataFrame:
     """(i, j, c, shrinkage) for all i, j: the annualised covariance, shrunk to constant variance.
-    Only i <= j is summed and then mirrored."""
-    x = centred_returns(bars)
-    a, b = x.select("dt", F.col("ticker").alias("i"), F.col("x").alias("a")), x.select("dt", F.col("ticker").alias("j"), F.col("x").alias("b"))
-    product = F.col("a") * F.col("b")
-    half = a.join(b, "dt").where("i <= j").groupBy("i", "j").agg(F.sum(product).alias("s"), F.sum(product * product).alias("q"), F.count("*").cast("double").alias("n"))
-    pairs = half.unionByName(half.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "s", "q", "n"))
+    Only i <= j is summed, in matrix products by blocks, and mirrored at the end."""
+    half = pairs.pair_sums(centred_returns(bars)).select("i", "j", "n", F.col("sxy").alias("s"), F.col("sqq").alias("q"))
     e = F.col("s") / F.col("n")
-    diagonal = F.when(F.col("i") == F.col("j"), e).otherwise(0.0)
-    sums = pairs.agg(F.sum(e * e).alias("ee"), F.sum(diagonal).alias("tr"), F.sum("q").alias("qq"), F.max("n").alias("n_"), F.count_if(F.col("i") == F.col("j")).cast("double").alias("p"))
+    same = F.col("i") == F.col("j")
+    twice = F.when(same, 1.0).otherwise(2.0)
+    sums = half.agg(F.sum(twice * e * e).alias("ee"), F.sum(F.when(same, e)).alias("tr"), F.sum(twice * F.col("q")).alias("qq"), F.max("n").alias("n_"), F.count_if(same).cast("double").alias("p"))
     m = F.col("tr") / F.col("p")
     beta = (F.col("qq") / F.col("n_") - F.col("ee")) / (F.col("p") * F.col("n_"))
     delta = (F.col("ee") - 2 * m * F.col("tr") + F.col("p") * m * m) / F.col("p")
     shrink = sums.select(m.alias("m"), F.coalesce(F.least(beta, delta) / F.nullif(delta, F.lit(0.0)), F.lit(0.0)).alias("shrinkage"))
-    target = F.when(F.col("i") == F.col("j"), F.col("m")).otherwise(0.0)
-    c = YEAR * ((1 - F.col("shrinkage")) * e + F.col("shrinkage") * target)
-    return pairs.join(F.broadcast(shrink)).select("i", "j", c.alias("c"), "shrinkage")
+    c = YEAR * ((1 - F.col("shrinkage")) * e + F.col("shrinkage") * F.when(same, F.col("m")).otherwise(0.0))
+    told = half.join(F.broadcast(shrink)).select("i", "j", c.alias("c"), "shrinkage")
+    one, two = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    return told.withColumn("p", F.explode(F.when(same, F.array(one)).otherwise(F.array(one, two)))).select("p.i", "p.j", "c", "shrinkage")
 
 
 def risk_aversion(idx: DataFrame, rate: float) -> DataFrame:

@@ -15,6 +15,7 @@ from tessera.functions.scalars import money_text
 from tessera.operators import benchmark, forecast, frontier, fundamentals, hedge, ml, panel, risk, screen
 from tessera.plans import fixtures_sql as X
 from tessera.plans import portfolio
+from tessera.schemas import FRACTIONS, METRICS
 from tessera.sources import store
 from tessera.sources import tables as S
 from tessera.streaming import bars as streaming
@@ -164,6 +165,25 @@ add(
     f"""WITH {X.FUNDAMENTALS}, f AS (SELECT ticker, floor(market_cap) AS m, pe FROM fundamentals) SELECT ticker, CASE WHEN m IS NULL THEN '-' WHEN m > 1e9 THEN printf('$%.2fB', m / 1e9)
 WHEN m > 1e6 THEN printf('$%.2fM', m / 1e6) ELSE printf('$%.2f', m) END AS cap_txt, CASE WHEN pe IS NULL THEN '-' ELSE 'x' END AS pe_txt FROM f""",
 )
+_TEXT = {"money": "CASE WHEN {0} IS NULL THEN '-' WHEN {0} > 1e9 THEN printf('$%.2fB', {0} / 1e9) WHEN {0} > 1e6 THEN printf('$%.2fM', {0} / 1e6) ELSE printf('$%.2f', {0}) END",
+         "fraction": "CASE WHEN {0} IS NULL THEN '-' ELSE printf('%.2f%%', {0} * 100) END", "ratio": "CASE WHEN {0} IS NULL THEN '-' ELSE printf('%.2f', {0}) END"}
+
+
+def _text(metric: str, column: str) -> str:
+    """The display text; off the ties at half a cent, which engines round apart."""
+    kind = "fraction" if metric in FRACTIONS else "money" if metric in ("Price", "Market Cap") else "ratio"
+    return f"{_TEXT[kind].format(column)} AS {column}_txt"
+
+
+def _off_ties(f: DataFrame) -> DataFrame:
+    return f.withColumns({c: F.floor(F.col(c) * 1e6) / 1e6 + 1e-7 for c in METRICS.values()})
+
+
+add(
+    "screen_formatted_all",
+    lambda s, d: screen.formatted(_off_ties(S.fundamentals(s, d))),
+    f"WITH {X.FUNDAMENTALS}, f AS (SELECT ticker, {', '.join(f'floor({c} * 1e6) / 1e6 + 1e-7::DOUBLE AS {c}' for c in METRICS.values())} FROM fundamentals) SELECT ticker, {', '.join(_text(m, c) for m, c in METRICS.items())} FROM f",
+)
 add("screen_export", lambda s, d: screen.export(screen.screen(S.fundamentals(s, d), CRITERIA[:1])), f"WITH {X.FUNDAMENTALS} SELECT ticker AS \"Symbol\" FROM fundamentals WHERE pe < 1000")
 
 # --- hedge -----------------------------------------------------------------------------------
@@ -227,6 +247,32 @@ add(
 FROM statements WHERE stmt = 'balance' GROUP BY 1, 2), l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY period DESC) AS k FROM p)
 SELECT ticker, period, {_r('debt_ratio=debt / nullif(assets, 0)')} FROM l WHERE k = 1""",
 )
+_DEBT = f"""WITH {X.STATEMENTS}, p AS (SELECT ticker, period, max(CASE WHEN row_label = 'Total Liabilities' THEN value END) AS debt, max(CASE WHEN row_label = 'Total Assets' THEN value END) AS assets
+FROM statements WHERE stmt = 'balance' GROUP BY 1, 2), l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY period DESC) AS k FROM p),
+t AS (SELECT ticker, period, CASE WHEN debt / nullif(assets, 0) IS NULL THEN 'N/A' ELSE printf('%.2f', debt / nullif(assets, 0)) END AS debt_ratio_txt FROM l WHERE k = 1)"""
+add("ratio_debt_text", lambda s, d: fundamentals.debt_ratio(S.statements(s, d)).drop("debt_ratio"), f"{_DEBT} SELECT ticker, period, debt_ratio_txt FROM t")
+
+
+def _quoted(s: SparkSession, d: str) -> DataFrame:
+    """Each ticker's ratios of one statement's totals to another's, as a company's quoted ratios."""
+    total = lambda stmt: F.sum(F.when(F.col("stmt") == stmt, F.col("value")))
+    per = lambda a, b: total(a) / F.nullif(total(b), F.lit(0.0))
+    return S.statements(s, d).groupBy("ticker").agg(
+        per("income", "cash").alias("trailing_pe"), per("balance", "cash").alias("price_to_book"), per("income", "balance").alias("price_to_sales"), per("cash", "none").alias("current_ratio")
+    )
+
+
+def _per(a: str, b: str) -> str:
+    x = f"sum(CASE WHEN stmt = '{a}' THEN value END) / nullif(sum(CASE WHEN stmt = '{b}' THEN value END), 0)"
+    return f"CASE WHEN {x} IS NULL THEN 'N/A' ELSE printf('%.2f', {x}) END"
+
+
+add(
+    "key_ratios",
+    lambda s, d: fundamentals.key_ratios(_quoted(s, d), S.statements(s, d)),
+    f"""{_DEBT}, c AS (SELECT ticker, {_per('income', 'cash')} AS trailing_pe, {_per('balance', 'cash')} AS price_to_book, {_per('income', 'balance')} AS price_to_sales, {_per('cash', 'none')} AS current_ratio
+FROM statements GROUP BY ticker) SELECT c.*, coalesce(t.debt_ratio_txt, 'N/A') AS debt_ratio FROM c LEFT JOIN t ON t.ticker = c.ticker""",
+)
 add(
     "statement_pivot",
     lambda s, d: fundamentals.pivot(S.statements(s, d), "NATION_3", "income", PERIODS),
@@ -313,7 +359,10 @@ add(
 def _blended(s: SparkSession, d: str):
     bars = S.px_daily(s, d)
     cov = risk.ledoit_wolf(bars).persist()  # read for the matrix and for the prior
-    return risk.black_litterman(cov, _prior(s, d, cov), forecast.forecast(bars, "LIGHTWEIGHT"))
+    try:
+        return risk.black_litterman(cov, _prior(s, d, cov), forecast.forecast(bars, "LIGHTWEIGHT"))
+    finally:
+        cov.unpersist()
 
 
 def _table(s: SparkSession, rows: list, columns: str) -> DataFrame:
@@ -337,6 +386,26 @@ add("bl_posterior", _posterior)
 add("max_sharpe", _weights(lambda mu, sigma: frontier.max_sharpe(mu, sigma, min(RATE, float(mu.max()) - 0.01))))
 add("efficient_return", _weights(lambda mu, sigma: frontier.efficient_return(mu, sigma, float(mu.mean()))))
 add("efficient_risk", _weights(lambda mu, sigma: frontier.efficient_risk(mu, sigma, 1.05 * float((sigma.sum() ** 0.5) / len(mu)))))
+
+
+def _ensemble_plan(s: SparkSession, d: str) -> DataFrame:
+    """The whole plan with the ensemble's forecasts, over every ticker."""
+    out = portfolio.optimise(portfolio.prepare(S.px_sparse(s, d), "1992-01-01", "1999-01-01", method="Ensemble"), rate=0.0)
+    return _table(s, list(out["weights"].items()), "ticker string, weight double")
+
+
+add("optimise_ensemble", _ensemble_plan)
+add(
+    "get_data",
+    lambda s, d: portfolio.get_data(S.px_daily(s, d), "click_0", "2024-01-05", "2024-01-25")["prices"],
+    f"WITH {X.PX_DAILY} SELECT ticker, dt, {_r('close')} FROM px_daily WHERE ticker = 'click_0' AND dt >= DATE '2024-01-05' AND dt < DATE '2024-01-25'",
+)
+add(
+    "ema_slow",
+    lambda s, d: S.px_monthly(s, d).select("ticker", "dt", W.ema(alpha=0.02).alias("ema")),
+    f"""WITH {X.PX_MONTHLY}, n AS (SELECT *, row_number() OVER ({_W}) - 1 AS k FROM px_monthly WHERE close IS NOT NULL)
+SELECT a.ticker, a.dt, round(sum(b.close * pow(0.98::DOUBLE, a.k - b.k) * CASE WHEN b.k = 0 THEN 1 ELSE 0.02::DOUBLE END), 6) + 0.0 AS ema FROM n a JOIN n b ON a.ticker = b.ticker AND b.k <= a.k GROUP BY 1, 2""",
+)
 add(
     "allocation",
     lambda s, d: portfolio.allocation(S.weights(s, d), panel.ends(S.px_daily(s, d)).select("ticker", F.col("last_close").alias("close")), BUDGET),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import forecast as forecasts
-from tessera.operators import frontier, panel, risk
+from tessera.operators import frontier, ml, panel, risk
+from tessera.sources import store
 from tessera.sources.tables import history
 
 
@@ -35,6 +37,71 @@ def date_range(start: str | None, end: str | None, as_of: date | None = None) ->
     return start, end
 
 
+@dataclass(frozen=True)
+class BenchmarkRequest:
+    """A checked request to value a portfolio back."""
+
+    weights: dict[str, float]
+    prices: dict[str, float]
+    budget: float
+    rate: float
+    start: str
+    end: str
+
+
+REQUIRED = ("portfolio_data", "budget", "start_date", "end_date", "risk_free_rate")
+
+
+def benchmark_request(body: dict | None, as_of: date | None = None) -> BenchmarkRequest:
+    """The request's values, or InvalidRequest with what is wrong: absent keys, a budget that isn't a
+    positive number, a rate that isn't a number, a bad range, weights or prices absent or empty."""
+    if not body:
+        raise InvalidRequest("the request is empty")
+    if missing := [k for k in REQUIRED if k not in body]:
+        raise InvalidRequest(f"missing: {', '.join(missing)}")
+
+    def number(name: str) -> float:
+        try:
+            x = float(body[name])
+        except (TypeError, ValueError):
+            raise InvalidRequest(f"{name} must be a number") from None
+        if not np.isfinite(x):
+            raise InvalidRequest(f"{name} must be a finite number")
+        return x
+
+    budget, rate = number("budget"), number("risk_free_rate")
+    if budget <= 0:
+        raise InvalidRequest("budget must be positive")
+    start, end = date_range(body["start_date"], body["end_date"], as_of)
+    held = body["portfolio_data"]
+    if not isinstance(held, dict):
+        raise InvalidRequest("portfolio_data must be an object")
+    if missing := [k for k in ("weights", "prices") if not isinstance(held.get(k), dict) or not held[k]]:
+        raise InvalidRequest(f"portfolio_data needs {' and '.join(missing)}")
+    return BenchmarkRequest(held["weights"], held["prices"], budget, rate, start, end)
+
+
+def days_ahead(asked) -> int:
+    """Days to project: 0 for what is no number or below 0."""
+    try:
+        return max(int(asked), 0)
+    except (TypeError, ValueError):
+        return 0
+
+
+def get_data(bars: DataFrame, ticker: str, start: str | None, end: str | None, regression: bool = False, future_days=0, as_of: date | None = None) -> dict[str, DataFrame]:
+    """History, and if asked for the fitted line and its projection, of one ticker in one call."""
+    first, last = date_range(start, end, as_of)
+    seen = history(bars, [ticker], first, last)
+    out = {"prices": seen.select("ticker", "dt", "close")}
+    if regression:
+        out["regression"] = ml.price_regression(seen)
+        days = days_ahead(future_days)
+        none = seen.select("ticker", "dt", F.col("close").alias("value")).where(F.lit(False))
+        out["future"] = ml.price_projection(seen, days) if days else none
+    return out
+
+
 @dataclass
 class Bundle:
     """All that an allocation needs and that its constraints don't change."""
@@ -71,6 +138,41 @@ def optimise(bundle: Bundle, rate: float = 0.0, caps: dict[str, float] | None =
     return {"weights": kept, "prices": {t: bundle.prices.get(t, 0.0) for t in kept}, **frontier.performance(w, mu, sigma, rate)}
 
 
+class Planner:
+    """Optimises portfolios, keeping the last ``most`` bundles: what only changes the constraints
+    reuses forecasts and covariance, and a saved result is loaded instead of computed."""
+
+    def __init__(self, bars: DataFrame, folder: str, groups: DataFrame | None = None, most: int = 8) -> None:
+        self.bars, self.folder, self.groups, self.most = bars, folder, groups, most
+        self.bundles: OrderedDict[str, Bundle] = OrderedDict()
+
+    def bundle(self, start: str, end: str, group: str | None = None, tickers: list[str] | None = None, method: str = "LIGHTWEIGHT") -> Bundle:
+        key = store.bundle_key(start, end, group, tickers, method)
+        if key not in self.bundles:
+            bars = self.bars
+            if group is not None and self.groups is not None:
+                bars = bars.join(self.groups.where(F.col("group_name") == group).select(F.col("symbol").alias("ticker")), "ticker", "left_semi")
+            self.bundles[key] = prepare(bars, start, end, tickers, method)
+            while len(self.bundles) > self.most:
+                self.bundles.popitem(last=False)
+        self.bundles.move_to_end(key)
+        return self.bundles[key]
+
+    def run(self, start: str, end: str, group: str | None = None, tickers: list[str] | None = None, method: str = "LIGHTWEIGHT", portfolio_id: str | None = None, load: bool = False, persist: bool = False, **constraints) -> DataFrame | dict:
+        """The saved record if ``load`` finds one, else the new result, saved if ``persist``."""
+        spark = self.bars.sparkSession
+        if load and portfolio_id is not None:
+            saved = store.load(spark, self.folder, portfolio_id)
+            if saved is not None:
+                return saved
+        out = optimise(self.bundle(start, end, group, tickers, method), **constraints)
+        if persist and portfolio_id is not None:
+            weights = spark.createDataFrame(list(out["weights"].items()), "ticker string, weight double")
+            prices = spark.createDataFrame(list(out["prices"].items()), "ticker string, close double")
+            store.save(weights, prices, self.folder, portfolio_id, out, {"method": method})
+        return out
+
+
 def allocation(weights: DataFrame, prices: DataFrame, budget: float) -> DataFrame:
     """(ticker, amount, shares); a ticker without a price counts as price 1."""
     amount = F.col("weight") * budget

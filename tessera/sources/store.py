@@ -68,6 +68,17 @@ def load_weights(saved: DataFrame) -> DataFrame:
     return saved.select(F.explode("result.weights").alias("ticker", "weight"))
 
 
+def read_portfolio(spark: SparkSession, path: str, benchmark: bool = False) -> DataFrame:
+    """An uploaded portfolio (one JSON object) as one row of maps, weights and prices; ValueError if
+    weights, or for a benchmark prices, are absent or empty."""
+    row = spark.read.schema("weights map<string,double>, prices map<string,double>").json(path, multiLine=True).limit(1)
+    needed = ("weights", "prices") if benchmark else ("weights",)
+    got = row.select(*[F.coalesce(F.size(c), F.lit(0)).alias(c) for c in needed]).first()
+    if missing := [c for c in needed if got is None or got[c] <= 0]:
+        raise ValueError(f"the portfolio has no {' and no '.join(missing)}")
+    return row
+
+
 def bundle_key(start: str, end: str, group: str | None, tickers: list[str] | None, method: str) -> str:
     """Key of everything that doesn't depend on the constraints: another optimisation reuses it."""
     return hashlib.md5(json.dumps([start, end, group, sorted(tickers or []), method]).encode()).hexdigest()

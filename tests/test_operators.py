@@ -310,3 +310,97 @@ def test_texts(spark):
         scalars.clip(F.lit(None).cast("double"), -1, 1).alias("i"), scalars.finite(F.lit(float("inf"))).alias("j"),
     ).first()
     assert tuple(row) == ("N/A", "1.26", "$2.50B", "$3.00M", "$12.00", "12.30%", "+1.50%", "2M", None, None)
+
+
+# --- requests, planner, get-data -----------------------------------------------------------------
+
+GOOD = {"portfolio_data": {"weights": {"A": 1.0}, "prices": {"A": 2.0}}, "budget": "1000", "start_date": "2024-01-01", "end_date": "2024-02-01", "risk_free_rate": "0.04"}
+
+
+def test_benchmark_request():
+    got = portfolio.benchmark_request(GOOD)
+    assert (got.budget, got.rate, got.start, got.weights) == (1000.0, 0.04, "2024-01-01", {"A": 1.0})
+    bad = [
+        {}, None, {k: v for k, v in GOOD.items() if k != "budget"}, GOOD | {"budget": -1}, GOOD | {"budget": "ten"}, GOOD | {"budget": None}, GOOD | {"budget": "nan"}, GOOD | {"risk_free_rate": "x"},
+        GOOD | {"start_date": "2024-03-01"}, GOOD | {"portfolio_data": []}, GOOD | {"portfolio_data": {"weights": {}, "prices": {"A": 1}}}, GOOD | {"portfolio_data": {"weights": {"A": 1}}},
+    ]
+    for body in bad:
+        with pytest.raises(portfolio.InvalidRequest):
+            portfolio.benchmark_request(body)
+
+
+def test_uploaded_portfolio(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{\n"weights": {"A": 0.4, "B": 0.6}\n}')
+    (tmp_path / "empty.json").write_text('{"weights": {}, "prices": {"A": 1.0}}')
+    assert store.read_portfolio(spark, str(tmp_path / "p.json")).first()["weights"] == {"A": 0.4, "B": 0.6}
+    for name, benchmark_ in (("p.json", True), ("empty.json", False)):
+        with pytest.raises(ValueError):
+            store.read_portfolio(spark, str(tmp_path / name), benchmark_)
+
+
+def test_get_data(spark):
+    bars = bars_of(spark, {"A": list(walk(60)), "B": list(walk(60, 1))})
+    got = portfolio.get_data(bars, "A", "2024-01-01", "2024-03-01", regression=True, future_days="5")
+    assert got["prices"].count() == 60 and got["regression"].count() == 40 and got["future"].count() == 5
+    assert set(portfolio.get_data(bars, "A", "2024-01-01", "2024-03-01")) == {"prices"}
+    assert [portfolio.days_ahead(x) for x in ("7", -3, "x", None, 2)] == [7, 0, 0, 0, 2]
+    assert portfolio.get_data(bars, "A", "2024-01-01", "2024-03-01", True, -1)["future"].count() == 0
+
+
+def test_planner_reuses_bundles_and_saved_results(spark, tmp_path):
+    bars = bars_of(spark, {t: list(walk(60, k)) for k, t in enumerate("ABCDEF")})
+    groups = spark.createDataFrame([("g", "A"), ("g", "B")], "group_name string, symbol string")
+    plan = portfolio.Planner(bars, str(tmp_path / "saved"), groups, most=1)
+    one = plan.bundle("2024-01-01", "2024-03-01")
+    assert plan.bundle("2024-01-01", "2024-03-01") is one and one.names == list("ABCDEF")
+    first = plan.run("2024-01-01", "2024-03-01", portfolio_id="p", persist=True)
+    saved = plan.run("2024-01-01", "2024-03-01", portfolio_id="p", load=True)
+    assert {r["ticker"]: r["weight"] for r in store.load_weights(saved).collect()} == pytest.approx(first["weights"])
+    assert isinstance(plan.run("2024-01-01", "2024-03-01", portfolio_id="q", load=True), dict)
+    assert plan.bundle("2024-01-01", "2024-03-01", group="g").names == ["A", "B"] and plan.bundle("2024-01-01", "2024-03-01") is not one
+
+
+def test_pair_sums_by_blocks(spark):
+    from tessera.operators import pairs
+
+    rng = np.random.default_rng(0)
+    table = {f"T{k:02}": {DAY + dt.timedelta(days=int(d)): float(x) for d, x in zip(rng.permutation(30)[:20], rng.normal(size=20))} for k in range(9)}
+    rows = spark.createDataFrame([(t, d, x) for t, v in table.items() for d, x in v.items()], "ticker string, dt date, x double")
+    for blocks in (1, 4):
+        got = {(r["i"], r["j"]): r for r in pairs.pair_sums(rows, blocks).collect()}
+        for i in table:
+            for j in table:
+                both = sorted(set(table[i]) & set(table[j]))
+                if i <= j and both:
+                    x, y = (np.array([table[t][d] for d in both]) for t in (i, j))
+                    want = (len(both), x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum(), (x * x * y * y).sum())
+                    row = got.pop((i, j))
+                    assert np.allclose([row[c] for c in pairs.SUMS], want)
+        assert not got
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.3, 1.0])
+def test_ema_is_the_recursion(spark, alpha):
+    from tessera.functions import windows
+
+    x = walk(300)
+    got = [r["e"] for r in bars_of(spark, {"A": list(x)}).select("dt", windows.ema(alpha=alpha).alias("e")).orderBy("dt").collect()]
+    want = [x[0]]
+    for v in x[1:]:
+        want.append((1 - alpha) * want[-1] + alpha * v)
+    assert np.allclose(got, want, rtol=1e-12)
+
+
+def test_p_values_by_quadrature(spark):
+    from tessera.functions.pvalue import pearson_p
+
+    rows = [(r, float(n)) for r in (-0.95, -0.3, 0.0, 0.5, 0.999) for n in (3, 4, 10, 60)] + [(None, 5.0), (0.5, 2.0), (1.0, 9.0)]
+    got = spark.createDataFrame(rows, "r double, n double").select("r", "n", pearson_p(F.col("r"), F.col("n")).alias("p")).collect()
+    for r in got:
+        if r["r"] is None or r["n"] < 3:
+            assert r["p"] is None
+            continue
+        # r = sin(u) has a density in proportion to cos(u)^(n - 3)
+        u = np.linspace(math.asin(abs(r["r"])), math.pi / 2, 200_001), np.linspace(0, math.pi / 2, 200_001)
+        tail, whole = (np.trapezoid(np.cos(v) ** (r["n"] - 3), v) for v in u)
+        assert math.isclose(r["p"], tail / whole, rel_tol=1e-6, abs_tol=1e-9)
