@@ -24,11 +24,12 @@ def covariance(bars: DataFrame) -> DataFrame:
 
 
 def centred_returns(bars: DataFrame) -> DataFrame:
-    """(ticker, dt, x): returns of the filled panel, missing ones 0, less their mean."""
-    r = panel.fetch(bars).withColumn("r", W.simple_return()).where("r is not null").select("ticker", "dt", "r")
-    grid = r.select("ticker").distinct().crossJoin(F.broadcast(r.select("dt").distinct()))
-    full = grid.join(r, ["ticker", "dt"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-    return full.select("ticker", "dt", (F.col("r") - F.avg("r").over(Window.partitionBy("ticker"))).alias("x"))
+    """(ticker, dt, x): returns of the filled panel, missing ones 0, less their mean; over the tickers
+    and the dates that have a return. The panel is made once and judged by windows."""
+    r = panel.densify(bars).withColumn("close", W.forward_fill()).withColumn("r", W.simple_return()).select("ticker", "dt", "r")
+    of_date, of_ticker = Window.partitionBy("dt"), Window.partitionBy("ticker")
+    full = r.withColumn("_d", F.count("r").over(of_date)).where("_d > 0").withColumn("_t", F.count("r").over(of_ticker)).where("_t > 0").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    return full.select("ticker", "dt", (F.col("r") - F.avg("r").over(of_ticker)).alias("x"))
 
 
 def ledoit_wolf(bars: DataFrame) -> DataFrame:
