@@ -9,8 +9,6 @@ on bytes and on characters.
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -20,20 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder that the cluster names in spark.checkpoint.dir.
-    Only a local session without that setting gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _OWN.setdefault(app, tempfile.mkdtemp(prefix="tessera-"))
-    return f"{base}/{app}/{name}-{uuid.uuid4().hex}"
-
+from tessera.sources.store import shared_folder as scratch
 
 #: Rows and bytes that Spark hands to a Python task at once: whole texts are long, and Spark's defaults fill an executor.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20

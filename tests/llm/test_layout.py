@@ -336,3 +336,21 @@ def test_pipeline(spark, sf_dir):
     lines = P.STAGES[1][1](spark, kept, sf_dir).select("text").collect()
     forms = [f for r in lines for x in (r["text"] or "").split("\n") if (f := normal(x))]
     assert len(forms) == len(set(forms))
+
+
+def test_pipeline_edges(spark, documents, edge_rows):
+    import corpus_pipeline as P
+
+    rows = [(i, t, "en" if i and i % 2 else None, "s" if i and i % 3 else None) for i, t in edge_rows]
+    docs = documents(rows)
+    for name, stage in P.STAGES:
+        docs = P.cut(stage(spark, docs, ""), name)
+        if name == "minhash":
+            assert sorted(docs.columns) == sorted(P.COLUMNS)
+            kept = [r["doc_id"] for r in docs.collect()]
+            assert not {1, 2, 3, 12} & set(kept) and len(kept) == len(set(kept)) and kept.count(7) == 0 and 6 in kept
+    assert {r["doc_id"] for r in docs.collect()} <= set(kept) and docs.agg(F.min("length")).first()[0] > 0
+    none = documents([])
+    for name, stage in P.STAGES:
+        none = P.cut(stage(spark, none, ""), name)
+    assert none.count() == 0
