@@ -2,6 +2,11 @@
 
 Each stage works on all that the stage before it kept, reread from Parquet, and its
 decisions take effect: documents go, lines go, documents repeat.
+
+Cases: a document with null, empty or letterless text goes in the first stage; a null id stays and
+counts as the last; a null source is a source of its own, the last; a null lang doesn't train.
+Repeated rows are near-duplicates of each other: one stays. An empty table gives no pieces. Columns
+besides those of ``documents`` are dropped by the first stage, whatever their names.
 """
 
 from __future__ import annotations
