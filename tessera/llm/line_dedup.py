@@ -50,6 +50,9 @@ LEAST, LONG, TINY = 6, 32, (9, 20)
 SEEN = 1 << 20
 #: Places for the blocks of the lines handled at once.
 PLACES = 1 << 22
+#: Groups of bytes, 32 of them, whose counts bound the edits between two lines from below; eight counts a number.
+_GROUP = np.where((np.arange(256) >= 97) & (np.arange(256) <= 122), np.arange(256) - 97, 26 + np.arange(256) % 6)
+COUNTS = ("c0", "c1", "c2", "c3")
 _DROP = np.zeros(256, bool)
 _DROP[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _SPREAD = np.array([int.from_bytes(bytes((x >> j) & 1 for j in range(8)), "little") for x in range(256)], np.uint64)
@@ -230,8 +233,18 @@ def meeting_keys(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, id long")
 
 
+def group_counts(forms: list[bytes]) -> np.ndarray:
+    """How many characters of each line are of each group, at most 255, packed: four numbers a line.
+    A character counts by its first byte, so an edit changes two counts by one at most."""
+    b = np.frombuffer(b"".join(forms), np.uint8)
+    row = np.repeat(np.arange(len(forms)), [len(f) for f in forms])
+    first = (b & 0xC0) != 0x80
+    counts = np.bincount(row[first] * 32 + _GROUP[b[first]], minlength=32 * len(forms))
+    return np.minimum(counts, 255).astype(np.uint8).view(np.int64).reshape(-1, 4)
+
+
 def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(id, line) of the lines whose hash is in the filter; once a task for equal lines."""
+    """(id, line, c0 to c3) of the lines whose hash is in the filter; once a task for equal lines."""
 
     def run(batches):
         seen: set[int] = set()
@@ -243,9 +256,11 @@ def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                 at, h = at[hit], signed(h[hit])
                 new = _new(seen, h.tolist())
                 if new:
-                    yield pa.RecordBatch.from_pydict({"id": h[new], "line": pa.array([lines.form(i).decode() for i in at[new]], pa.string())})
+                    forms = [lines.form(i) for i in at[new]]
+                    counts = np.ascontiguousarray(group_counts(forms).T)
+                    yield pa.RecordBatch.from_pydict({"id": h[new], "line": pa.array([x.decode() for x in forms], pa.string()), **dict(zip(COUNTS, counts))})
 
-    return docs.select("text").mapInArrow(run, "id long, line string")
+    return docs.select("text").mapInArrow(run, "id long, line string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _common(a: str, b: str) -> int:
@@ -315,10 +330,13 @@ def link_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = cut(keyed.where("lo < hi").select("key", "id").distinct(), "meeting")
     wanted = cut(met.select("id").distinct(), "wanted")
     lines = cut(normal_forms(docs, bitmap(wanted, "id")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "forms")
-    entries = cut(met.join(lines.select("id", F.length("line").alias("n")), "id"), "entries")
+    entries = cut(met.join(lines.select("id", F.length("line").alias("n"), *COUNTS), "id"), "entries")
 
     def may(a: str, b: str) -> str:
-        return f"abs({a}.n - {b}.n) <= floor({1 - similarity} * greatest({a}.n, {b}.n) + 1e-9)"
+        # an edit changes the length by one at most, and two counts by one each, or one if the length changes
+        most = f"floor({1 - similarity} * greatest({a}.n, {b}.n) + 1e-9)"
+        apart = [f"abs((shiftrightunsigned({a}.{c}, {i}) & 255) - (shiftrightunsigned({b}.{c}, {i}) & 255))" for c in COUNTS for i in range(0, 64, 8)]
+        return f"abs({a}.n - {b}.n) <= {most} and abs({a}.n - {b}.n) + {' + '.join(apart)} <= 2 * {most}"
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
@@ -332,7 +350,8 @@ def link_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-    return connect(entries, ["id"], may, verify)
+    # a line has at most some fifty keys
+    return connect(entries, ["id"], may, verify, few_keys=True)
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

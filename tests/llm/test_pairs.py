@@ -281,6 +281,19 @@ def test_line_places(texts):
     assert got == want
 
 
+def test_group_counts_bound_the_distance():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choice("abcdeé1 ü一") for _ in range(rng.randint(1, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "é"])
+        b = "".join(b) or "x"
+        x, y = (line_dedup.group_counts([t.encode()]).view(np.uint8).astype(int) for t in (a, b))
+        assert np.abs(x - y).sum() + abs(len(a) - len(b)) <= 2 * distance(a, b)
+
+
 def test_within_equals_the_table():
     rng = random.Random(0)
     for _ in range(400):
