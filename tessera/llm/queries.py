@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprints, language_id, language_model, line_dedup, minhash, mixing, packing, quality_rules, resampling, warc
+from tessera.llm import fingerprints, language_id, language_model, line_dedup, merkle, minhash, mixing, packing, quality_rules, resampling, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_minhash": minhash.query,
     "op9_line_dedup": line_dedup.query,
     "op10_resampling": resampling.query,
+    "op11_merkle": merkle.query,
 }
 
 ORACLE_SQL = {
     "op4_warc": warc.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op8_minhash": minhash.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
