@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import alignment, fingerprints, language_id, language_model, line_dedup, merkle, minhash, mixing, packing, quality_rules, resampling, warc
+from tessera.llm import alignment, fingerprints, language_id, language_model, line_dedup, merkle, minhash, mixing, packing, quality_rules, resampling, secrets, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_resampling": resampling.query,
     "op11_merkle": merkle.query,
+    "op12_secrets": secrets.query,
     "op13_alignment": alignment.query,
 }
 
