@@ -1,5 +1,8 @@
 """Forecasts by fitted models, one ticker a group: ARIMA, boosted trees, and their ensemble.
 
+A fit's failure stays with its ticker and member, as a status (``attempt``). Fitted price models are
+a table (``price_models``) that the line and the projection read.
+
 The models are this package's own, so orders and fitted values differ from any library's;
 gates, features, targets, horizons and clips are the contract. The recurrent-network member
 always forecasts the constant that it is known for.
@@ -7,66 +10,24 @@ always forecasts the constant that it is known for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import forecast, panel
+from tessera.operators import boosting, forecast, panel
+from tessera.operators.boosting import Boosted, Model
 
 YEAR = 252
 NETWORK = 0.08
+#: The uncertainty of a forecast that stands alone.
+LONE = 0.05
 LEAST_PRICES, LEAST_ROWS = 100, 50
 REGRESSORS = ["t", "ma7", "ma21", "lag1", "volume"]
 
 
-class Boosted:
-    """Least-squares gradient boosting over binned features; trees grow level by level."""
-
-    def __init__(self, trees: int = 100, depth: int = 5, rate: float = 0.1, bins: int = 64, penalty: float = 1.0) -> None:
-        self.trees, self.depth, self.rate, self.bins, self.penalty = trees, depth, rate, bins, penalty
-
-    def _binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], 1)
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-        b, self.base, self.grown = self._binned(x), float(y.mean()), []
-        residual = y - self.base
-        for _ in range(self.trees):
-            node = np.zeros(len(y), int)
-            splits = []
-            for level in range(self.depth):
-                size = 1 << level
-                best = np.zeros(size)
-                feature, at = np.zeros(size, int), np.full(size, self.bins)  # nothing goes right
-                for j in range(x.shape[1]):
-                    key = node * self.bins + b[:, j]
-                    n, g = (np.bincount(key, w, size * self.bins).reshape(size, -1).cumsum(1) for w in (None, residual))
-                    left, right, whole = ((s * s / (c + self.penalty)) for s, c in ((g, n), (g[:, -1:] - g, n[:, -1:] - n), (g[:, -1:], n[:, -1:])))
-                    gain = np.where((n > 0) & (n < n[:, -1:]), left + right - whole, 0)
-                    k = gain.argmax(1)
-                    better = gain[np.arange(size), k] > best + 1e-12
-                    best = np.where(better, gain[np.arange(size), k], best)
-                    feature, at = np.where(better, j, feature), np.where(better, k, at)
-                splits.append((feature, at))
-                node = 2 * node + (b[np.arange(len(y)), feature[node]] > at[node])
-            size = 1 << self.depth
-            leaf = self.rate * np.bincount(node, residual, size) / (np.bincount(node, None, size) + self.penalty)
-            residual = residual - leaf[node]
-            self.grown.append((splits, leaf))
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        b, out, rows = self._binned(x), np.full(len(x), self.base), np.arange(len(x))
-        for splits, leaf in self.grown:
-            node = np.zeros(len(x), int)
-            for feature, at in splits:
-                node = 2 * node + (b[rows, feature[node]] > at[node])
-            out += leaf[node]
-        return out
-
-
 def arma(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Hannan-Rissanen: coefficients (constant, p lags, q shocks), residuals and AIC."""
     n = len(x)
@@ -122,72 +83,172 @@ def arima_forecast(prices: np.ndarray) -> tuple[float, float]:
 
 
 def boost_forecast(rows: pd.DataFrame) -> float:
-    """252 times the prediction at the mean of the features, clipped to +-0.69; 0.08 below the gates."""
-    x = rows[panel.FEATURES + ["target"]].dropna()
+    """252 times the prediction at the mean of the features, clipped to +-0.69; 0.08 below the gates.
+    Rows with a feature that isn't finite are left out."""
+    x = rows[panel.FEATURES + ["target"]].replace([np.inf, -np.inf], np.nan).dropna()
     if len(rows) < LEAST_PRICES or len(x) < LEAST_ROWS:
         return NETWORK
     model = Boosted().fit(x[panel.FEATURES].to_numpy(), x["target"].to_numpy())
     return float(np.clip(YEAR * model.predict(x[panel.FEATURES].mean().to_numpy()[None, :])[0], -0.69, 0.69))
 
 
-def _per_ticker(bars: DataFrame, f, schema: str) -> DataFrame:
-    return bars.groupBy("ticker").applyInPandas(lambda rows: f(rows.sort_values("dt")), schema)
+def spread(bars: DataFrame) -> DataFrame:
+    """``bars`` dealt by ticker to a stated number of partitions. Fits are heavy and rows light, so
+    the adaptive planner, which goes by bytes, would merge all tickers into one task; a stated number
+    it leaves alone, and the windows and groups by ticker that follow need no further shuffle."""
+    session = bars.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    return bars.repartition(n, "ticker")
 
 
-def arima(bars: DataFrame) -> DataFrame:
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        mu, u = arima_forecast(rows["close"].dropna().to_numpy())
-        return pd.DataFrame({"ticker": [rows["ticker"].iloc[0]], "mu": [mu], "uncertainty": [u]})
+def _per_ticker(rows: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    return rows.groupBy("ticker").applyInPandas(lambda group: f(group.sort_values("dt")), schema)
+
+
+FORECAST = "ticker string, mu double, uncertainty double, status string"
+
+
+def attempt(fit: Callable[[pd.DataFrame], tuple[float, float]], rows: pd.DataFrame) -> tuple[float | None, float | None, str]:
+    """(value, uncertainty, status) of one member on one ticker. What it raises stays here: the status
+    says it and the value is None, as it is for a forecast that isn't finite."""
+    try:
+        mu, u = fit(rows)
+    except Exception as error:  # any member, any failure: the other tickers go on
+        return None, None, f"failed: {type(error).__name__}: {error}"[:200]
+    return (float(mu), float(u), "ok") if np.isfinite(mu) else (None, None, "not finite")
+
+
+def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], tuple[float, float]]) -> DataFrame:
+    """(ticker, mu, uncertainty, status) by ``fit`` of each ticker's rows, failures kept in their own group."""
+
+    def f(group: pd.DataFrame) -> pd.DataFrame:
+        mu, u, status = attempt(fit, group)
+        return pd.DataFrame({"ticker": [group["ticker"].iloc[0]], "mu": [mu], "uncertainty": [u], "status": [status]}).astype({"mu": float, "uncertainty": float})
+
+    return _per_ticker(rows, f, FORECAST)
+
+
+def _arima(rows: pd.DataFrame) -> tuple[float, float]:
+    return arima_forecast(rows["close"].dropna().to_numpy())
+
 
-    return _per_ticker(bars.select("ticker", "dt", "close"), f, "ticker string, mu double, uncertainty double")
+def _boost(rows: pd.DataFrame) -> tuple[float, float]:
+    return boost_forecast(rows), LONE
+
+
+def _network(rows: pd.DataFrame) -> tuple[float, float]:
+    return NETWORK, LONE
+
+
+#: The ensemble's members: each gives (forecast, its own uncertainty) of one ticker's features and closes.
+MEMBERS = {"arima": _arima, "boost": _boost, "network": _network}
+
+
+def _answered(fits: DataFrame, bars: DataFrame) -> DataFrame:
+    """Fits without status: a ticker whose fit failed has the lightweight forecast."""
+    light = forecast.lightweight(bars).select("ticker", F.col("mu").alias("l"))
+    failed = F.col("status") != "ok"
+    return fits.join(light, "ticker").select("ticker", F.when(failed, F.col("l")).otherwise(F.col("mu")).alias("mu"), F.when(failed, LONE).otherwise(F.col("uncertainty")).alias("uncertainty"))
+
+
+def arima(bars: DataFrame) -> DataFrame:
+    """(ticker, mu, uncertainty); the lightweight forecast where the fit fails."""
+    bars = spread(bars.select("ticker", "dt", "close"))
+    return _answered(fitted(bars, _arima), bars)
 
 
 def boost(bars: DataFrame) -> DataFrame:
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"ticker": [rows["ticker"].iloc[0]], "mu": [boost_forecast(rows)], "uncertainty": [0.05]})
+    """(ticker, mu, uncertainty); the lightweight forecast where the fit fails."""
+    bars = spread(bars.select("ticker", "dt", "close"))
+    return _answered(fitted(panel.ml_features(bars), _boost), bars)
+
+
+def vote(members: DataFrame) -> DataFrame:
+    """(ticker, mu, uncertainty, members) from ``members`` (ticker, f; one row a member's forecast): mean
+    and population deviation of the finite forecasts; 0.05 for a single one, (0.08, 0.05) for none."""
+    f = F.when(~F.isnan("f") & (F.abs("f") != float("inf")), F.col("f"))
+    got = members.groupBy("ticker").agg(F.count(f).alias("members"), F.avg(f).alias("m"), F.stddev_pop(f).alias("sd"))
+    return got.select("ticker", F.coalesce("m", F.lit(NETWORK)).alias("mu"), F.when(F.col("members") > 1, F.col("sd")).otherwise(LONE).alias("uncertainty"), "members")
+
 
-    return _per_ticker(panel.ml_features(bars), f, "ticker string, mu double, uncertainty double")
+def member_forecasts(bars: DataFrame, members: dict[str, Callable] | None = None) -> DataFrame:
+    """(ticker, n, member, f, status) of the closes that are there: every member on every ticker of at least
+    ``LEAST_PRICES`` of them, in one pass over the ticker's rows; for other tickers no row."""
+    members = MEMBERS if members is None else members
 
+    def f(group: pd.DataFrame) -> pd.DataFrame:
+        n = int(group["close"].count())
+        tried = {name: attempt(fit, group) for name, fit in members.items()} if n >= LEAST_PRICES else {}
+        return pd.DataFrame([(group["ticker"].iloc[0], n, name, mu, status) for name, (mu, _, status) in tried.items()], columns=["ticker", "n", "member", "f", "status"]).astype({"f": float})
 
-def ensemble(bars: DataFrame) -> DataFrame:
-    """The mean of the three members' forecasts and their population deviation. Tickers with fewer
-    than 100 prices get the lightweight forecast."""
+    seen = spread(bars.where("close is not null").select("ticker", "dt", "close"))
+    return _per_ticker(panel.ml_features(seen, "close"), f, "ticker string, n long, member string, f double, status string")
+
+
+def ensemble(bars: DataFrame, members: dict[str, Callable] | None = None) -> DataFrame:
+    """The vote of the members. Tickers with fewer than 100 prices, or with no answer from the group at
+    all, get the lightweight forecast and 0.05."""
     seen = bars.where("close is not null")
-    n = seen.groupBy("ticker").agg(F.count("close").alias("n"))
-    a, b, light = arima(seen), boost(seen), forecast.lightweight(seen)
-    joined = n.join(a.select("ticker", F.col("mu").alias("a")), "ticker").join(b.select("ticker", F.col("mu").alias("b")), "ticker").join(light.select("ticker", F.col("mu").alias("l")), "ticker")
-    members = F.array("a", "b", F.lit(NETWORK))
-    mean = F.aggregate(members, F.lit(0.0), lambda s, x: s + x) / 3
-    var = F.aggregate(F.transform(members, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / 3
-    few = F.col("n") < LEAST_PRICES
-    return joined.select("ticker", F.when(few, F.col("l")).otherwise(mean).alias("mu"), F.when(few, 0.05).otherwise(F.sqrt(var)).alias("uncertainty"))
+    light = forecast.lightweight(spread(seen.select("ticker", "dt", "close"))).select("ticker", F.col("mu").alias("l"))
+    voted = light.join(vote(member_forecasts(bars, members)), "ticker", "left")
+    return voted.select("ticker", F.coalesce("mu", "l").alias("mu"), F.coalesce("uncertainty", F.lit(LONE)).alias("uncertainty"))
+
+
+def fit_prices(rows: pd.DataFrame) -> Model:
+    """The model of daily changes: 100 trees, rate 0.1, up to 31 leaves of at least 20 rows."""
+    x = rows[REGRESSORS + ["change"]].replace([np.inf, -np.inf], np.nan).dropna()
+    return Boosted(leaves=31, depth=None, penalty=0.0, least=20).fit(x[REGRESSORS].to_numpy(float), x["change"].to_numpy(float))
 
 
-def price_regression(bars: DataFrame) -> DataFrame:
-    """(ticker, dt, value): the first kept close plus the running sum of predicted changes."""
+def price_models(bars: DataFrame) -> DataFrame:
+    """One row a ticker: its model (``boosting.SCHEMA``), and where it starts and ends: ``first_close``, and
+    the last row's date, close and regressors. A ticker whose fit fails has its message in ``status`` and no
+    model. Keep it (``store.kept``) where more than one result reads it."""
+    fit = fit_prices
 
     def f(rows: pd.DataFrame) -> pd.DataFrame:
-        model = Boosted().fit(rows[REGRESSORS].to_numpy(), rows["change"].to_numpy())
-        line = rows["close"].iloc[0] + np.cumsum(model.predict(rows[REGRESSORS].to_numpy()))
+        last = rows.iloc[-1]
+        out = {"ticker": last["ticker"], "first_close": float(rows["close"].iloc[0]), "last_dt": last["dt"], "last_close": float(last["close"]), "last_x": [float(v) for v in last[REGRESSORS]]}
+        try:
+            out |= fit(rows).row() | {"status": "ok"}
+        except Exception as error:  # stays with its ticker
+            out |= dict.fromkeys(boosting.COLUMNS) | {"status": f"failed: {type(error).__name__}: {error}"[:200]}
+        return pd.DataFrame([out])
+
+    schema = f"ticker string, first_close double, last_dt date, last_close double, last_x array<double>, {boosting.SCHEMA}, status string"
+    return _per_ticker(panel.regression_features(spread(bars)), f, schema)
+
+
+def price_regression(bars: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """(ticker, dt, value): the first kept close plus the running sum of predicted changes. ``models`` are
+    those of ``price_models``; a ticker without a model has no line."""
+
+    def f(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or model.empty:
+            return pd.DataFrame(columns=["ticker", "dt", "value"], dtype=object)
+        rows, model = rows.sort_values("dt"), model.iloc[0]
+        line = model["first_close"] + np.cumsum(Model.of(model).predict(rows[REGRESSORS].to_numpy(float)))
         return pd.DataFrame({"ticker": rows["ticker"], "dt": rows["dt"], "value": line})
 
-    return _per_ticker(panel.regression_features(bars), f, "ticker string, dt date, value double")
+    models = (price_models(bars) if models is None else models).where("status = 'ok'")
+    rows = panel.regression_features(spread(bars))
+    return rows.groupBy("ticker").cogroup(models.groupBy("ticker")).applyInPandas(f, "ticker string, dt date, value double")
 
 
-def price_projection(bars: DataFrame, days: int) -> DataFrame:
+def price_projection(bars: DataFrame, days: int, models: DataFrame | None = None) -> DataFrame:
     """(ticker, dt, value) for each of the next calendar days: predict the change, add it, move
-    time and lag on; averages and volume stay."""
+    time and lag on; averages and volume stay. Reads the model table only."""
 
     def f(rows: pd.DataFrame) -> pd.DataFrame:
-        model = Boosted().fit(rows[REGRESSORS].to_numpy(), rows["change"].to_numpy())
-        x = rows[REGRESSORS].iloc[-1].to_numpy(dtype=float)
-        price, out = float(rows["close"].iloc[-1]), []
+        row = rows.iloc[0]
+        model, x, price, out = Model.of(row), np.array(row["last_x"], float), float(row["last_close"]), []
         for _ in range(days):
             x[0] += 1
             x[3] = price
             price += float(model.predict(x[None, :])[0])
             out.append(price)
-        dates = [pd.Timestamp(rows["dt"].iloc[-1]).date() + pd.Timedelta(days=i + 1) for i in range(days)]
-        return pd.DataFrame({"ticker": rows["ticker"].iloc[0], "dt": dates, "value": out})
+        dates = [pd.Timestamp(row["last_dt"]).date() + pd.Timedelta(days=i + 1) for i in range(days)]
+        return pd.DataFrame({"ticker": row["ticker"], "dt": dates, "value": out})
 
-    return _per_ticker(panel.regression_features(bars), f, "ticker string, dt date, value double")
+    models = (price_models(bars) if models is None else models).where("status = 'ok'")
+    return models.groupBy("ticker").applyInPandas(f, "ticker string, dt date, value double")

@@ -61,12 +61,12 @@ def regression_features(bars: DataFrame) -> DataFrame:
 FEATURES = ["log_ret", "ret5", "ret20", "ma5", "ma20", "ma50", "vol10", "vol20", "rsi"]
 
 
-def ml_features(bars: DataFrame) -> DataFrame:
-    """Nine features of log returns, moving averages, volatility and RSI, and the next log return."""
+def ml_features(bars: DataFrame, *keep: str) -> DataFrame:
+    """Nine features of log returns, moving averages, volatility and RSI, and the next log return; plus the columns ``keep``."""
     close = F.nullif(F.col("close"), F.lit(0.0))
     base = bars.withColumn("log_ret", W.log_return()).withColumn("change", F.col("close") - W.previous("close"))
     return base.select(
-        "ticker", "dt", "log_ret",
+        "ticker", "dt", *keep, "log_ret",
         *[W.rolling(F.col("log_ret"), n, F.sum).alias(f"ret{n}") for n in (5, 20)],
         *[(W.rolling(F.col("close"), n, F.avg) / close).alias(f"ma{n}") for n in (5, 20, 50)],
         *[W.rolling(F.col("log_ret"), n, F.stddev_samp).alias(f"vol{n}") for n in (10, 20)],

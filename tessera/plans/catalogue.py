@@ -319,6 +319,24 @@ add(
 add("forecast_arima", lambda s, d: ml.arima(S.px_sparse(s, d)))
 add("forecast_boost", lambda s, d: ml.boost(S.px_sparse(s, d)))
 add("forecast_ensemble", lambda s, d: forecast.forecast(S.px_sparse(s, d), "Ensemble"))
+
+
+def _vote(s: SparkSession, d: str) -> DataFrame:
+    """The vote over three given forecasts a ticker, of which some are infinite and some absent."""
+    per = S.px_daily(s, d).groupBy("ticker").agg(F.count("close").alias("n"), F.avg("close").alias("m"), F.min("close").alias("lo"), F.max("close").alias("hi"))
+    odd = F.when(F.col("n") % 2 == 0, float("inf")).otherwise(F.col("hi") / F.col("m") - 1)
+    given = F.array(F.col("m") / F.col("lo") - 1, odd, F.when(F.col("n") % 3 != 0, F.col("lo") / F.col("hi")))
+    return ml.vote(per.select("ticker", F.explode(given).alias("f")))
+
+
+add(
+    "ensemble_vote",
+    _vote,
+    f"""WITH {X.PX_DAILY}, p AS (SELECT ticker, count(close) AS n, avg(close) AS m, min(close) AS lo, max(close) AS hi FROM px_daily GROUP BY ticker),
+f AS (SELECT ticker, m / lo - 1 AS f FROM p UNION ALL SELECT ticker, CASE WHEN n % 2 = 0 THEN NULL ELSE hi / m - 1 END FROM p UNION ALL SELECT ticker, CASE WHEN n % 3 <> 0 THEN lo / hi END FROM p),
+v AS (SELECT ticker, coalesce(avg(f), 0.08::DOUBLE) AS mu, CASE WHEN count(f) > 1 THEN stddev_pop(f) ELSE 0.05::DOUBLE END AS uncertainty, count(f) AS members FROM f GROUP BY ticker)
+SELECT ticker, {_r('mu', 'uncertainty')}, members FROM v""",
+)
 add("price_regression", lambda s, d: ml.price_regression(S.px_sparse(s, d)))
 add("price_projection", lambda s, d: ml.price_projection(S.px_sparse(s, d), 30))
 

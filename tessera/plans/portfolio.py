@@ -95,10 +95,11 @@ def get_data(bars: DataFrame, ticker: str, start: str | None, end: str | None, r
     seen = history(bars, [ticker], first, last)
     out = {"prices": seen.select("ticker", "dt", "close")}
     if regression:
-        out["regression"] = ml.price_regression(seen)
+        models = store.kept(ml.price_models(seen), "models")  # one fit for the line and the projection
+        out["regression"] = ml.price_regression(seen, models)
         days = days_ahead(future_days)
         none = seen.select("ticker", "dt", F.col("close").alias("value")).where(F.lit(False))
-        out["future"] = ml.price_projection(seen, days) if days else none
+        out["future"] = ml.price_projection(seen, days, models) if days else none
     return out
 
 

@@ -26,6 +26,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there, so that what reads it several times computes it once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save(weights: DataFrame, prices: DataFrame | None, folder: str, portfolio_id: str, figures: dict[str, float] | None = None, metadata: dict[str, str] | None = None, saved_at: str | None = None) -> None:
     """Save a portfolio (ticker, weight), with prices (ticker, close), as one JSON record."""
     figures = figures or {}

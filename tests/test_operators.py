@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.functions.pvalue import incomplete_beta
-from tessera.operators import benchmark, forecast, frontier, hedge, ml, panel, risk, screen
+from tessera.operators import benchmark, boosting, forecast, frontier, hedge, ml, panel, risk, screen
 from tessera.plans import portfolio
 from tessera.sources import store, tables
 
@@ -115,6 +115,131 @@ def test_projection_runs_over_calendar_days(spark):
     assert [r["dt"] for r in got] == [DAY + dt.timedelta(days=60 + i) for i in range(5)]
 
 
+def exact_tree(x, y, leaves, least, penalty):
+    """Best-first regression tree by plain search over all values: the prediction of every row."""
+    parts, value = [np.arange(len(y))], lambda r: y[r].sum() / (len(r) + penalty)
+
+    def score(r):
+        return y[r].sum() ** 2 / (len(r) + penalty)
+
+    while len(parts) < leaves:
+        best = (1e-12, None)
+        for k, rows in enumerate(parts):
+            for j in range(x.shape[1]):
+                for cut in np.unique(x[rows, j])[:-1]:
+                    lo, hi = rows[x[rows, j] <= cut], rows[x[rows, j] > cut]
+                    if min(len(lo), len(hi)) >= least and score(lo) + score(hi) - score(rows) > best[0] + 1e-9:
+                        best = (score(lo) + score(hi) - score(rows), (k, lo, hi))
+        if best[1] is None:
+            break
+        k, lo, hi = best[1]
+        parts[k : k + 1] = [lo, hi]
+    out = np.zeros(len(y))
+    for rows in parts:
+        out[rows] = value(rows)
+    return out
+
+
+@pytest.mark.parametrize("leaves, least, penalty", [(2, 1, 1.0), (7, 1, 0.0), (31, 3, 1.0)])
+def test_trees_grow_best_leaf_first(leaves, least, penalty):
+    rng = np.random.default_rng(leaves)
+    x = rng.normal(size=(60, 3))
+    y = rng.normal(size=60) + 2 * (x[:, 0] > 0.3) * (x[:, 1] < 0)
+    got = boosting.Boosted(trees=1, leaves=leaves, depth=None, rate=1.0, penalty=penalty, least=least).fit(x, y)
+    assert np.allclose(got.predict(x), y.mean() + exact_tree(x, y - y.mean(), leaves, least, penalty))
+    assert (got.feature < 0).sum() <= leaves
+    deep = boosting.Boosted(leaves=31, depth=None, penalty=0.0, least=20).fit(*(lambda z: (z, z[:, 0] ** 2 + z[:, 1]))(rng.normal(size=(2000, 2))))
+    assert max(np.diff(np.append(deep.roots, len(deep.feature)))) == 61  # 31 leaves and 30 splits
+    again = boosting.Model.of(deep.row())
+    assert np.array_equal(again.predict(x[:, :2]), deep.predict(x[:, :2]))
+
+
+def test_boosting_refuses_what_is_not_finite():
+    for x, y in ((np.zeros((0, 2)), np.zeros(0)), (np.array([[np.inf], [1.0]]), np.ones(2)), (np.ones((2, 1)), np.array([np.nan, 1.0]))):
+        with pytest.raises(ValueError):
+            boosting.Boosted().fit(x, y)
+
+
+def test_vote_leaves_out_what_is_not_finite(spark):
+    nan, inf = float("nan"), float("inf")
+    given = {"all": [0.1, 0.2, 0.6], "two": [0.1, inf, 0.3], "one": [nan, 0.4, None], "none": [None, -inf, nan]}
+    got = {r["ticker"]: (r["mu"], r["uncertainty"], r["members"]) for r in ml.vote(spark.createDataFrame([(t, x) for t, v in given.items() for x in v], "ticker string, f double")).collect()}
+    assert got["all"] == pytest.approx((0.3, np.std([0.1, 0.2, 0.6]), 3)) and got["two"] == pytest.approx((0.2, 0.1, 2))
+    assert got["one"] == (0.4, 0.05, 1) and got["none"] == (0.08, 0.05, 0)
+
+
+def test_a_failing_member_stays_in_its_group(spark):
+    prices = walk(160)
+
+    def raising(rows):
+        if rows["ticker"].iloc[0] == "B":
+            raise RuntimeError("no fit")
+        return 0.4, 0.05
+
+    def endless(rows):
+        return float("inf"), 0.05
+
+    bars = bars_of(spark, {"A": list(prices), "B": list(prices), "few": list(prices[:50])})
+    members = {"raising": raising, "endless": endless, "steady": lambda rows: (0.2, 0.05)}
+    status = {(r["ticker"], r["member"]): (r["f"], r["status"]) for r in ml.member_forecasts(bars, members).collect()}
+    assert status[("A", "raising")] == (0.4, "ok") and status[("A", "endless")] == (None, "not finite") and status[("B", "raising")] == (None, "failed: RuntimeError: no fit")
+    assert {t for t, _ in status} == {"A", "B"}
+    got = {r["ticker"]: (r["mu"], r["uncertainty"]) for r in ml.ensemble(bars, members).collect()}
+    assert got["A"] == pytest.approx((0.3, 0.1)) and got["B"] == pytest.approx((0.2, 0.05))
+    light = {r["ticker"]: r["mu"] for r in forecast.lightweight(bars).collect()}
+    assert got["few"] == (light["few"], 0.05)
+    assert {r["ticker"]: (r["mu"], r["uncertainty"]) for r in ml.ensemble(bars, {"endless": endless}).collect()}["A"] == (0.08, 0.05)
+    fits = {r["ticker"]: r for r in ml.fitted(bars, raising).collect()}
+    assert fits["B"]["mu"] is None and fits["A"]["mu"] == 0.4
+
+
+def test_an_infinite_price_spares_the_other_members(spark):
+    prices = list(walk(200))
+    bars = bars_of(spark, {"A": prices, "B": prices[:120] + [float("inf")] + prices[121:]})
+    got = {r["ticker"]: r for r in ml.ensemble(bars).collect()}
+    members = {(r["ticker"], r["member"]): r["f"] for r in ml.member_forecasts(bars).collect()}
+    for t in "AB":
+        mine = [v for (who, _), v in members.items() if who == t and v is not None]
+        assert len(mine) >= 2 and got[t]["mu"] == pytest.approx(np.mean(mine)) and got[t]["uncertainty"] == pytest.approx(np.std(mine))
+
+
+def test_fits_are_spread_over_tasks(spark):
+    bars = bars_of(spark, {f"T{k:02}": list(walk(130, k)) for k in range(25)})
+    where = ml.fitted(ml.spread(bars), lambda rows: (0.1, 0.05)).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert where > 4
+
+
+def test_one_fit_for_line_and_projection(spark, tmp_path, monkeypatch):
+    folder, plain = str(tmp_path), ml.fit_prices
+
+    def counting(rows):
+        import os
+        import uuid
+
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return plain(rows)
+
+    monkeypatch.setattr(ml, "fit_prices", counting)
+    bars = bars_of(spark, {"A": list(walk(80)), "B": list(walk(80, 1))})
+    got = portfolio.get_data(bars, "A", "2024-01-01", "2024-03-15", regression=True, future_days=5)
+    assert got["regression"].count() == 54 and got["future"].count() == 5 and got["future"].count() == 5
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_a_ticker_without_a_model_has_no_line(spark, monkeypatch):
+    plain = ml.fit_prices
+
+    def picky(rows):
+        if rows["ticker"].iloc[0] == "B":
+            raise ValueError("no model")
+        return plain(rows)
+
+    monkeypatch.setattr(ml, "fit_prices", picky)
+    bars = bars_of(spark, {"A": list(walk(60)), "B": list(walk(60, 1))})
+    assert {r["ticker"]: r["status"] for r in ml.price_models(bars).collect()} == {"A": "ok", "B": "failed: ValueError: no model"}
+    assert [r[0] for r in ml.price_regression(bars).select("ticker").distinct().collect()] == ["A"] and ml.price_projection(bars, 3).count() == 3
+
+
 # --- panels --------------------------------------------------------------------------------------
 
 
