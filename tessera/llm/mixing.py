@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each document has a 60-bit hash of its id. For each source the words are summed by
+Each document has a 60-bit hash of its id, its text and its place among rows equal in both. For each source the words are summed by
 source and the first 12 hash bits, the bucket in which the source's budget ends is
 found, and only that bucket is refined by its next 12 bits; what is left of it is
 settled by whole hashes. The result is one hash threshold a source: a filter, never a
@@ -11,8 +11,8 @@ more time those whose hash is at most the threshold; the threshold's last hash i
 if more than half of it fits.
 
 Cases: null text has size 0; null source is a source of its own, the last one; null id
-counts as the empty text, so documents without id share one hash. Rows with equal ids
-share their decision. No rows, or only empty ones: every target is 0. Other columns of
+counts as the empty text. Rows equal in id, source and text are numbered, so each has a
+hash of its own and groups without ids or of one repeated id are split like any other. No rows, or only empty ones: every target is 0. Other columns of
 the input are ignored.
 """
 
@@ -32,9 +32,19 @@ MOST = 2.0
 STEP = 12
 
 
-def id_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the md5 of the id's text."""
-    return F.conv(F.substring(F.md5(id_text(doc_id)), 1, 15), 16, 10).cast("long")
+#: Equal rows that one row of the numbering stands for.
+BLOCK = 10_000
+
+
+def row_hash(doc_id: Column, digest: Column, occurrence: Column) -> Column:
+    """The first 60 bits of the md5 of the id's text, the text's md5 and the place among equal rows."""
+    own = F.concat_ws("/", id_text(doc_id), digest, occurrence.cast("string"))
+    return F.conv(F.substring(F.md5(own), 1, 15), 16, 10).cast("long")
+
+
+def first_hash() -> Column:
+    """The hash of a document (doc_id, text) as the first of its equal rows."""
+    return row_hash(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), F.lit(0))
 
 
 def targets(sources: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -100,10 +110,20 @@ def bounds(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     return cut(goal.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "whole", top.alias("top")), "bounds")
 
 
-def sizes(docs: DataFrame, size: Column | None = None) -> DataFrame:
-    """(doc_id, source, size, h), as a table; ``size`` defaults to the words of the text."""
+def sizes(docs: DataFrame, size: Column | None = None, numbered: bool = True) -> DataFrame:
+    """(doc_id, source, size, h), as a table; ``size`` defaults to the words of the text. Equal rows are
+    counted and numbered in blocks, without a window, so a group of any size stays spread; not
+    ``numbered``, they share the hash of the first."""
     sized = F.size(split_words(F.col("text"))).cast("long") if size is None else size.cast("long")
-    return cut(docs.select("doc_id", "source", sized.alias("size"), id_hash(F.col("doc_id")).alias("h")), "mix")
+    if not numbered:
+        return cut(docs.select("doc_id", "source", sized.alias("size"), first_hash().alias("h")), "mix")
+    each = docs.select("doc_id", "source", sized.alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("_t"))
+    groups = each.groupBy("doc_id", "source", "size", "_t").agg(F.count("*").alias("_m"))
+    blocks = groups.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(BLOCK).cast("long"))))
+    alone = blocks.where(F.col("_m") <= BLOCK)
+    many = blocks.where(F.col("_m") > BLOCK).repartition("doc_id", "_t", "_from")
+    rows = alone.unionByName(many).withColumn("_k", F.explode(F.sequence("_from", F.least(F.col("_from") + BLOCK, F.col("_m")) - 1)))
+    return cut(rows.select("doc_id", "source", "size", row_hash(F.col("doc_id"), F.col("_t"), F.col("_k")).alias("h")), "mix")
 
 
 def with_copies(rows: DataFrame, bound: DataFrame, h: Column) -> DataFrame:
@@ -130,7 +150,8 @@ WORDS_SQL = r"length(list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09
 #: The same mix from a sort: the level is the highest that any prefix of stopped sources gives.
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, {WORDS_SQL.format("text")} AS size,
-                  ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents),
+                  ('0x' || substr(md5(concat_ws('/', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')),
+                    CAST(row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS VARCHAR))), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS k FROM s),
 c AS (SELECT k, coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done,

@@ -15,7 +15,8 @@ the least hash of their id. The raw model covers all documents.
 
 Cases: null, empty and blank texts have no words, fail the base rules and have score 0;
 without labels all scores are 0; a null id counts as one. Repeated rows are judged each.
-Repeated 3-word windows are found by a 64-bit hash; a text may have up to 2**PLACE words.
+Repeated 3-word windows are found by a 64-bit hash; a text may have up to 2**PLACE words, which
+a string cannot exceed.
 Other columns are ignored.
 """
 
@@ -37,15 +38,25 @@ PLACE = 30
 
 def repeated_words(h: Column, sorted_: Column) -> Column:
     """Words that lie in a window found twice or more: ``h`` are the window hashes in text order,
-    ``sorted_`` their leading bits over their places, in order. Neighbours with equal leading bits
-    are compared whole."""
+    ``sorted_`` their leading bits over their places, in order. Where neighbours have equal leading
+    bits and different hashes, such a run may hold equal hashes apart from each other: those texts
+    (few, and by chance) sort whole hashes with their places."""
     place = (1 << PLACE) - 1
 
-    def same(x: Column, y: Column) -> Column:
-        return (F.shiftright(x, PLACE) == F.shiftright(y, PLACE)) & (F.get(h, x.bitwiseAND(place).cast("int")) == F.get(h, y.bitwiseAND(place).cast("int")))
+    def lead(x: Column, y: Column) -> Column:
+        return F.shiftright(x, PLACE) == F.shiftright(y, PLACE)
 
-    again = F.filter(sorted_, lambda x, i: F.coalesce(same(F.get(sorted_, i - 1), x), F.lit(False)) | F.coalesce(same(F.get(sorted_, i + 1), x), F.lit(False)))
-    covered = F.transform(again, lambda x: F.sequence(x.bitwiseAND(place), x.bitwiseAND(place) + 2))
+    def whole(x: Column) -> Column:
+        return F.get(h, x.bitwiseAND(place).cast("int"))
+
+    def twice(rows: Column, same) -> Column:
+        return F.filter(rows, lambda x, i: F.coalesce(same(F.get(rows, i - 1), x), F.lit(False)) | F.coalesce(same(F.get(rows, i + 1), x), F.lit(False)))
+
+    mixed = F.size(F.filter(sorted_, lambda x, i: F.coalesce(lead(F.get(sorted_, i - 1), x) & (whole(F.get(sorted_, i - 1)) != whole(x)), F.lit(False)))) > 0
+    pairs = F.sort_array(F.when(mixed, F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i")))))
+    exact = F.transform(twice(pairs, lambda x, y: x["h"] == y["h"]), lambda x: x["i"])
+    again = F.when(mixed, exact).otherwise(F.transform(twice(sorted_, lead), lambda x: x.bitwiseAND(place)))
+    covered = F.transform(again, lambda x: F.sequence(x, x + 2))
     return F.when(F.size(sorted_) == 0, F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(covered)))).cast("long")
 
 

@@ -223,6 +223,24 @@ def test_mix(documents, edge_rows):
     assert mixing.mix(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 10_000])
+def test_mix_without_ids_and_with_copies(documents, monkeypatch, block):
+    """Rows without ids, of one repeated id, and many equal rows: each source still meets its target
+    within one document."""
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    rows = [(None if i % 10 else i, None, sentence(10, i), "a") for i in range(300)]
+    rows += [(None, None, "the same ten words in every row of this one", "b")] * 120
+    rows += [(7, None, sentence(10, 1000 + i), "c") for i in range(150)]
+    docs = documents([(i, t, lang, s) for i, lang, t, s in rows])
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for s in "abc":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine)
+    key = lambda rs: sorted((str(r["doc_id"]), r["source"], r["size"], r["taken"]) for r in rs)
+    assert key(mixing.mix(docs.repartition(3)).collect()) == key(got)
+
+
 # --- packing ---------------------------------------------------------------------------------------
 
 

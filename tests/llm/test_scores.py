@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, language_model, quality_rules, resampling
@@ -36,6 +38,20 @@ def corpus():
     return docs, [(i, int(i % 4 > 0), 0) for i in range(100)]
 
 
+@pytest.mark.parametrize("place", [30, 56, 60])
+def test_repeats_are_exact_however_few_bits_lead(documents, monkeypatch, place):
+    """With 64 - place leading bits most neighbours share them by chance."""
+    monkeypatch.setattr(quality_rules, "PLACE", place)
+    rng = random.Random(place)
+    texts = [" ".join(f"w{rng.randint(0, 6 + 3 * k)}" for _ in range(10 * k)) for k in range(40)]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.base(documents(list(enumerate(texts))).select("doc_id", "text")).collect()}
+    for k, t in enumerate(texts):
+        w = t.split()
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        many = {x for x, n in Counter(windows).items() if n > 1}
+        assert got[k] == len({i + j for i, x in enumerate(windows) if x in many for j in range(3)})
+
+
 def test_quality_and_resampling_keep_the_clean(spark, documents):
     docs, labels = corpus()
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
