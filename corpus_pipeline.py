@@ -47,8 +47,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     docs = docs.select(*COLUMNS)
-    bound = mixing.bounds(mixing.sizes(docs))
-    taken = mixing.with_copies(docs, bound, mixing.id_hash(F.col("doc_id"))).where("copies > 0")
+    bound = mixing.bounds(mixing.sizes(docs, numbered=False))
+    taken = mixing.with_copies(docs, bound, mixing.first_hash()).where("copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
