@@ -50,6 +50,10 @@ LEAST, LONG, TINY = 6, 32, (9, 20)
 SEEN = 1 << 20
 #: Places for the blocks of the lines handled at once.
 PLACES = 1 << 22
+#: Lines are compared together in bands of up to so many 64-bit numbers, at least and at most so many pairs at once.
+BAND_WORDS, BAND_LEAST, BAND_PAIRS = 8, 8, 4096
+#: Members of a key, and bytes of their lines, in a slice of those that are held against each other.
+SLICE, SLICE_BYTES = 512, 8 << 20
 #: Groups of bytes, 32 of them, whose counts bound the edits between two lines from below; eight counts a number.
 _GROUP = np.where((np.arange(256) >= 97) & (np.arange(256) <= 122), np.arange(256) - 97, 26 + np.arange(256) % 6)
 COUNTS = ("c0", "c1", "c2", "c3")
@@ -310,17 +314,179 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
-def alike(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
-    """False for pairs that differ in more two-character windows than ``most`` edits can change (four for each edit)."""
-    counts = []
-    for side in (x, y):
-        size = np.array([len(t) for t in side], np.int64)
-        c = np.frombuffer("".join(side).encode("utf-32-le"), np.uint32)
-        row = np.repeat(np.arange(len(side)), size)
-        gram = (c[:-1] * np.uint32(0x9E3779B1) ^ c[1:] * np.uint32(0x85EBCA77)) * np.uint32(0x2C1B3C6D) >> np.uint32(24)
-        inside = row[1:] == row[:-1]
-        counts.append(np.bincount(row[:-1][inside] * 256 + gram[inside], minlength=256 * len(side)).reshape(-1, 256))
-    return np.abs(counts[0] - counts[1]).sum(1) <= 4 * most
+def near(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
+    """Which pairs have a Levenshtein distance of at most ``most``: ``within`` for many pairs at once.
+    Pairs whose diagonal band fits a few 64-bit numbers are compared together, column by column
+    of their tables; the few others, of very long lines or many different characters, one by one."""
+    m, n = (np.array([len(t) for t in side], np.int64) for side in (x, y))
+    out = np.abs(m - n) <= most
+    words = (2 * most + 64) // 64
+    for k in np.unique(words[out]).tolist():
+        same = np.flatnonzero(out & (words == k))
+        same = same[np.argsort(-n[same], kind="stable")]
+        for part in np.split(same, range(BAND_PAIRS, len(same), BAND_PAIRS)):
+            a, b = [x[i] for i in part], [y[i] for i in part]
+            got = _band(a, b, m[part], n[part], most[part], k) if k <= BAND_WORDS and len(part) >= BAND_LEAST else None
+            out[part] = [within(p, q, e) for p, q, e in zip(a, b, most[part].tolist())] if got is None else got
+    return out
+
+
+def _band(x: list[str], y: list[str], m: np.ndarray, n: np.ndarray, most: np.ndarray, words: int) -> np.ndarray | None:
+    """``near`` for pairs by falling length ``n`` of y, in a band of ``words`` numbers around the
+    diagonal; None if their characters are too many for the table of where each stands in x."""
+    reach = (64 * words - 1) // 2
+    mine: dict[str, int] = {}
+    of = np.array([mine.setdefault(t, len(mine)) for t in x])
+    left, right = (np.frombuffer("".join(side).encode("utf-32-le"), np.uint32) for side in (mine, y))
+    lut = np.zeros(0x110000, np.uint8)
+    lut[left] = lut[right] = 1
+    letters = np.flatnonzero(lut)
+    if len(letters) > 200:
+        return None
+    lut[letters] = np.arange(len(letters)) + 1
+    size = np.array([len(t) for t in mine], np.int64)
+    # bit ``reach`` + i of a row is set where character i of x is the row's letter
+    wide = 64 * ((reach + max(int(size.max()), int(n[0])) + 64 * words) // 64 + 2)
+    place = np.zeros((len(size), wide), np.uint8)
+    place[np.repeat(np.arange(len(size)), size), reach + np.arange(len(left)) - np.repeat(np.cumsum(size) - size, size)] = lut[left]
+    table = np.empty((wide // 64, len(size), len(letters)), np.uint64)
+    for c in range(len(letters)):
+        table[:, :, c] = np.packbits(place == c + 1, axis=1, bitorder="little").view(np.uint64).T
+    table = table.reshape(wide // 64, -1)
+    chars = np.zeros((int(n[0]), len(y)), np.int64)
+    chars[np.arange(len(right)) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(y)), n)] = lut[right] - 1
+    chars += of * len(letters)
+
+    # the end of the table lies on one diagonal, that is on one bit of the band, in every column
+    end = m - n + reach
+    word, bit = end // 64, np.uint64(1) << (end % 64).astype(np.uint64)
+    score = np.maximum(m - n, 0)
+    at = np.arange(len(y))
+    ones, one, top = ~np.uint64(0), np.uint64(1), np.uint64(63)
+    up = [np.full(len(y), ones if 64 * w >= reach else ones << np.uint64(reach - 64 * w) if 64 * (w + 1) > reach else np.uint64(0)) for w in range(words)]
+    down = [np.zeros(len(y), np.uint64) for _ in range(words)]
+    out = np.zeros(len(y), bool)
+    for j in range(int(n[0])):
+        stop = n[at] <= j
+        if j % 32 == 0 or stop[-1]:
+            out[at[stop]] = score[stop] <= most[at[stop]]
+            go = ~stop & (score <= most[at])  # values on a diagonal never fall
+            if not go.all():
+                at, word, bit, score = at[go], word[go], bit[go], score[go]
+                up, down = [v[go] for v in up], [v[go] for v in down]
+                if not len(at):
+                    return out
+        row, first, shift = chars[j, at], j // 64, np.uint64(j % 64)
+        carry, zero, rise, fall = None, [], [], []
+        for w in range(words):
+            eq = table[first + w][row] >> shift
+            if shift:
+                eq |= table[first + w + 1][row] << (np.uint64(64) - shift)
+            masked = eq & up[w]
+            total = masked + up[w]
+            over = total < masked
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            carry = over.astype(np.uint64)
+            d = (total ^ up[w]) | eq | down[w]
+            zero.append(d)
+            rise.append(down[w] | ~(d | up[w]))
+            fall.append(d & up[w])
+        hit = zero[0] if words == 1 else np.choose(word, zero)
+        score = score + ((hit & bit) == 0)
+        for w in range(words):  # the next column's band begins a row further down
+            d = zero[w] >> one
+            if w + 1 < words:
+                d |= zero[w + 1] << top
+            up[w] = fall[w] | ~(d | rise[w])
+            down[w] = d & rise[w]
+    out[at] = score <= most[at]
+    return out
+
+
+def allowed(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Edits that keep lines of these lengths alike."""
+    return ((1 - similarity) * np.maximum(x, y) + 1e-9).astype(np.int64)
+
+
+def linked_in_blocks(rest: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between rows (key, id, root, members of the key, bytes of its lines, lesser keys of the
+    id, line and its counts) of one key and different roots. A key's members are dealt by hash to
+    slices of a bounded size, and every two slices of a key, or one with itself, are a block: what is
+    compared is never a row, and a large key's blocks go to many tasks."""
+    slices = F.greatest(F.ceil(F.col("members") / SLICE), F.ceil(F.col("bytes") / SLICE_BYTES)).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("_of")).cast("int")
+    dealt = (
+        rest.withColumn("_of", slices).withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "less", "line", *COUNTS)
+        .repartition(int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    )
+
+    def links(block: pa.Table):
+        """Of whole blocks, one after the other."""
+        root, mine, i, j = (block.column(c).to_numpy() for c in ("root", "mine", "i", "j"))
+        counts = np.stack([block.column(c).to_numpy() for c in COUNTS], 1).copy().view(np.uint8)
+        new = _begins(block)
+        number = np.cumsum(new)
+        line, ids = block.column("line").to_pylist(), block.column("id").to_numpy()
+        less = [frozenset(k) for k in block.column("less").to_pylist()]
+        size = np.array([len(t) for t in line], np.int64)
+        left, right, held = [], [], 0
+
+        def decide():
+            p, q = np.concatenate(left), np.concatenate(right)
+            ok = near([line[k] for k in p], [line[k] for k in q], allowed(size[p], size[q], similarity))
+            p, q = p[ok], q[ok]
+            return pa.RecordBatch.from_pydict({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q])})
+
+        for d in range(1, len(line)):
+            p = np.flatnonzero(number[d:] == number[:-d])
+            if not len(p):
+                break
+            q = p + d
+            keep = (root[p] != root[q]) & ((i[p] == j[p]) | (mine[p] != mine[q]))
+            most = allowed(size[p], size[q], similarity)
+            apart = np.abs(size[p] - size[q])
+            keep &= apart <= most
+            p, q, most, apart = p[keep], q[keep], most[keep], apart[keep]
+            # an edit changes the length by one at most, and two counts by one each, or one if the length changes
+            keep = apart + np.abs(counts[p].astype(np.int16) - counts[q]).sum(1) <= 2 * most
+            p, q = p[keep], q[keep]
+            keep = np.fromiter((less[k].isdisjoint(less[o]) for k, o in zip(p.tolist(), q.tolist())), bool, len(p))
+            left.append(p[keep])
+            right.append(q[keep])
+            held += int(keep.sum())
+            if held >= BAND_PAIRS:
+                yield decide()
+                left, right, held = [], [], 0
+        if held:
+            yield decide()
+
+    def run(batches):
+        waiting = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if waiting is None else pa.concat_tables([waiting, table])
+            last = np.flatnonzero(_begins(table))
+            if len(last) > 1:
+                yield from links(table.slice(0, last[-1]))
+                table = table.slice(last[-1])
+            waiting = table
+        if waiting is not None:
+            yield from links(waiting)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _begins(table: pa.Table) -> np.ndarray:
+    """Where a row's key and slices are others than the row's before."""
+    new = np.ones(len(table), bool)
+    if len(table) > 1:
+        key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    return new
 
 
 def link_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -344,14 +510,18 @@ def link_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         def run(batches):
             for batch in batches:
                 x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-                most = [int((1 - similarity) * max(len(p), len(q)) + 1e-9) for p, q in zip(x, y)]
-                near = [bool(ok) and within(p, q, k) for p, q, k, ok in zip(x, y, most, alike(x, y, np.array(most)))]
-                yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+                most = allowed(*(np.array([len(t) for t in side], np.int64) for side in (x, y)), similarity)
+                yield batch.select(["a", "b"]).filter(pa.array(near(x, y, most), pa.bool_()))
 
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-    # a line has at most some fifty keys
-    return connect(entries, ["id"], may, verify, few_keys=True)
+    def across(rest: DataFrame) -> DataFrame:
+        sized = rest.groupBy("key").agg(F.count("*").alias("members"), F.sum(4 * F.col("n")).alias("bytes"), F.count("*").alias("rows"))
+        every = F.collect_set("key").over(Window.partitionBy("id"))  # a line has at most some fifty keys
+        lesser = rest.withColumn("less", F.filter(every, lambda k: k < F.col("key")))
+        return linked_in_blocks(join_on(lesser.join(lines.select("id", "line"), "id"), cut(sized, "sized"), "key", "rows", rest.count()), similarity)
+
+    return connect(entries, ["id"], may, verify, across)
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

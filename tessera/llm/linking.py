@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
@@ -36,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
 FEW, LITTLE = 2, 0.7
 
 
-def connect(entries: DataFrame, order: list[str], may: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], few_keys: bool = False) -> DataFrame:
+def connect(entries: DataFrame, order: list[str], may: Callable[[str, str], str], verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, root) of the ids in ``entries`` (key, id, and columns that ``may`` needs; one row a
     key and id) that links join. A link is a pair that shares a key, for which ``may`` (a SQL
     condition on two aliases) holds, and that ``verify`` (pairs (a, b) to linked pairs) confirms.
@@ -44,8 +44,9 @@ def connect(entries: DataFrame, order: list[str], may: Callable[[str, str], str]
     Every round holds the members of a key against one of them, which is linear in the group: in
     the first round against the first by ``order``, later against the first that isn't in the
     component of the least root. Once few pairs of different components are left, or rounds
-    take few of them away, those are compared, each pair once. With ``few_keys`` (an id has a bounded
-    number of them) a pair that shares several keys meets on the least only. No pair that could join two components is left out."""
+    take few of them away, those are compared, each pair once: by ``across``, if given, from the
+    rows of keys with several components to links, else in a join. No pair that could join two
+    components is left out."""
     extra = [c for c in entries.columns if c not in ("key", "id")]
     first = F.min(F.struct(*order, *[c for c in ("id", "root", *extra) if c not in order])).alias("p")
     labelled = entries.withColumn("root", F.col("id"))
@@ -72,15 +73,15 @@ def connect(entries: DataFrame, order: list[str], may: Callable[[str, str], str]
         return roots
     low = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     rest = labelled.join(low, "key", "left_semi")
-    meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root")) & F.expr(may("l", "r"))
-    if few_keys:
-        every = F.collect_set("key").over(Window.partitionBy("id"))
-        rest = cut(rest.withColumn("_less", F.filter(every, lambda k: k < F.col("key"))), "rest")
-        meet &= ~F.arrays_overlap("l._less", "r._less")
-    across = (
-        rest.alias("l").join(rest.alias("r"), meet)
-        .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-        .join(compared, ["a", "b"], "left_anti")
-    )
-    more = cut(verify(cut(across, "across")), "links")
+    if across is None:
+        meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root")) & F.expr(may("l", "r"))
+        pairs = (
+            rest.alias("l").join(rest.alias("r"), meet)
+            .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+            .join(compared, ["a", "b"], "left_anti")
+        )
+        found = verify(cut(pairs, "across"))
+    else:
+        found = across(cut(rest, "rest"))
+    more = cut(found, "links")
     return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))

@@ -305,3 +305,55 @@ def test_within_equals_the_table():
         b = "".join(b)
         for most in (0, 1, 3, 8):
             assert line_dedup.within(a, b, most) == (distance(a, b) <= most)
+
+
+def edited(rng, text, edits, letters="abcé "):
+    out = list(text)
+    for _ in range(edits):
+        at = rng.randint(0, len(out))
+        out[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "ab", rng.choice(letters)])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("size", [0, 5, 40, 330, 700, 2600])
+def test_near_equals_one_by_one(size):
+    """Bands of one to many numbers, texts of one length and of many, edits about the limit."""
+    rng = random.Random(size)
+    x = ["".join(rng.choice("abcdefghijé ") for _ in range(rng.randint(size // 2, size))) for _ in range(60)]
+    x += x[:20]
+    most = [rng.choice([0, 1, len(t) // 20, len(t) // 10]) for t in x]
+    y = [edited(rng, t, max(0, k + rng.randint(-3, 3))) for t, k in zip(x, most)]
+    want = [line_dedup.within(a, b, k) for a, b, k in zip(x, y, most)]
+    assert size == 0 or {True, False} == set(want)
+    assert line_dedup.near(x, y, np.array(most)).tolist() == want
+    if size <= 40:
+        assert want == [distance(a, b) <= k for a, b, k in zip(x, y, most)]
+    few = line_dedup.near(x[:3], y[:3], np.array(most[:3])).tolist()
+    assert few == want[:3]
+
+
+def test_near_with_many_characters():
+    rng = random.Random(1)
+    x = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60)) for _ in range(30)]
+    y = [edited(rng, t, rng.randint(3, 9)) for t in x]
+    want = [line_dedup.within(a, b, 6) for a, b in zip(x, y)]
+    assert {True, False} == set(want) and line_dedup.near(x, y, np.full(30, 6)).tolist() == want
+
+
+@pytest.mark.parametrize("slice_", [512, 7])
+def test_blocks_equal_all_pairs_of_a_key(spark, monkeypatch, slice_):
+    """Every pair of one key and two roots once, whatever the slices, on the least key that both have."""
+    monkeypatch.setattr(line_dedup, "SLICE", slice_)
+    rng = random.Random(2)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(80)) for _ in range(3)]
+    lines = [edited(rng, rng.choice(base), rng.randint(0, 8)) for _ in range(90)]
+    keys = [sorted(rng.sample(range(5), rng.randint(1, 3))) for _ in lines]
+    counts = line_dedup.group_counts([t.encode() for t in lines]).tolist()
+    rows = [
+        (k, i, i % 40, sum(k in ks for ks in keys), 100, [o for o in keys[i] if o < k], t, *counts[i])
+        for i, t in enumerate(lines) for k in keys[i]
+    ]
+    rest = spark.createDataFrame(rows, "key long, id long, root long, members long, bytes long, less array<long>, line string, c0 long, c1 long, c2 long, c3 long")
+    got = sorted(tuple(r) for r in line_dedup.linked_in_blocks(rest, 0.9).collect())
+    want = [(i, j) for i, j in combinations(range(90), 2) if i % 40 != j % 40 and set(keys[i]) & set(keys[j]) and alike(lines[i], lines[j])]
+    assert got == want and len(want) > 50
