@@ -50,8 +50,10 @@ LEAST, LONG, TINY = 6, 32, (9, 20)
 SEEN = 1 << 20
 #: Places for the blocks of the lines handled at once.
 PLACES = 1 << 22
-#: Lines are compared together in bands of up to so many 64-bit numbers, at least and at most so many pairs at once.
-BAND_WORDS, BAND_LEAST, BAND_PAIRS = 8, 8, 4096
+#: Lines are compared together in bands of up to so many 64-bit numbers; at least so many pairs for each number, at most so many at once.
+BAND_WORDS, BAND_LEAST, BAND_PAIRS = 8, 32, 4096
+#: Pairs, and characters of theirs, that are gathered before they are compared.
+HELD, HELD_CHARS = 16384, 1 << 24
 #: Members of a key, and bytes of their lines, in a slice of those that are held against each other.
 SLICE, SLICE_BYTES = 512, 8 << 20
 #: Groups of bytes, 32 of them, whose counts bound the edits between two lines from below; eight counts a number.
@@ -279,20 +281,53 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def within(a: str, b: str, most: int) -> bool:
-    """Whether the Levenshtein distance is at most ``most``: what both share at either end is
-    taken off, and a column of the table is one number, bit by bit."""
+def by_words(x: list[str], y: list[str], most: int) -> bool:
+    """Whether at most ``most`` edits are seen to turn one text into the other word by word: where
+    words differ, one is put for the other, or up to three are left out or added if that makes ends meet."""
+    i = j = edits = 0
+    m, n = len(x), len(y)
+    while i < m and j < n:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        out = add = 1
+        if not (i + 1 < m and j + 1 < n and x[i + 1] == y[j + 1]):
+            for s in (1, 2, 3):
+                if i + s < m and x[i + s] == y[j]:
+                    out, add = s, 0
+                    break
+                if j + s < n and x[i] == y[j + s]:
+                    out, add = 0, s
+                    break
+        if out and add:
+            edits += max(len(x[i]), len(y[j]))
+        else:
+            edits += sum(len(w) + 1 for w in x[i : i + out]) + sum(len(w) + 1 for w in y[j : j + add])
+        if edits > most:
+            return False
+        i, j = i + out, j + add
+    return edits + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:]) <= most
+
+
+def shorter(a: str, b: str, most: int) -> tuple[bool | None, str, str]:
+    """Whether the Levenshtein distance is at most ``most`` where that is plain, else None; and
+    both without what they share at either end, which doesn't change the distance."""
     if abs(len(a) - len(b)) > most:
-        return False
+        return False, a, b
     k = _common(a, b)
     a, b = a[k:], b[k:]
     k = _common(a[::-1], b[::-1])
     a, b = a[: len(a) - k], b[: len(b) - k]
     if max(len(a), len(b)) <= most or not a or not b:
-        return max(len(a), len(b)) <= most
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= most:
-        return True  # word for word it takes no more
+        return max(len(a), len(b)) <= most, a, b
+    return by_words(a.split(" "), b.split(" "), most) or None, a, b
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the Levenshtein distance is at most ``most``: a column of the table is one number, bit by bit."""
+    plain, a, b = shorter(a, b, most)
+    if plain is not None:
+        return plain
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
@@ -318,15 +353,18 @@ def near(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
     """Which pairs have a Levenshtein distance of at most ``most``: ``within`` for many pairs at once.
     Pairs whose diagonal band fits a few 64-bit numbers are compared together, column by column
     of their tables; the few others, of very long lines or many different characters, one by one."""
+    plain = [shorter(a, b, k) for a, b, k in zip(x, y, most.tolist())]
+    out = np.array([p[0] is not False for p in plain], bool)
+    open_ = np.array([p[0] is None for p in plain], bool)
+    x, y = [p[1] for p in plain], [p[2] for p in plain]
     m, n = (np.array([len(t) for t in side], np.int64) for side in (x, y))
-    out = np.abs(m - n) <= most
     words = (2 * most + 64) // 64
-    for k in np.unique(words[out]).tolist():
-        same = np.flatnonzero(out & (words == k))
+    for k in np.unique(words[open_]).tolist():
+        same = np.flatnonzero(open_ & (words == k))
         same = same[np.argsort(-n[same], kind="stable")]
         for part in np.split(same, range(BAND_PAIRS, len(same), BAND_PAIRS)):
             a, b = [x[i] for i in part], [y[i] for i in part]
-            got = _band(a, b, m[part], n[part], most[part], k) if k <= BAND_WORDS and len(part) >= BAND_LEAST else None
+            got = _band(a, b, m[part], n[part], most[part], k) if k <= BAND_WORDS and len(part) >= k * BAND_LEAST else None
             out[part] = [within(p, q, e) for p, q, e in zip(a, b, most[part].tolist())] if got is None else got
     return out
 
@@ -410,6 +448,27 @@ def allowed(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     return ((1 - similarity) * np.maximum(x, y) + 1e-9).astype(np.int64)
 
 
+def decided(pairs, similarity: float):
+    """Links (a, b) out of pairs, which come as (a, b, lines of a, lines of b), gathered to be compared together."""
+
+    def links():
+        a, b = (np.concatenate([h[side] for h in held]) for side in (0, 1))
+        x, y = ([t for h in held for t in h[side]] for side in (2, 3))
+        ok = near(x, y, allowed(*(np.array([len(t) for t in side], np.int64) for side in (x, y)), similarity))
+        return pa.RecordBatch.from_pydict({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok]})
+
+    held, rows, chars = [], 0, 0
+    for some in pairs:
+        held.append(some)
+        rows += len(some[2])
+        chars += sum(map(len, some[2])) + sum(map(len, some[3]))
+        if rows >= HELD or chars >= HELD_CHARS:
+            yield links()
+            held, rows, chars = [], 0, 0
+    if held:
+        yield links()
+
+
 def linked_in_blocks(rest: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between rows (key, id, root, members of the key, bytes of its lines, lesser keys of the
     id, line and its counts) of one key and different roots. A key's members are dealt by hash to
@@ -424,8 +483,8 @@ def linked_in_blocks(rest: DataFrame, similarity: float) -> DataFrame:
         .repartition(int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     )
 
-    def links(block: pa.Table):
-        """Of whole blocks, one after the other."""
+    def pairs(block: pa.Table):
+        """Those to compare in whole blocks, one after the other."""
         root, mine, i, j = (block.column(c).to_numpy() for c in ("root", "mine", "i", "j"))
         counts = np.stack([block.column(c).to_numpy() for c in COUNTS], 1).copy().view(np.uint8)
         new = _begins(block)
@@ -433,14 +492,6 @@ def linked_in_blocks(rest: DataFrame, similarity: float) -> DataFrame:
         line, ids = block.column("line").to_pylist(), block.column("id").to_numpy()
         less = [frozenset(k) for k in block.column("less").to_pylist()]
         size = np.array([len(t) for t in line], np.int64)
-        left, right, held = [], [], 0
-
-        def decide():
-            p, q = np.concatenate(left), np.concatenate(right)
-            ok = near([line[k] for k in p], [line[k] for k in q], allowed(size[p], size[q], similarity))
-            p, q = p[ok], q[ok]
-            return pa.RecordBatch.from_pydict({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q])})
-
         for d in range(1, len(line)):
             p = np.flatnonzero(number[d:] == number[:-d])
             if not len(p):
@@ -455,29 +506,24 @@ def linked_in_blocks(rest: DataFrame, similarity: float) -> DataFrame:
             keep = apart + np.abs(counts[p].astype(np.int16) - counts[q]).sum(1) <= 2 * most
             p, q = p[keep], q[keep]
             keep = np.fromiter((less[k].isdisjoint(less[o]) for k, o in zip(p.tolist(), q.tolist())), bool, len(p))
-            left.append(p[keep])
-            right.append(q[keep])
-            held += int(keep.sum())
-            if held >= BAND_PAIRS:
-                yield decide()
-                left, right, held = [], [], 0
-        if held:
-            yield decide()
+            if keep.any():
+                p, q = p[keep], q[keep]
+                yield ids[p], ids[q], [line[k] for k in p], [line[k] for k in q]
 
-    def run(batches):
+    def whole(batches):
         waiting = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if waiting is None else pa.concat_tables([waiting, table])
             last = np.flatnonzero(_begins(table))
             if len(last) > 1:
-                yield from links(table.slice(0, last[-1]))
+                yield from pairs(table.slice(0, last[-1]))
                 table = table.slice(last[-1])
             waiting = table
         if waiting is not None:
-            yield from links(waiting)
+            yield from pairs(waiting)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lambda batches: decided(whole(batches), similarity), "a long, b long")
 
 
 def _begins(table: pa.Table) -> np.ndarray:
@@ -508,10 +554,7 @@ def link_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
 
         def run(batches):
-            for batch in batches:
-                x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-                most = allowed(*(np.array([len(t) for t in side], np.int64) for side in (x, y)), similarity)
-                yield batch.select(["a", "b"]).filter(pa.array(near(x, y, most), pa.bool_()))
+            yield from decided(((b["a"].to_numpy(), b["b"].to_numpy(), b["x"].to_pylist(), b["y"].to_pylist()) for b in batches), similarity)
 
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 

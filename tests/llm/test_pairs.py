@@ -357,3 +357,17 @@ def test_blocks_equal_all_pairs_of_a_key(spark, monkeypatch, slice_):
     got = sorted(tuple(r) for r in line_dedup.linked_in_blocks(rest, 0.9).collect())
     want = [(i, j) for i, j in combinations(range(90), 2) if i % 40 != j % 40 and set(keys[i]) & set(keys[j]) and alike(lines[i], lines[j])]
     assert got == want and len(want) > 50
+
+
+def test_by_words_never_says_too_few():
+    rng = random.Random(4)
+    for _ in range(400):
+        a = [rng.choice(["a", "bc", "def", "", "ghij"]) for _ in range(rng.randint(1, 9))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choice([[], ["xy"], ["a", "bc"]])
+        b = b or ["z"]
+        for most in (0, 2, 4, 9):
+            assert not line_dedup.by_words(a, b, most) or distance(" ".join(a), " ".join(b)) <= most
+    assert line_dedup.by_words("one two three four five".split(), "two three four six five".split(), 8)
