@@ -161,9 +161,9 @@ class Aligner:
     # --- encoding -----------------------------------------------------------------------
 
     def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a unit that begins with a space or a line end (B puts a space before what it gets)."""
+        """Ids of a unit that begins with a space or a line end (B puts a space before what it gets, unless that is empty)."""
         a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        b = self.b.encode(text[1:] if text[0] == " " else text, num_threads=1)
+        b = self.b.encode(text[1:] if text[0] == " " else text, num_threads=1) if text != " " else [self.b.piece_to_id("▁")]
         return np.array(a, np.int64), np.array(b if text[0] == " " else b[1:], np.int64)
 
     def _alone(self, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:

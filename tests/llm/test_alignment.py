@@ -157,3 +157,9 @@ def test_very_long_text(spark, documents, tools):
     assert [r[0] for r in got] == [1, 2] and got[0][1] > 300_000
     part = " ".join(rows[0][1].split(" ")[:2000])
     assert run(documents([(1, part)]))[0] == tuple(brute(tools, [(1, part)])[0])
+
+
+def test_one_space_at_the_end_keeps_the_tokens(spark, documents, tools):
+    rows = [(1, "one "), (2, "one two "), (3, "one \n"), (4, "\n "), (5, "語 "), (6, "two x "), (7, "x\n "), (8, "one")]
+    want = sorted(brute(tools, rows), key=str)
+    assert run(documents(rows)) == want and all(r[1] for r in want)
