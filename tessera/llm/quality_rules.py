@@ -52,11 +52,15 @@ def repeated_words(h: Column, sorted_: Column) -> Column:
     def twice(rows: Column, same) -> Column:
         return F.filter(rows, lambda x, i: F.coalesce(same(F.get(rows, i - 1), x), F.lit(False)) | F.coalesce(same(F.get(rows, i + 1), x), F.lit(False)))
 
-    mixed = F.size(F.filter(sorted_, lambda x, i: F.coalesce(lead(F.get(sorted_, i - 1), x) & (whole(F.get(sorted_, i - 1)) != whole(x)), F.lit(False)))) > 0
-    pairs = F.sort_array(F.when(mixed, F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i")))))
-    exact = F.transform(twice(pairs, lambda x, y: x["h"] == y["h"]), lambda x: x["i"])
-    again = F.when(mixed, exact).otherwise(F.transform(twice(sorted_, lead), lambda x: x.bitwiseAND(place)))
-    covered = F.transform(again, lambda x: F.sequence(x, x + 2))
+    def again(rows: Column) -> Column:
+        """Places of repeated windows; ``rows`` are those with equal leading bits beside them."""
+        mixed = F.size(F.filter(rows, lambda x, i: F.coalesce(lead(F.get(rows, i - 1), x) & (whole(F.get(rows, i - 1)) != whole(x)), F.lit(False)))) > 0
+        pairs = F.sort_array(F.transform(rows, lambda x: F.struct(whole(x).alias("h"), x.bitwiseAND(place).alias("i"))))
+        # the sort is bound: in the lambda it would be done again for each place
+        exact = bind(pairs, lambda p: F.transform(twice(p, lambda x, y: x["h"] == y["h"]), lambda x: x["i"]))
+        return F.when(mixed, exact).otherwise(F.transform(rows, lambda x: x.bitwiseAND(place)))
+
+    covered = F.transform(bind(twice(sorted_, lead), again), lambda x: F.sequence(x, x + 2))
     return F.when(F.size(sorted_) == 0, F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(covered)))).cast("long")
 
 
@@ -66,14 +70,17 @@ def base(docs: DataFrame) -> DataFrame:
     and the sort and the distinct run in generated code."""
     keep = [c for c in docs.columns if c != "text"]
     text = F.coalesce("text", F.lit(""))
-    plain = text
-    for s in SYMBOLS:
-        plain = F.replace(plain, F.lit(s), F.lit(""))
-    worded = bind(F.split(text, "\n"), lambda x: F.filter(x, lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
-    dup = bind(worded, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    symbols = F.regexp_replace(text, f"[^{SYMBOLS}]+", "")
+
+    def again(x: Column) -> Column:
+        return F.size(x) - F.size(F.array_distinct(x))
+
+    # whether a line has a word only matters where some line is equal to another
+    worded = bind(F.array_remove(F.split(text, "\n"), ""), lambda x: F.when(again(x) > 0, F.filter(x, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))))
+    dup = F.coalesce(bind(worded, again), F.lit(0))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
     none = F.array().cast("array<bigint>")
-    step = docs.select(*keep, split_words(F.col("text")).alias("w"), (F.length(text) - F.length(plain)).cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"))
+    step = docs.select(*keep, split_words(F.col("text")).alias("w"), F.length(symbols).cast("long").alias("n_symbols"), dup.cast("long").alias("n_dup_lines"))
     step = step.select(
         *keep, "n_symbols", "n_dup_lines", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("w"),
@@ -91,8 +98,9 @@ def base(docs: DataFrame) -> DataFrame:
 def features(rows: DataFrame, *keep: str) -> DataFrame:
     """One row a word: the feature of the word (u, below BUCKETS) and that of it with its successor
     (v, from BUCKETS on; null after the last)."""
-    pairs = bind(split_words(F.col("text")), lambda w: F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b")))
-    each = rows.select(*keep, F.inline(pairs).alias("a", "b"))
+    # the words are a column of their own, so that they are zipped in generated code
+    worded = rows.select(*keep, split_words(F.col("text")).alias("w"))
+    each = worded.select(*keep, F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("a", "b"))
     v = F.pmod(F.xxhash64("a", "b"), F.lit(BUCKETS)) + BUCKETS
     return each.select(*keep, F.pmod(F.xxhash64("a"), F.lit(BUCKETS)).alias("u"), F.when(F.col("b").isNotNull(), v).alias("v"))
 

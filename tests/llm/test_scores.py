@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -284,3 +285,15 @@ def test_model_without_training(documents, edge_rows):
     got = language_model.score(documents(edge_rows).select("doc_id", "text"), vocabulary, params, counts).collect()
     assert len(got) == len(edge_rows) and all(r["n_known"] == 0 and r["base_score"] == 0 and math.isfinite(r["score"]) for r in got)
     assert lower("ÀB") == "Àb"
+
+
+def test_a_long_text_is_sorted_once_where_leading_bits_clash(documents, monkeypatch):
+    """The sort of whole hashes stood inside a lambda, which did it again for each place."""
+    monkeypatch.setattr(quality_rules, "PLACE", 50)
+    rng = random.Random(1)
+    w = [f"w{rng.randint(0, 40)}" for _ in range(20_000)]
+    began = time.monotonic()
+    (row,) = quality_rules.base(documents([(1, " ".join(w))]).select("doc_id", "text")).collect()
+    assert time.monotonic() - began < 20
+    many = {x for x, n in Counter(zip(w, w[1:], w[2:])).items() if n > 1}
+    assert row["n_repeat_words"] == len({i + j for i, x in enumerate(zip(w, w[1:], w[2:])) if x in many for j in range(3)})
