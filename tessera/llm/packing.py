@@ -37,9 +37,9 @@ END_ID = 1
 #: Tokens of padding that a cut at a sentence end, or inside a sentence, is worth.
 SENTENCE_CUT, FORCED_CUT = 4, 256
 #: Largest gap between cut candidates; tokens solved at once; pieces a worker remembers.
-GAP, BLOCK, REMEMBER = 1024, 1 << 19, 1 << 20
+GAP, BLOCK, REMEMBER = 1024, 1 << 19, 1 << 18
 #: Bytes of text encoded at once, and pieces that the tokenizer gets as one string.
-CHUNK, TOGETHER = 8 << 20, 1 << 15
+CHUNK, TOGETHER = 4 << 20, 1 << 15
 
 _tools: dict[str, Encoder] = {}
 _ASCII_SPACE = np.zeros(256, bool)
@@ -121,8 +121,9 @@ class Encoder:
             at = pc.index_in(words, value_set=self.known)
         place = np.asarray(at).astype(np.int64)[np.asarray(told.indices)]
         n = np.diff(self.first)[place]
-        begin = np.repeat(self.first[:-1][place] - np.cumsum(n) + n, n)
-        return self.ids[begin + np.arange(len(begin))], n
+        begin = np.repeat((self.first[:-1][place] - np.cumsum(n) + n).astype(np.int32), n)
+        begin += np.arange(len(begin), dtype=np.int32)
+        return self.ids[begin], n
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         text = Text(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), lower=False)
@@ -141,7 +142,7 @@ class Encoder:
                 out.append(ids)
                 upto[i + 1 : j + 1] = n
         np.cumsum(upto, out=upto)
-        ids = np.concatenate(out).astype("<u4") if out else np.zeros(0, "<u4")
+        ids = np.concatenate(out).astype("<u4", copy=False) if out else np.zeros(0, "<u4")
         at = upto[np.searchsorted(off, text.off)]
         return [ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
 

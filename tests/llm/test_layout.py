@@ -6,7 +6,10 @@ import base64
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -243,6 +246,31 @@ def test_mix_without_ids_and_with_copies(documents, monkeypatch, block):
 
 # --- packing ---------------------------------------------------------------------------------------
 
+GROWTH = """
+import re, sys
+import numpy as np, pyarrow as pa
+from tessera.llm import packing
+def status(what):
+    return int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+enc, rng = packing.Encoder(sys.argv[1]), np.random.default_rng(0)
+b = rng.integers(97, 123, 24 << 20, dtype=np.uint8)
+b[::8] = 32
+texts = [b[i : i + (1 << 17)].tobytes().decode() for i in range(0, len(b), 1 << 17)]
+del b
+batches = [pa.RecordBatch.from_pydict({"text": texts[i : i + 8]}) for i in range(0, len(texts), 8)]
+before = status("VmRSS")
+for part in packing.gathered(iter(batches), "text", packing.CHUNK):
+    enc.encode(part.column("text"))
+print(status("VmHWM") - before)
+"""
+
+
+def test_a_worker_stays_small_on_ever_new_words():
+    """Two of them share an executor with a heap that earlier stages have filled."""
+    got = subprocess.run([sys.executable, "-c", GROWTH, BPE], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True)
+    assert int(got.stdout) < 350
+
+
 
 def encode(texts):
     from tokenizers import Tokenizer
