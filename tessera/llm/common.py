@@ -117,6 +117,8 @@ def target_ids(labels: DataFrame, most: int = LABELLED) -> DataFrame:
 
 #: Bytes of text handled at once inside a task; a single longer text is handled alone, whole.
 CHUNK = 2 << 20
+#: Bytes where many numbers are made of each byte: in the pipeline two workers share an executor with a heap that is full.
+SMALL_CHUNK = 1 << 19
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -196,14 +198,14 @@ class Text:
         return h
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about CHUNK bytes of text each."""
+def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each."""
     if batch.num_rows == 0:
         return
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     begin, total = 0, 0
     for i, n in enumerate(size):
-        if i > begin and total + n > CHUNK:
+        if i > begin and total + n > most:
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += n

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Tally, Text, chunks, cut, id_text, to_arrow
+from tessera.llm.common import SMALL_CHUNK, Tally, Text, chunks, cut, id_text, to_arrow
 
 NGRAM = 4
 HASHES = 2
@@ -81,7 +81,7 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([at.dictionary_decode(), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 langs = part.column("lang").to_pylist()
                 for x in langs:
                     if x not in place:
@@ -156,7 +156,7 @@ def told(spark, model: dict, text: Column) -> Column:
         langs = m["langs"]
         chance = np.minimum(m["fill"] ** HASHES, 0.999)
         out = []
-        for part in chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        for part in chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", SMALL_CHUNK):
             text = Text(part.column("text"), lower=True)
             letters = _has_letter(text, part.column("text"))
             pred, score, coverage = np.full(text.n, -1), np.zeros(text.n), np.zeros(text.n)

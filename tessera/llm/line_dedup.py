@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _SPACE, Text, bitmap, chunks, cut, in_bitmap, join_on, mix64, signed
+from tessera.llm.common import SMALL_CHUNK, _SPACE, Text, bitmap, chunks, cut, in_bitmap, join_on, mix64, signed
 from tessera.llm.linking import connect
 
 SIMILARITY = 0.9
@@ -206,7 +206,7 @@ def occurrences(keyed: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 lines = Lines(part.column("text"))
                 at, h = lines.keys()
                 doc = pa.array(lines.doc[at])
@@ -228,7 +228,7 @@ def meeting_keys(docs: DataFrame) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 lines = Lines(part.column("text"))
                 at, h = lines.keys()
                 h = signed(h)
@@ -255,7 +255,7 @@ def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 lines = Lines(part.column("text"))
                 at, h = lines.keys()
                 hit = in_bitmap(wanted, h)

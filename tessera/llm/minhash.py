@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Text, bitmap, chunks, cut, in_bitmap, join_on, list_array, mix64, signed, windows
+from tessera.llm.common import SMALL_CHUNK, Text, bitmap, chunks, cut, in_bitmap, join_on, list_array, mix64, signed, windows
 from tessera.llm.linking import connect
 
 SHINGLE = 5
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 sets = shingle_sets(Text(part.column("text"), lower=True))
                 keys, rows = [], []
                 known: dict[tuple[int, int], np.ndarray] = {}
@@ -127,7 +127,7 @@ def sets_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SMALL_CHUNK):
                 keys, rows = [], []
                 for s in shingle_sets(Text(part.column("text"), lower=True)):
                     if len(s) and (k := set_keys(s)[0]) not in seen and in_bitmap(wanted, np.array([k]).view(np.uint64))[0]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import linking, line_dedup, minhash
-from tessera.llm.common import Text
+from tessera.llm.common import SMALL_CHUNK, Text, chunks
 from tests.llm.conftest import sentence, words
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -371,3 +371,10 @@ def test_by_words_never_says_too_few():
         for most in (0, 2, 4, 9):
             assert not line_dedup.by_words(a, b, most) or distance(" ".join(a), " ".join(b)) <= most
     assert line_dedup.by_words("one two three four five".split(), "two three four six five".split(), 8)
+
+
+def test_chunks_hold_all_rows_and_few_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 2000 + [None, "y" * 3_000_000, ""]})
+    parts = list(chunks(batch, "text", SMALL_CHUNK))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == batch.column("text").to_pylist()
+    assert max(p.num_rows for p in parts[:4]) <= SMALL_CHUNK // 1000 and line_dedup.SMALL_CHUNK == minhash.SMALL_CHUNK == 1 << 19
