@@ -56,11 +56,17 @@ BAND_WORDS, BAND_LEAST, BAND_PAIRS = 8, 32, 4096
 HELD, HELD_CHARS = 16384, 1 << 24
 #: Members of a key, and bytes of their lines, in a slice of those that are held against each other.
 SLICE, SLICE_BYTES = 512, 8 << 20
+#: Rows for each task that compares: with few of them its bands aren't filled.
+COMPARED = 8192
+#: Keys are dealt by their first bits to so many bags; entries that a task gathers before it fills bags, or holds of one bag.
+BAGS, FILL, EMPTY = 2048, 1 << 19, 1 << 20
 #: Groups of bytes, 32 of them, whose counts bound the edits between two lines from below; eight counts a number.
 _GROUP = np.where((np.arange(256) >= 97) & (np.arange(256) <= 122), np.arange(256) - 97, 26 + np.arange(256) % 6)
 COUNTS = ("c0", "c1", "c2", "c3")
 _DROP = np.zeros(256, bool)
 _DROP[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+#: Bytes that are no character of a word by themselves: white space, and all of a character but its first byte.
+_UNCOUNTED = _SPACE | ((np.arange(256) & 0xC0) == 0x80)
 _SPREAD = np.array([int.from_bytes(bytes((x >> j) & 1 for j in range(8)), "little") for x in range(256)], np.uint64)
 #: First bytes of characters of scripts that mostly don't put spaces between words.
 _UNSPACED = np.zeros(256, bool)
@@ -79,11 +85,10 @@ class Lines(Text):
         np.add.at(counts, np.searchsorted(self.off, newline - 1, side="right") - 1, 1)
         self.doc = np.repeat(np.arange(self.n), counts)
         self.no = np.arange(len(begin)) - np.repeat(np.cumsum(counts) - counts, counts)
-        keep = ~_DROP[self.bytes]
-        upto = np.zeros(len(keep) + 1, np.int64)
-        np.cumsum(keep, out=upto[1:])
-        self.bytes = self.bytes[keep]
-        self.off = upto[np.concatenate([begin, self.off[-1:]])]
+        drop = _DROP[self.bytes]
+        self.bytes = self.bytes[~drop]
+        edges = np.concatenate([begin, self.off[-1:]])
+        self.off = edges - np.searchsorted(np.flatnonzero(drop), edges)
         self.n = len(begin)
         self.starts, self.ends, self.first = self.words()
         self.hashed = self.hash_runs(self.starts, self.ends)
@@ -104,8 +109,8 @@ class Lines(Text):
 
     def sizes(self) -> np.ndarray:
         """Characters of each normal form."""
-        whole = ((self.bytes & 0xC0) != 0x80) & ~_SPACE[self.bytes]
-        return self.per_text(whole) + np.maximum(np.diff(self.first) - 1, 0)
+        others = np.searchsorted(np.flatnonzero(_UNCOUNTED[self.bytes]), self.off)
+        return np.diff(self.off - others) + np.maximum(np.diff(self.first) - 1, 0)
 
     def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes and weights of what counts as a word when lines meet, and each line's first (n + 1)."""
@@ -201,42 +206,94 @@ def less_one(form: str) -> list[int]:
     return [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in texts]
 
 
-def occurrences(keyed: DataFrame) -> DataFrame:
-    """(uid, doc_id, no, h) of every line with a word; ``keyed`` has uid, doc_id, text."""
-
-    def run(batches):
-        for batch in batches:
-            for part in chunks(batch, "text", SMALL_CHUNK):
-                lines = Lines(part.column("text"))
-                at, h = lines.keys()
-                doc = pa.array(lines.doc[at])
-                yield pa.RecordBatch.from_arrays([part.column("uid").take(doc), part.column("doc_id").take(doc), pa.array(lines.no[at]), pa.array(signed(h))], names=["uid", "doc_id", "no", "h"])
-
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.select("uid", "doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, no long, h long")
-
-
 def _new(seen: set[int], h: list[int]) -> list[int]:
     if len(seen) > SEEN:
         seen.clear()
     return [i for i, k in enumerate(h) if not (k in seen or seen.add(k))]
 
 
-def meeting_keys(docs: DataFrame) -> DataFrame:
-    """(key, id) of what each line meets others on; once a task for equal lines."""
+def filled(keys: np.ndarray, ids: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(bag, its entries) of keys and ids: an entry is the 16 bytes of a key and an id."""
+    bag = (keys >> np.uint64(53)).astype(np.uint16)
+    order = np.argsort(bag, kind="stable")
+    count = np.bincount(bag, minlength=BAGS)
+    some = np.flatnonzero(count)
+    ends = np.concatenate([[0], 16 * np.cumsum(count[some])]).astype(np.int32)
+    entries = np.stack([keys[order], ids[order]], 1)
+    return pa.array(some.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(entries)])
+
+
+def read_lines(keyed: DataFrame) -> DataFrame:
+    """Two kinds of rows from one pass over ``keyed`` (uid, doc_id, text): (uid, doc_id, no, h) of every
+    line with a word, and (bag, entries) of the keys that lines meet on, once a task for equal lines.
+    A line has some ten keys, so they travel many in a row."""
+    kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         seen: set[int] = set()
+        held, n, schema = [], 0, None
+
+        def bags():
+            bag, entries = filled(*(np.concatenate(side) for side in zip(*held)))
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(bag), t) for t in schema.types[:4]], bag, entries], schema=schema)
+
         for batch in batches:
             for part in chunks(batch, "text", SMALL_CHUNK):
+                if schema is None:
+                    ours = [("uid", pa.int64()), ("doc_id", part.schema.field("doc_id").type), ("no", pa.int64()), ("h", pa.int64()), ("bag", pa.int32()), ("entries", pa.binary())]
+                    schema = pa.schema(ours)
                 lines = Lines(part.column("text"))
                 at, h = lines.keys()
-                h = signed(h)
+                doc = pa.array(lines.doc[at])
+                where = [part.column("uid").take(doc), part.column("doc_id").take(doc), pa.array(lines.no[at]), pa.array(signed(h))]
+                yield pa.RecordBatch.from_arrays([*where, *[pa.nulls(len(at), t) for t in schema.types[4:]]], schema=schema)
                 new = np.array(_new(seen, h.tolist()), np.int64)
                 line, key = lines.meeting(at[new])
-                yield pa.RecordBatch.from_pydict({"key": signed(key), "id": h[new][line]})
+                if len(key):
+                    held.append((key, h[new][line]))
+                    n += len(key)
+                if n >= FILL:
+                    yield bags()
+                    held, n = [], 0
+        if held:
+            yield bags()
+
+    return keyed.select("uid", "doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, no long, h long, bag int, entries binary")
+
+
+def shared_keys(bags: DataFrame) -> DataFrame:
+    """(key, id) of the keys that several ids have, out of (bag, entries)."""
+
+    def met(held: list[np.ndarray]) -> tuple[pa.RecordBatch, np.ndarray]:
+        """The rows of keys with several ids; and one entry of each key, to which later ones are held."""
+        x = np.concatenate(held)
+        x = x[np.argsort(x[:, 0])]
+        begin = np.flatnonzero(np.concatenate([[True], x[1:, 0] != x[:-1, 0]]))
+        several = np.minimum.reduceat(x[:, 1], begin) < np.maximum.reduceat(x[:, 1], begin)
+        key, id_ = x[np.repeat(several, np.diff(np.append(begin, len(x))))].T
+        return pa.RecordBatch.from_pydict({"key": signed(key), "id": signed(id_)}), x[begin]
 
-    return docs.select("text").mapInArrow(run, "key long, id long")
+    def run(batches):
+        now, held, n = None, [], 0
+        for batch in batches:
+            bag = batch.column("bag").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(bag[1:] != bag[:-1]) + 1, [len(bag)]]) if len(bag) else []
+            for i, j in zip(cuts, cuts[1:]):
+                if held and bag[i] != now:
+                    yield met(held)[0]
+                    held, n = [], 0
+                now = bag[i]
+                for entries in batch.column("entries").slice(i, j - i).to_pylist():
+                    held.append(np.frombuffer(entries, np.uint64).reshape(-1, 2))
+                    n += len(held[-1])
+                    if n >= 2 * EMPTY:
+                        rows, left = met(held)
+                        yield rows
+                        held, n = [left], min(len(left), EMPTY)
+        if held:
+            yield met(held)[0]
+
+    return bags.repartition("bag").sortWithinPartitions("bag").mapInArrow(run, "key long, id long").distinct()
 
 
 def group_counts(forms: list[bytes]) -> np.ndarray:
@@ -469,18 +526,22 @@ def decided(pairs, similarity: float):
         yield links()
 
 
-def linked_in_blocks(rest: DataFrame, similarity: float) -> DataFrame:
+def linked_in_blocks(rest: DataFrame, similarity: float, rows: int | None = None) -> DataFrame:
     """Links (a, b) between rows (key, id, root, members of the key, bytes of its lines, lesser keys of the
     id, line and its counts) of one key and different roots. A key's members are dealt by hash to
     slices of a bounded size, and every two slices of a key, or one with itself, are a block: what is
-    compared is never a row, and a large key's blocks go to many tasks."""
+    compared is never a row, and a large key's blocks go to many tasks: one for each COMPARED of the
+    ``rows``, if their number is given, or as many as a shuffle has."""
+    tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        tasks = min(tasks, rows // COMPARED + 1)
     slices = F.greatest(F.ceil(F.col("members") / SLICE), F.ceil(F.col("bytes") / SLICE_BYTES)).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("_of")).cast("int")
     dealt = (
         rest.withColumn("_of", slices).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "less", "line", *COUNTS)
-        .repartition(int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        .repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     )
 
     def pairs(block: pa.Table):
@@ -535,20 +596,20 @@ def _begins(table: pa.Table) -> np.ndarray:
     return new
 
 
-def link_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) of the line classes of ``docs`` that links join."""
-    met = Window.partitionBy("key")
-    keyed = meeting_keys(docs).withColumn("lo", F.min("id").over(met)).withColumn("hi", F.max("id").over(met))
-    met = cut(keyed.where("lo < hi").select("key", "id").distinct(), "meeting")
+def link_lines(docs: DataFrame, bags: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, root) of the line classes of ``docs`` that links join; ``bags`` has the keys they meet on."""
+    met = cut(shared_keys(bags), "meeting")
     wanted = cut(met.select("id").distinct(), "wanted")
     lines = cut(normal_forms(docs, bitmap(wanted, "id")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "forms")
     entries = cut(met.join(lines.select("id", F.length("line").alias("n"), *COUNTS), "id"), "entries")
 
     def may(a: str, b: str) -> str:
         # an edit changes the length by one at most, and two counts by one each, or one if the length changes
-        most = f"floor({1 - similarity} * greatest({a}.n, {b}.n) + 1e-9)"
-        apart = [f"abs((shiftrightunsigned({a}.{c}, {i}) & 255) - (shiftrightunsigned({b}.{c}, {i}) & 255))" for c in COUNTS for i in range(0, 64, 8)]
-        return f"abs({a}.n - {b}.n) <= {most} and abs({a}.n - {b}.n) + {' + '.join(apart)} <= 2 * {most}"
+        most = f"floor({1 - similarity}D * greatest({a}.n, {b}.n) + 1e-9)"
+        # one after the other: written out, the 32 of them are a method that the JVM never compiles
+        apart = [f"abs((shiftrightunsigned({a}.{c}, i) & 255) - (shiftrightunsigned({b}.{c}, i) & 255))" for c in COUNTS]
+        apart = f"aggregate(array(0, 8, 16, 24, 32, 40, 48, 56), 0L, (s, i) -> s + {' + '.join(apart)})"
+        return f"abs({a}.n - {b}.n) <= {most} and abs({a}.n - {b}.n) + {apart} <= 2 * {most}"
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
@@ -562,7 +623,8 @@ def link_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         sized = rest.groupBy("key").agg(F.count("*").alias("members"), F.sum(4 * F.col("n")).alias("bytes"), F.count("*").alias("rows"))
         every = F.collect_set("key").over(Window.partitionBy("id"))  # a line has at most some fifty keys
         lesser = rest.withColumn("less", F.filter(every, lambda k: k < F.col("key")))
-        return linked_in_blocks(join_on(lesser.join(lines.select("id", "line"), "id"), cut(sized, "sized"), "key", "rows", rest.count()), similarity)
+        rows = rest.count()
+        return linked_in_blocks(join_on(lesser.join(lines.select("id", "line"), "id"), cut(sized, "sized"), "key", "rows", rows), similarity, rows)
 
     return connect(entries, ["id"], may, verify, across)
 
@@ -571,11 +633,12 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with deduplicated text, and n_lines, n_dropped, n_left (lines with a word that stay)."""
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("uid"))
     slim = keyed.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    occ = cut(occurrences(slim), "lines")
+    both = cut(read_lines(slim), "lines")  # the conditions on its rows are such that Parquet's pages aren't searched for nulls
+    occ = both.where("coalesce(bag, -1) < 0").select("uid", "doc_id", "no", "h")
     total = occ.count()
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "no")
     classes = occ.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times"))
-    roots = link_lines(slim, similarity)
+    roots = link_lines(slim, both.where("coalesce(bag, -1) >= 0").select("bag", "entries"), similarity)
     joined = classes.join(roots.withColumnRenamed("id", "h"), "h", "left")
     linked = cut(joined.where("root is not null or times > 1").select("h", "first", "times", F.coalesce("root", "h").alias("root")), "linked")
     stays = linked.groupBy("root").agg(F.min("first").alias("stay"), F.count("*").alias("members"))
@@ -585,7 +648,7 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     none = F.array().cast("array<long>")
     stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_lines").cast("long") - 1), F.coalesce("drops", none))
     text = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i.cast("int"))), "\n")
-    out = keyed.join(drops, "uid", "left").withColumn("_lines", F.split(F.col("row.text"), "\n"))
+    out = keyed.join(drops.hint("shuffle_hash"), "uid", "left").withColumn("_lines", F.split(F.col("row.text"), "\n"))
     dropped = F.coalesce(F.size(F.coalesce("drops", none)), F.lit(0)).cast("long")
     n_lines = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long")
     # a character that is neither white space nor ASCII punctuation makes a word

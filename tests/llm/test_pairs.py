@@ -378,3 +378,48 @@ def test_chunks_hold_all_rows_and_few_bytes():
     parts = list(chunks(batch, "text", SMALL_CHUNK))
     assert [t for p in parts for t in p.column("text").to_pylist()] == batch.column("text").to_pylist()
     assert max(p.num_rows for p in parts[:4]) <= SMALL_CHUNK // 1000 and line_dedup.SMALL_CHUNK == minhash.SMALL_CHUNK == 1 << 19
+
+
+@pytest.mark.parametrize("empty", [3, 1 << 20])
+def test_keys_of_several_lines_are_found_in_bags(spark, monkeypatch, empty):
+    """Whatever is held of a bag at once, and whether a key's ids come from one task or several."""
+    monkeypatch.setattr(line_dedup, "EMPTY", empty)
+    rng = np.random.default_rng(0)
+    keys = np.concatenate([rng.integers(0, 300, 400), np.full(50, 7)]).astype(np.uint64) << np.uint64(48)
+    ids = np.concatenate([rng.integers(0, 5, 400), np.arange(50)]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows = [(b, e) for i in range(0, 450, 150) for b, e in zip(*(x.to_pylist() for x in line_dedup.filled(keys[i : i + 150], ids[i : i + 150])))]
+    got = line_dedup.shared_keys(spark.createDataFrame(rows, "bag int, entries binary").repartition(3)).collect()
+    of: dict[int, set[int]] = {}
+    for k, i in zip(keys.view(np.int64).tolist(), ids.view(np.int64).tolist()):
+        of.setdefault(k, set()).add(i)
+    assert sorted(tuple(r) for r in got) == sorted((k, i) for k, some in of.items() if len(some) > 1 for i in some)
+
+
+def test_one_pass_gives_lines_and_keys(documents, monkeypatch):
+    """Bags that are filled again and again hold the same keys as those filled once; equal lines give keys once a task."""
+    df = documents([(i, f"{sentence(12, i % 7)}\n{sentence(30, i)}\n\n{sentence(3, i)}") for i in range(20)] + [(None, None), (30, "")])
+    keyed = df.selectExpr("xxhash64(doc_id, text) uid", "doc_id", "text").coalesce(1)
+
+    def entries():
+        rows = line_dedup.read_lines(keyed).collect()
+        assert sum(r["bag"] is None for r in rows) == 60 and {(r["doc_id"], r["no"]) for r in rows if r["bag"] is None} == {(i, k) for i in range(20) for k in (0, 1, 3)}
+        both = [np.frombuffer(r["entries"], np.uint64).reshape(-1, 2) for r in rows if r["bag"] is not None]
+        assert all((x[:, 0] >> np.uint64(53) == r["bag"]).all() for x, r in zip(both, [r for r in rows if r["bag"] is not None]))
+        return sorted(map(tuple, np.concatenate(both).tolist()))
+
+    once = entries()
+    lines = line_dedup.Lines(pa.array([r["text"] for r in df.select("text").collect()], pa.string()))
+    at, h = lines.keys()
+    new = np.unique(h, return_index=True)[1]
+    line, key = lines.meeting(at[new])
+    assert once == sorted(zip(key.tolist(), h[new][line].tolist()))
+    monkeypatch.setattr(line_dedup, "FILL", 10)
+    monkeypatch.setattr(line_dedup, "SMALL_CHUNK", 200)
+    assert entries() == once
+
+
+def test_few_rows_are_compared_in_few_tasks(spark):
+    """Bands of many pairs need tasks of many rows."""
+    rest = spark.createDataFrame([], "key long, id long, root long, members long, bytes long, less array<long>, line string, c0 long, c1 long, c2 long, c3 long")
+    plan = line_dedup.linked_in_blocks(rest, 0.9, 2 * line_dedup.COMPARED)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"RepartitionByExpression .*, (\d+)", plan) == ["3"]
