@@ -84,26 +84,25 @@ class Encoder:
         """Remember the ids of new pieces. Pieces between spaces on both sides go to the tokenizer
         as one string, and the widths of its tokens tell where each piece's ids begin."""
         off = np.frombuffer(new.buffers()[1], np.int32)[new.offset : new.offset + len(new) + 1].astype(np.int64)
-        raw = new.buffers()[2].to_pybytes()
-        b = np.frombuffer(raw, np.uint8)
+        b = np.frombuffer(new.buffers()[2], np.uint8)
         alone = ~_ASCII_SPACE[b[off[:-1]]] | _after_space(b, off[1:])
-        parts: list[tuple[np.ndarray, np.ndarray]] = [None] * len(new)
-        for i, e in zip(np.flatnonzero(alone), self.tok.encode_batch_fast(new.filter(pa.array(alone)).to_pylist(), add_special_tokens=False)):
-            parts[i] = np.array(e.ids, np.uint32)
-        runs = np.flatnonzero(~alone)
+        those, runs = new.filter(pa.array(alone)), new.filter(pa.array(~alone))
+        parts = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(those.to_pylist(), add_special_tokens=False)]
+        counts = [np.array([len(x) for x in parts], np.int64)]
         for k in range(0, len(runs), TOGETHER):
             some = runs[k : k + TOGETHER]
-            text = b"".join([raw[a:z] for a, z in zip(off[some].tolist(), off[some + 1].tolist())]).decode()
+            off = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1].astype(np.int64)
+            text = some.buffers()[2][off[0] : off[-1]].to_pybytes().decode()
             ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum(self.width[ids])
-            upto = np.cumsum(off[some + 1] - off[some])
+            upto = off[1:] - off[0]
             at = np.searchsorted(ends, upto) + 1
             if not np.array_equal(ends[at - 1], upto):
                 raise ValueError("a token reaches over a space")
-            for i, x in zip(some, np.split(ids, at[:-1])):
-                parts[i] = x
-        self.known = pa.concat_arrays([self.known, new])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in parts])])
+            counts.append(np.diff(at, prepend=0))
+            parts.append(ids)
+        self.known = pa.concat_arrays([self.known, those, runs])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(counts))])
         self.ids = np.concatenate([self.ids, *parts])
 
     def _pieces(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -289,6 +289,20 @@ def test_pieces_encode_as_the_whole():
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == encode(texts)
 
 
+def test_new_pieces_are_learned_together(monkeypatch):
+    """Pieces between spaces get their ids from one string, without an array for each of them."""
+    monkeypatch.setattr(packing, "TOGETHER", 64)
+    enc = packing.Encoder(BPE)
+    texts = [sentence(200, 5), "x", "", None, "one\n  two\u3000three \n", "<|endoftext|> x", sentence(40, 6) + "\n" + sentence(3, 5), " a"]
+    want = [np.array(enc.tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    made = []
+    split = np.split
+    monkeypatch.setattr(packing.np, "split", lambda *a, **k: made.append(len(split(*a, **k))) or split(*a, **k))
+    assert enc.encode(texts) == want
+    assert enc.encode(texts[::-1]) == want[::-1]
+    assert sum(made) == 0 and len(enc.known) > 200 and len(enc.first) == len(enc.known) + 1 and enc.first[-1] == len(enc.ids)
+
+
 def test_packing_is_lossless(documents, edge_rows):
     rng = random.Random(1)
     rows = edge_rows + [(100 + i, ". ".join(sentence(rng.randint(3, 30), i * 50 + j) for j in range(rng.randint(1, 40)))) for i in range(60)]
