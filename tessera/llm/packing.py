@@ -80,6 +80,13 @@ class Encoder:
     def _forget(self) -> None:
         self.known, self.ids, self.first = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _forget_others(self, place: np.ndarray) -> None:
+        """Remember only the pieces at these places."""
+        n = np.diff(self.first)[place]
+        first = np.concatenate([[0], np.cumsum(n)])
+        self.ids = self.ids[np.repeat(self.first[:-1][place] - first[:-1], n) + np.arange(first[-1])]
+        self.known, self.first = self.known.take(pa.array(place)), first
+
     def _learn(self, new: pa.StringArray) -> None:
         """Remember the ids of new pieces. Pieces between spaces on both sides go to the tokenizer
         as one string, and the widths of its tokens tell where each piece's ids begin."""
@@ -114,8 +121,7 @@ class Encoder:
         new = words.filter(at.is_null())
         if len(new):
             if len(self.known) > REMEMBER:
-                self._forget()
-                new = words
+                self._forget_others(np.asarray(at.drop_null()).astype(np.int64))
             self._learn(new)
             at = pc.index_in(words, value_set=self.known)
         place = np.asarray(at).astype(np.int64)[np.asarray(told.indices)]

@@ -303,6 +303,21 @@ def test_new_pieces_are_learned_together(monkeypatch):
     assert sum(made) == 0 and len(enc.known) > 200 and len(enc.first) == len(enc.known) + 1 and enc.first[-1] == len(enc.ids)
 
 
+def test_pieces_at_hand_are_not_learned_again(monkeypatch):
+    """When too many pieces are remembered, those of the text at hand stay."""
+    monkeypatch.setattr(packing, "REMEMBER", 50)
+    enc = packing.Encoder(BPE)
+    learned = []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda new: learned.extend(new.to_pylist()) or learn(new))
+    first, second = sentence(80, 5), "one two"
+    enc.encode([first])
+    assert enc.encode([second + " " + first]) == [np.array(enc.tok.encode(second + " " + first, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert learned.count(" " + first.split()[-1]) == 1 and len(learned) == len(enc.known) + 1  # the first word is another piece after a space
+    enc.encode(["three four"])
+    assert sorted(enc.known.to_pylist()) == [" four", "three"]
+
+
 def test_packing_is_lossless(documents, edge_rows):
     rng = random.Random(1)
     rows = edge_rows + [(100 + i, ". ".join(sentence(rng.randint(3, 30), i * 50 + j) for j in range(rng.randint(1, 40)))) for i in range(60)]
