@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SMALL_CHUNK, _SPACE, Text, bitmap, chunks, cut, in_bitmap, join_on, mix64, signed
+from tessera.llm.common import SMALL_CHUNK, Text, bitmap, chunks, cut_hashes, from_signed, in_bitmap, join_on, looked_up, mix64, signed
 from tessera.llm.linking import connect
 
 SIMILARITY = 0.9
@@ -65,8 +65,8 @@ _GROUP = np.where((np.arange(256) >= 97) & (np.arange(256) <= 122), np.arange(25
 COUNTS = ("c0", "c1", "c2", "c3")
 _DROP = np.zeros(256, bool)
 _DROP[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
-#: Bytes that are no character of a word by themselves: white space, and all of a character but its first byte.
-_UNCOUNTED = _SPACE | ((np.arange(256) & 0xC0) == 0x80)
+#: All bytes of a character but its first.
+_INNER = (np.arange(256) & 0xC0) == 0x80
 _SPREAD = np.array([int.from_bytes(bytes((x >> j) & 1 for j in range(8)), "little") for x in range(256)], np.uint64)
 #: First bytes of characters of scripts that mostly don't put spaces between words.
 _UNSPACED = np.zeros(256, bool)
@@ -85,7 +85,7 @@ class Lines(Text):
         np.add.at(counts, np.searchsorted(self.off, newline - 1, side="right") - 1, 1)
         self.doc = np.repeat(np.arange(self.n), counts)
         self.no = np.arange(len(begin)) - np.repeat(np.cumsum(counts) - counts, counts)
-        drop = _DROP[self.bytes]
+        drop = looked_up(_DROP, self.bytes)
         self.bytes = self.bytes[~drop]
         edges = np.concatenate([begin, self.off[-1:]])
         self.off = edges - np.searchsorted(np.flatnonzero(drop), edges)
@@ -109,13 +109,15 @@ class Lines(Text):
 
     def sizes(self) -> np.ndarray:
         """Characters of each normal form."""
-        others = np.searchsorted(np.flatnonzero(_UNCOUNTED[self.bytes]), self.off)
-        return np.diff(self.off - others) + np.maximum(np.diff(self.first) - 1, 0)
+        total = np.concatenate([[0], np.cumsum(self.ends - self.starts)])[self.first]
+        inner = np.flatnonzero(looked_up(_INNER, self.bytes))
+        return np.diff(total - np.searchsorted(inner, self.off)) + np.maximum(np.diff(self.first) - 1, 0)
 
     def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes and weights of what counts as a word when lines meet, and each line's first (n + 1)."""
         s, e, b = self.starts, self.ends, self.bytes
-        lead = np.flatnonzero(_UNSPACED[b])
+        lead = np.flatnonzero(b >= 0xE0)
+        lead = lead[_UNSPACED[b[lead]]]
         unspaced = np.zeros(len(s), bool)
         unspaced[np.searchsorted(s, lead, side="right") - 1] = True
         far = np.flatnonzero((e - s > LONG) & ~unspaced)
@@ -128,7 +130,7 @@ class Lines(Text):
         begin, word = (x[taken[word] & (begin < e[word])] for x in (begin, word))
         end = np.minimum(np.append(begin[1:], len(b)), e[word])
         every, upto = np.concatenate([s[~taken], begin]), np.concatenate([e[~taken], end])
-        order = np.argsort(every)
+        order = np.argsort(every, kind="stable")  # of two sorted runs
         weight = np.where(_UNSPACED[b[every]], 3, np.clip(upto - every - 2, 0, 8))
         return np.concatenate([self.hashed[~taken], self.hash_runs(begin, end)])[order], weight[order], np.searchsorted(every[order], self.off)
 
@@ -146,7 +148,7 @@ class Lines(Text):
                     key = np.full(len(part), np.uint64(k * 4096))
                     for j in pick:
                         key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + sim[:, j] + np.uint64(j))
-                    good = (words[:, pick].sum(1) >= 2) & (weights[:, pick].sum(1) >= weighty)
+                    good = (sum(words[:, j] for j in pick) >= 2) & (sum(weights[:, j] for j in pick) >= weighty)
                     index.append(part[good])
                     keys.append(key[good])
         few = np.flatnonzero(n < LEVELS[0][0] * OVERLAP)
@@ -262,38 +264,47 @@ def read_lines(keyed: DataFrame) -> DataFrame:
 
 
 def shared_keys(bags: DataFrame) -> DataFrame:
-    """(key, id) of the keys that several ids have, out of (bag, entries)."""
+    """(key, id) of the keys that several ids have, out of (bag, entries). What a task holds of a bag gives each
+    row once, so only rows of bags that it had to empty in between are held against each other."""
 
-    def met(held: list[np.ndarray]) -> tuple[pa.RecordBatch, np.ndarray]:
-        """The rows of keys with several ids; and one entry of each key, to which later ones are held."""
+    def met(held: list[np.ndarray], again: bool) -> tuple[pa.RecordBatch, np.ndarray]:
+        """The rows of keys with several ids, each once; and one entry of each key, to which later ones are held."""
         x = np.concatenate(held)
         x = x[np.argsort(x[:, 0])]
         begin = np.flatnonzero(np.concatenate([[True], x[1:, 0] != x[:-1, 0]]))
         several = np.minimum.reduceat(x[:, 1], begin) < np.maximum.reduceat(x[:, 1], begin)
         key, id_ = x[np.repeat(several, np.diff(np.append(begin, len(x))))].T
-        return pa.RecordBatch.from_pydict({"key": signed(key), "id": signed(id_)}), x[begin]
+        order = np.lexsort((id_, key))
+        key, id_ = key[order], id_[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])
+        return pa.RecordBatch.from_pydict({"key": signed(key[new]), "id": signed(id_[new]), "again": np.full(new.sum(), again)}), x[begin]
 
     def run(batches):
-        now, held, n = None, [], 0
+        now, held, n, again = None, [], 0, False
         for batch in batches:
             bag = batch.column("bag").to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(bag[1:] != bag[:-1]) + 1, [len(bag)]]) if len(bag) else []
             for i, j in zip(cuts, cuts[1:]):
                 if held and bag[i] != now:
-                    yield met(held)[0]
-                    held, n = [], 0
+                    yield met(held, again)[0]
+                    held, n, again = [], 0, False
                 now = bag[i]
                 for entries in batch.column("entries").slice(i, j - i).to_pylist():
                     held.append(np.frombuffer(entries, np.uint64).reshape(-1, 2))
                     n += len(held[-1])
                     if n >= 2 * EMPTY:
-                        rows, left = met(held)
+                        again = True
+                        rows, left = met(held, again)
                         yield rows
                         held, n = [left], min(len(left), EMPTY)
         if held:
-            yield met(held)[0]
+            yield met(held, again)[0]
 
-    return bags.repartition("bag").sortWithinPartitions("bag").mapInArrow(run, "key long, id long").distinct()
+    rows = cut_hashes(bags.repartition("bag").sortWithinPartitions("bag").mapInArrow(run, "key long, id long, again boolean"), "meeting")
+    if rows.where("again").isEmpty():
+        return rows.drop("again")
+    return rows.where("not again").drop("again").unionByName(rows.where("again").drop("again").distinct())
 
 
 def group_counts(forms: list[bytes]) -> np.ndarray:
@@ -306,13 +317,15 @@ def group_counts(forms: list[bytes]) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8).view(np.int64).reshape(-1, 4)
 
 
-def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(id, line, c0 to c3) of the lines whose hash is in the filter; once a task for equal lines."""
+def normal_forms(docs: DataFrame, wanted: np.ndarray, holders: np.ndarray) -> DataFrame:
+    """(id, line, c0 to c3) of the lines whose hash is in the filter ``wanted``, out of the documents (uid, text)
+    whose uid is in the filter ``holders``; once a task for equal lines."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for part in chunks(batch, "text", SMALL_CHUNK):
+            holding = batch.filter(pa.array(in_bitmap(holders, from_signed(batch.column("uid")))))
+            for part in chunks(holding, "text", SMALL_CHUNK):
                 lines = Lines(part.column("text"))
                 at, h = lines.keys()
                 hit = in_bitmap(wanted, h)
@@ -323,7 +336,7 @@ def normal_forms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                     counts = np.ascontiguousarray(group_counts(forms).T)
                     yield pa.RecordBatch.from_pydict({"id": h[new], "line": pa.array([x.decode() for x in forms], pa.string()), **dict(zip(COUNTS, counts))})
 
-    return docs.select("text").mapInArrow(run, "id long, line string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select("uid", "text").mapInArrow(run, "id long, line string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _common(a: str, b: str) -> int:
@@ -403,6 +416,11 @@ def within(a: str, b: str, most: int) -> bool:
             return False
         more, less = more << 1 | 1, less << 1
         up, down = (less | ~(x | more)) & full, more & x & full
+        if j % 32 == 31 and (i := j + 1 + len(a) - len(b)) > 0:
+            # values on the diagonal that ends the table never fall
+            upper = (1 << i) - 1
+            if j + 1 + (up & upper).bit_count() - (down & upper).bit_count() > most:
+                return False
     return score <= most
 
 
@@ -596,12 +614,12 @@ def _begins(table: pa.Table) -> np.ndarray:
     return new
 
 
-def link_lines(docs: DataFrame, bags: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) of the line classes of ``docs`` that links join; ``bags`` has the keys they meet on."""
-    met = cut(shared_keys(bags), "meeting")
-    wanted = cut(met.select("id").distinct(), "wanted")
-    lines = cut(normal_forms(docs, bitmap(wanted, "id")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "forms")
-    entries = cut(met.join(lines.select("id", F.length("line").alias("n"), *COUNTS), "id"), "entries")
+def link_lines(docs: DataFrame, met: DataFrame, wanted: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, root) of the line classes that links join: of those of ``wanted`` (id, and the uid of a document
+    that holds the line), which share keys in ``met`` (key, id). The lines are read from these of ``docs``."""
+    forms = normal_forms(docs, bitmap(wanted, "id"), bitmap(wanted, "uid"))
+    lines = cut_hashes(forms.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "forms")
+    entries = cut_hashes(met.join(lines.select("id", F.length("line").alias("n"), *COUNTS), "id"), "entries")
 
     def may(a: str, b: str) -> str:
         # an edit changes the length by one at most, and two counts by one each, or one if the length changes
@@ -624,26 +642,30 @@ def link_lines(docs: DataFrame, bags: DataFrame, similarity: float = SIMILARITY)
         every = F.collect_set("key").over(Window.partitionBy("id"))  # a line has at most some fifty keys
         lesser = rest.withColumn("less", F.filter(every, lambda k: k < F.col("key")))
         rows = rest.count()
-        return linked_in_blocks(join_on(lesser.join(lines.select("id", "line"), "id"), cut(sized, "sized"), "key", "rows", rows), similarity, rows)
+        return linked_in_blocks(join_on(lesser.join(lines.select("id", "line", *COUNTS), "id"), cut_hashes(sized, "sized"), "key", "rows", rows), similarity, rows)
 
-    return connect(entries, ["id"], may, verify, across)
+    return connect(entries, ["id"], may, verify, across, ("n",))
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with deduplicated text, and n_lines, n_dropped, n_left (lines with a word that stay)."""
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("uid"))
     slim = keyed.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    both = cut(read_lines(slim), "lines")  # the conditions on its rows are such that Parquet's pages aren't searched for nulls
+    both = cut_hashes(read_lines(slim), "lines")  # the conditions on its rows are such that Parquet's pages aren't searched for nulls
     occ = both.where("coalesce(bag, -1) < 0").select("uid", "doc_id", "no", "h")
     total = occ.count()
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "no")
     classes = occ.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times"))
-    roots = link_lines(slim, both.where("coalesce(bag, -1) >= 0").select("bag", "entries"), similarity)
+    met = shared_keys(both.where("coalesce(bag, -1) >= 0").select("bag", "entries"))
+    wanted = met.select(F.col("id").alias("h")).distinct().withColumn("met", F.lit(True))
+    # all other lines occur once and meet no other
+    classes = cut_hashes(classes.join(wanted, "h", "left").where("met or times > 1"), "classes")
+    roots = link_lines(slim, met, classes.where("met").select(F.col("h").alias("id"), F.col("first.uid").alias("uid")), similarity)
     joined = classes.join(roots.withColumnRenamed("id", "h"), "h", "left")
-    linked = cut(joined.where("root is not null or times > 1").select("h", "first", "times", F.coalesce("root", "h").alias("root")), "linked")
+    linked = cut_hashes(joined.where("root is not null or times > 1").select("h", "first", "times", F.coalesce("root", "h").alias("root")), "linked")
     stays = linked.groupBy("root").agg(F.min("first").alias("stay"), F.count("*").alias("members"))
     groups = join_on(linked.select("h", "times", "root"), stays, "root", "members", total).select("h", "times", F.col("stay.uid").alias("stay_uid"), F.col("stay.no").alias("stay_no"))
-    marks = join_on(occ.select("uid", "no", "h"), cut(groups, "groups"), "h", "times", total).where("uid <> stay_uid or no <> stay_no")
+    marks = join_on(occ.select("uid", "no", "h"), cut_hashes(groups, "groups"), "h", "times", total).where("uid <> stay_uid or no <> stay_no")
     drops = marks.groupBy("uid").agg(F.collect_set("no").alias("drops"))
     none = F.array().cast("array<long>")
     stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_lines").cast("long") - 1), F.coalesce("drops", none))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import linking, line_dedup, minhash
-from tessera.llm.common import SMALL_CHUNK, Text, chunks
+from tessera.llm.common import SMALL_CHUNK, Text, bitmap, chunks
 from tests.llm.conftest import sentence, words
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -423,3 +423,43 @@ def test_few_rows_are_compared_in_few_tasks(spark):
     rest = spark.createDataFrame([], "key long, id long, root long, members long, bytes long, less array<long>, line string, c0 long, c1 long, c2 long, c3 long")
     plan = line_dedup.linked_in_blocks(rest, 0.9, 2 * line_dedup.COMPARED)._jdf.queryExecution().optimizedPlan().toString()
     assert re.findall(r"RepartitionByExpression .*, (\d+)", plan) == ["3"]
+
+
+def test_keys_of_whole_bags_are_not_dealt_again(spark):
+    """Bags that fit a task give each row once, so no shuffle has to tell rows apart."""
+    keys = np.repeat(np.arange(40), 3).astype(np.uint64) << np.uint64(50)
+    ids = np.tile(np.array([5, 5, 9]), 40).astype(np.uint64)
+    bags = spark.createDataFrame(list(zip(*(x.to_pylist() for x in line_dedup.filled(keys, ids)))), "bag int, entries binary")
+    got = line_dedup.shared_keys(bags)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == sorted((k, i) for k in set(keys.tolist()) for i in (5, 9))
+
+
+def test_forms_are_read_from_the_documents_that_hold_them(spark):
+    """Only the documents named are taken apart; of their lines, those whose hash is wanted."""
+    texts = ["One line, here\nanother", "one LINE here\na third", None, "no more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    lines = line_dedup.Lines(pa.array(["one line here", "a third", "another", "no more"]))
+    h = lines.keys()[1].view(np.int64).tolist()
+
+    def filter_of(values):
+        return bitmap(spark.createDataFrame([(v,) for v in values], "v long"), "v")
+
+    got = line_dedup.normal_forms(docs, filter_of(h), filter_of([1, 2])).collect()
+    assert sorted((r["id"], r["line"]) for r in got) == sorted(zip(h[:2], ["one line here", "a third"]))
+    got = line_dedup.normal_forms(docs, filter_of(h[1:]), filter_of([0, 1, 2])).collect()
+    assert sorted((r["id"], r["line"]) for r in got) == sorted(zip(h[1:3], ["a third", "another"]))
+
+
+def test_long_lines_within_equals_the_table():
+    """Where the comparison of one pair stops early, on the diagonal that ends the table."""
+    rng = random.Random(8)
+    told = set()
+    for _ in range(150):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(60, 150)))
+        b = edited(rng, a, rng.randint(0, 30))
+        d = distance(a, b)
+        for most in {0, 5, max(d - 1, 0), d, d + 1}:
+            told.add(line_dedup.within(a, b, most))
+            assert line_dedup.within(a, b, most) == (d <= most)
+    assert told == {True, False}
