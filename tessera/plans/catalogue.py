@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import windows as W
@@ -40,9 +40,14 @@ _NUMBERS = ["price", "market_cap", "pe", "forward_pe", "pb", "ps", "peg", "debt_
 PERIODS = [f"{y}-12-31" for y in range(2001, 1994, -1)]
 
 
+def _six(x: Column) -> Column:
+    """To 6 decimals as the SQL's round does it, by a product: 941.8 / 640 is a little below 1.4715625 and gives 1.471563."""
+    return F.when(F.abs(x) < 1e300, F.round(x * 1e6) / 1e6).otherwise(x)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to 6 decimals, without negative zero."""
-    return df.select(*[(F.round(f.name, 6) + 0.0).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
+    return df.select(*[(_six(F.col(f.name)) + 0.0).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
 
 
 def add(name: str, query: Query, sql: str | None = None) -> None:
