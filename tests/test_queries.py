@@ -74,7 +74,7 @@ def split_tables(spark, request, tmp_path):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-@pytest.mark.parametrize("name", ["screen_criteria", "screen_formatted"])
+@pytest.mark.parametrize("name", ["screen_criteria", "screen_formatted", "screen_formatted_all"])
 def test_sums_do_not_depend_on_splits(spark, split_tables, name):
     con = duckdb.connect(config={"threads": 1})
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{split_tables}/part.parquet'")
